@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import leakage, tokenize_corpus
+from quarrylens.llm import docpairs, leakage, tokenize_corpus
 
 
 def queries():
     return {
+        "p1_found": docpairs.p1_found,
+        "p1_pairs": docpairs.p1_pairs,
         "p7_ids": tokenize_corpus.p7_ids,
         "p7_token_counts": tokenize_corpus.p7_token_counts,
         "p8_found": leakage.p8_found,
