@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import docpairs, leakage, tokenize_corpus
+from quarrylens.llm import credentials, docpairs, leakage, tokenize_corpus
 
 
 def queries():
     return {
         "p1_found": docpairs.p1_found,
         "p1_pairs": docpairs.p1_pairs,
+        "p2_found": credentials.p2_found,
+        "p2_redacted_configs": credentials.p2_redacted_configs,
+        "p2_redacted_literals": credentials.p2_redacted_literals,
         "p7_ids": tokenize_corpus.p7_ids,
         "p7_token_counts": tokenize_corpus.p7_token_counts,
         "p8_found": leakage.p8_found,
