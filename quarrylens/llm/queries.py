@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import credentials, docpairs, leakage, tokenize_corpus
+from quarrylens.llm import credentials, docpairs, leakage, syntax, tokenize_corpus
 
 
 def queries():
@@ -12,6 +12,8 @@ def queries():
         "p2_found": credentials.p2_found,
         "p2_redacted_configs": credentials.p2_redacted_configs,
         "p2_redacted_literals": credentials.p2_redacted_literals,
+        "p4_found": syntax.p4_found,
+        "p4_rates": syntax.p4_rates,
         "p7_ids": tokenize_corpus.p7_ids,
         "p7_token_counts": tokenize_corpus.p7_token_counts,
         "p8_found": leakage.p8_found,
