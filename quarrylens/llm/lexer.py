@@ -12,6 +12,7 @@ Pieces are cut where no delimiter can straddle: after a line end where there is
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -109,7 +110,7 @@ def spans(text: str, family: str, state: int = CODE) -> tuple[list[tuple[int, in
             m = re.compile(rest, re.S).match(text)
             at = m.end()
             ok = _closed(m[0], state, True)
-            if not ok and at == len(text):
+            if (not ok or state == LINE) and at == len(text):
                 return [(0, at, state, True)], state
             out.append((0, at, state, ok))
     end_state = CODE
@@ -125,9 +126,23 @@ def spans(text: str, family: str, state: int = CODE) -> tuple[list[tuple[int, in
 
 
 def state_map(text: str, family: str) -> tuple[int, ...]:
-    """End state for each start state."""
-    known = {CODE} | {s for _, r, s in RULES[family].tokens if r}
-    return tuple(spans(text, family, s)[1] if s in known else s for s in STATES)
+    """End state for each start state. The text is lexed once, from code; a run from inside a token joins that run
+    at the token's end unless it ends inside another token there, when it is lexed on from that point."""
+    found, from_code = spans(text, family, CODE)
+    starts = [s for s, _, _, _ in found]
+    rests = {s: r for _, r, s in RULES[family].tokens if r}
+    out = list(STATES)
+    out[CODE] = from_code
+    for state, rest in rests.items():
+        m = re.compile(rest, re.S).match(text)
+        at = m.end()
+        if at == len(text):
+            out[state] = state if state == LINE or not _closed(m[0], state, True) else CODE
+            continue
+        i = bisect_right(starts, at) - 1
+        inside = i >= 0 and starts[i] < at < found[i][1]
+        out[state] = spans(text[at:], family, CODE)[1] if inside else from_code
+    return tuple(out)
 
 
 def compose(first: tuple[int, ...], second: tuple[int, ...]) -> tuple[int, ...]:

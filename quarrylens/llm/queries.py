@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import credentials, docpairs, leakage, syntax, tokenize_corpus
+from quarrylens.llm import credentials, docpairs, leakage, provenance, syntax, tokenize_corpus
 
 
 def queries():
@@ -14,6 +14,9 @@ def queries():
         "p2_redacted_literals": credentials.p2_redacted_literals,
         "p4_found": syntax.p4_found,
         "p4_rates": syntax.p4_rates,
+        "p5_found": provenance.p5_found,
+        "p5_reasons": provenance.p5_reasons,
+        "p5_hand_written": provenance.p5_hand_written,
         "p7_ids": tokenize_corpus.p7_ids,
         "p7_token_counts": tokenize_corpus.p7_token_counts,
         "p8_found": leakage.p8_found,
