@@ -87,6 +87,8 @@ _OPENER = {BLOCK: ("/*", "<!--"), DOUBLE: ('"',), SINGLE: ("'",), BACK: ("`",),
 def _closed(token: str, state: int, from_inside: bool) -> bool:
     if state == LINE:
         return True
+    if state in (DOUBLE, SINGLE, BACK) and not from_inside and len(token) > 2 and token[-1] == token[0] and token[-2] != "\\":
+        return True
     opener = 0 if from_inside else max(len(o) for o in _OPENER[state] if token.startswith(o)) if any(token.startswith(o) for o in _OPENER[state]) else 0
     body = token[opener:]
     for c in _CLOSER[state]:

@@ -76,9 +76,9 @@ def top_comments(text: str, family: str) -> str:
     return "\n".join(out)
 
 
-def shape(text: str, family: str) -> tuple[float, float]:
-    """(share of the code that is numbers in lists and long encoded strings, share of it on packed lines)."""
-    found, _ = L.spans(text, family)
+def shape(text: str, found: list[tuple[int, int, int, bool]]) -> tuple[float, float]:
+    """(share of the code that is numbers in lists and long encoded strings, share of it on packed lines); ``found``
+    are the text's comments and strings."""
     masked, at, comments, encoded = [], 0, 0, 0
     for s, e, st, _ in found:
         masked.append(text[at:s])
@@ -98,12 +98,8 @@ def shape(text: str, family: str) -> tuple[float, float]:
     return (numbers + encoded) / total, packed / size
 
 
-def own_reason(text: str | None, path: str | None) -> str | None:
-    """Why a file isn't hand-written, from itself alone: generated, vendored, minified or data; else null."""
-    family = L.FAMILY.get(L.extension(path))
-    if not text or not text.strip() or family is None or family in CONFIGURATION:
-        return None
-    text = text.lstrip("﻿")
+def own_reason(text: str, family: str, found: list[tuple[int, int, int, bool]]) -> str | None:
+    """Why a code file isn't hand-written, from itself alone: generated, vendored, minified or data; else null."""
     top = top_comments(text, family)
     if top:
         notice = _NEAR_TOOL.sub(" ", top)
@@ -111,7 +107,7 @@ def own_reason(text: str | None, path: str | None) -> str | None:
             return "generated"
         if any(_THIRD_PARTY.search(line) for line in top.split("\n")):
             return "vendored"
-    data, packed = shape(text, family)
+    data, packed = shape(text, found)
     if data >= 0.6:
         return "data"
     if packed >= 0.5:
@@ -124,8 +120,7 @@ def own_reason(text: str | None, path: str | None) -> str | None:
 _TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\s\w]")
 
 
-def token_hashes(text: str, family: str) -> np.ndarray:
-    found, _ = L.spans(text, family)
+def token_hashes(text: str, found: list[tuple[int, int, int, bool]]) -> np.ndarray:
     out: list[int] = []
     at = 0
     h = xxhash.xxh3_64_intdigest
@@ -162,11 +157,14 @@ def _judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []
         for i, r, p, t in zip(f["file_id"], f["repo"], f["file_path"], f["content"]):
-            reason = own_reason(t, p)
+            reason, prints = None, np.zeros(0, np.uint64)
             family = L.FAMILY.get(L.extension(p))
-            prints = np.zeros(0, np.uint64)
-            if t and family is not None and family not in CONFIGURATION and reason not in ("data", "minified"):
-                prints = winnow(token_hashes(t, family))
+            if t and t.strip() and family is not None and family not in CONFIGURATION:
+                t = t.lstrip("\ufeff")
+                found, _ = L.spans(t, family)
+                reason = own_reason(t, family, found)
+                if reason not in ("data", "minified"):
+                    prints = winnow(token_hashes(t, found))
             rows.append((i, r, reason, prints.view(np.int64) if len(prints) >= LEAST_PRINTS else np.zeros(0, np.int64)))
         yield pd.DataFrame(rows, columns=["file_id", "repo", "reason", "prints"])
 
