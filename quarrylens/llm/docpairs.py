@@ -108,7 +108,8 @@ _LIST_NAME = regex.compile(r"^\s*[-*+•]\s*`?[\w.$]+`?(?:\s*[:(]?\s*(?:int|str|
 _CODE = regex.compile(
     r"""^\s*(?:
       [\w.$\[\]<>:&*]+\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*;?\s*(?://.*|\#.*)?            # a call
-    | (?:return|throw|raise|await|yield|assert|import|from|using|package|break|continue|pass)\b[^.!?]*[;()\[\]=]?\s*$   # a statement
+    | (?:return|throw|raise|await|yield|assert|import|from|using|package|break|continue|pass)\b(?:\s+[\w.*]+)?\s*;?\s*   # a statement
+    | (?:return|throw|raise|await|yield|assert|import|from|using|package)\b.*(?:\w\([^()]*\)|[;=\[\]{}]).*
     | (?:let|var|const|auto|final|static|public|private|int|mut|val|def|fn|func|function|class)\s+[\w\s:<>\[\],&*]*[=({:].*
     | (?:if|for|while|switch|elif|else\ if|match)\b.*[({:].*[;){}:]\s*(?:[\w.]+(?:\(.*\))?;?)?\s*$
     | [\w.$\[\]"']+\s*(?:[-+*/|&]?=|:=)\s*\S.*

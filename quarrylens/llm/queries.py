@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import credentials, docpairs, leakage, provenance, syntax, tokenize_corpus
+from quarrylens.llm import credentials, docpairs, leakage, natural, provenance, syntax, tokenize_corpus
 
 
 def queries():
@@ -12,6 +12,8 @@ def queries():
         "p2_found": credentials.p2_found,
         "p2_redacted_configs": credentials.p2_redacted_configs,
         "p2_redacted_literals": credentials.p2_redacted_literals,
+        "p3_found": natural.p3_found,
+        "p3_shares": natural.p3_shares,
         "p4_found": syntax.p4_found,
         "p4_rates": syntax.p4_rates,
         "p5_found": provenance.p5_found,
