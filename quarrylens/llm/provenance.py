@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm import lexer as L
-from quarrylens.session import table
+from quarrylens.session import cut_lineage, table
 
-GRAM, WINDOW = 16, 8
+GRAM, WINDOW = 16, 16
 #: A fingerprint recurs when it is in this many repositories or more; a file is a copy when this share of its own recur.
-LEAST_REPOS, COPIED_SHARE, LEAST_PRINTS = 3, 0.75, 6
+LEAST_REPOS, COPIED_SHARE, LEAST_PRINTS = 3, 0.75, 4
 CONFIGURATION = frozenset({"json", "jsonc", "yaml", "toml", "hcl", "xml"})
 
 # ---------------------------------------------------------------- what shows in the file itself
@@ -185,7 +185,8 @@ def not_hand_written(source_files: DataFrame, configs: DataFrame) -> DataFrame:
     conf = configs.select(F.col("repo").alias("__r"), "excluded_directories").dropDuplicates(["__r"])
     path_only = files.select("file_id", "repo", "file_path")
     excluded = path_only.join(conf, F.col("repo") == F.col("__r"), "left").filter(in_excluded_directory(F.col("file_path"), F.col("excluded_directories"))).select("file_id", F.lit("excluded").alias("reason"))
-    judged = files.mapInPandas(_judge, "file_id long, repo string, reason string, prints array<long>")
+    # read several times below: computed once, kept in the shared checkpoint folder
+    judged = cut_lineage(files.mapInPandas(_judge, "file_id long, repo string, reason string, prints array<long>"))
     own = judged.filter("reason is not null").select("file_id", "reason")
     copied = vendored_copies(judged)
     rank = F.when(F.col("reason") == "excluded", 0).when(F.col("reason") == "generated", 1).when(F.col("reason") == "vendored", 2).otherwise(3)
