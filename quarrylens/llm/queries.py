@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import credentials, docpairs, leakage, natural, provenance, syntax, tokenize_corpus
+from quarrylens.llm import credentials, docpairs, leakage, natural, personal, provenance, syntax, tokenize_corpus
 
 
 def queries():
@@ -22,6 +22,8 @@ def queries():
         "p7_ids": tokenize_corpus.p7_ids,
         "p7_token_counts": tokenize_corpus.p7_token_counts,
         "p8_found": leakage.p8_found,
+        "p9_found": personal.p9_found,
+        "p9_redacted": personal.p9_redacted,
         "p8_leaks_per_item": leakage.p8_leaks_per_item,
     }
 
