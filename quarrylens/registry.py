@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
 from quarrylens.operators import incremental
 
+MODULES = ["files"]
+
+
+def _all():
+    out = {"p6_found": (incremental.p6_found, incremental.P6_FOUND_SQL)}
+    for m in MODULES:
+        out |= importlib.import_module(f"quarrylens.operators.{m}").QUERIES
+    return out
+
 
 def queries():
-    return {"p6_found": incremental.p6_found}
+    return {k: f for k, (f, _) in _all().items()}
 
 
 def oracle_sql():
-    return {"p6_found": incremental.P6_FOUND_SQL}
+    return {k: s for k, (_, s) in _all().items() if s is not None}
