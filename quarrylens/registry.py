@@ -6,7 +6,7 @@ import importlib
 
 from quarrylens.operators import incremental
 
-MODULES = ["files"]
+MODULES = ["files", "symbols"]
 
 
 def _all():
