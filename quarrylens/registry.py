@@ -6,7 +6,7 @@ import importlib
 
 from quarrylens.operators import incremental
 
-MODULES = ["files", "symbols"]
+MODULES = ["files", "symbols", "search"]
 
 
 def _all():
