@@ -6,7 +6,7 @@ import importlib
 
 from quarrylens.operators import incremental
 
-MODULES = ["files", "symbols", "search", "rollup", "events"]
+MODULES = ["files", "symbols", "search", "rollup", "events", "extraction"]
 
 
 def _all():
