@@ -6,13 +6,13 @@ import importlib
 
 from quarrylens.operators import incremental
 
-MODULES = ["files", "symbols", "search", "rollup", "events", "extraction"]
+MODULES = ["operators.files", "operators.symbols", "operators.search", "operators.rollup", "operators.events", "operators.extraction", "streaming.refresh"]
 
 
 def _all():
     out = {"p6_found": (incremental.p6_found, incremental.P6_FOUND_SQL)}
     for m in MODULES:
-        out |= importlib.import_module(f"quarrylens.operators.{m}").QUERIES
+        out |= importlib.import_module(f"quarrylens.{m}").QUERIES
     return out
 
 
