@@ -122,9 +122,9 @@ class WorkspacePartition(InputPartition):
 class WorkspaceReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.root = options.get("path", ".")
-        self.include_ignored = str(options.get("includeIgnored", "false")).lower() == "true"
-        self.max_bytes = int(options.get("maxBytes", MAX_INDEXED_BYTES))
-        more = [x for x in options.get("excludedDirs", "").split(",") if x]
+        self.include_ignored = str(options.get("includeignored", "false")).lower() == "true"
+        self.max_bytes = int(options.get("maxbytes", MAX_INDEXED_BYTES))
+        more = [x for x in options.get("excludeddirs", "").split(",") if x]
         self.excluded = frozenset([*ALWAYS_EXCLUDED_DIRS, *([] if self.include_ignored else JUNK_DIRS), *more])
 
     def partitions(self) -> list[WorkspacePartition]:
@@ -168,7 +168,7 @@ class WorkspaceDataSource(DataSource):
         return "path string, mtime_ns long, size long, content string, is_text boolean"
 
     def reader(self, schema) -> WorkspaceReader:
-        return WorkspaceReader(dict(self.options))
+        return WorkspaceReader({k.lower(): v for k, v in dict(self.options).items()})
 
 
 def register(spark: SparkSession) -> None:
