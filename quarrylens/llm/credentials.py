@@ -220,6 +220,8 @@ def assigned_name(line: str, text: str) -> str | None:
     side of the statement."""
     head = text.split("\n", 1)[0].rstrip("\r")
     at = line.find(head) if head else -1
+    while at > 0 and line[at - 1] not in "\"'`":  # a literal begins after a quote
+        at = line.find(head, at + 1)
     if at < 0:
         return None
     before = line[:at]

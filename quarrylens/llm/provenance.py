@@ -86,7 +86,7 @@ def shape(text: str, found: list[tuple[int, int, int, bool]]) -> tuple[float, fl
         if st in (L.LINE, L.BLOCK):
             comments += e - s
         else:
-            if e - s >= 60 and not re.search(r"\s", text[s : s + 400]) and not text.startswith(("data:", "http"), s + 1):
+            if e - s >= 60 and not re.search(r"\s", text[s : min(e, s + 400)]) and not text.startswith(("data:", "http"), s + 1):
                 encoded += e - s
             masked.append('""')
     masked.append(text[at:])
