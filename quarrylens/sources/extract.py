@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -255,20 +256,30 @@ def import_entries(line: str, rules: LanguageRules, line_no: int) -> list[dict]:
 
 def _braces(text: str, path: str, language: str) -> dict:
     rules = REGISTRY[language]
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    line_at = lambda at: bisect_left(breaks, at) + 1
     masked, lines = mask(text), text.split("\n")
     out: dict[str, list] = {"symbols": [], "literals": [], "docstrings": [], "calls": [], "imports": [], "edges": []}
     masked_lines = masked.split("\n")
     start = 0
     scopes: list[tuple[int, str]] = []  # (end, name) of the containers around
-    compiled = [(re.compile(p), k) for p, k in rules.declarations]
+    # a pattern is tried only where the signs that it ends with stand in the line
+    compiled = [(re.compile(p), k, p.endswith(r"\{"), r"\(" in p) for p, k in rules.declarations]
     for i, (line, m_line) in enumerate(zip(lines, masked_lines)):
         while scopes and start >= scopes[-1][0]:
             scopes.pop()
-        out["imports"] += import_entries(line, rules, i + 1)
+        if "import" in line or "use" in line or "require" in line or "include" in line or language == "go" and '"' in line:
+            out["imports"] += import_entries(line, rules, i + 1)
         source = line if language in ("javascript", "typescript") and re.match(r"\s*(?:describe|it|test)\s*\(", line) else m_line
-        for p, kind in compiled:
+        head = m_line.lstrip()[:1]
+        if not (head.isalpha() or head in "_@#$" and head):
+            compiled_here = []
+        else:
+            brace, paren = "{" in m_line, "(" in m_line
+            compiled_here = [x for x in compiled if (brace or not x[2]) and (paren or not x[3])]
+        for p, kind, _, _ in compiled_here:
             m = p.match(source)
-            if not m or not m_line.strip():
+            if not m:
                 continue
             end = end_of_block(masked, start + len(m_line) - len(m_line.lstrip()))
             comment = _comment_above(lines, i)
@@ -276,7 +287,7 @@ def _braces(text: str, path: str, language: str) -> dict:
             owner = scopes[-1][1] if scopes and kind in ("fn", "method", "field") else None
             if language == "go" and (r := re.match(rules.containers, m_line)):
                 owner = r["n"]
-            end_line = text.count("\n", 0, end) + 1
+            end_line = line_at(end)
             end_col = end - (text.rfind("\n", 0, end) + 1) + 1
             col = len(line) - len(line.lstrip()) + 1
             exported = bool(re.search(rules.exported, m_line))
@@ -284,21 +295,21 @@ def _braces(text: str, path: str, language: str) -> dict:
             if doc:
                 out["docstrings"].append(doc)
             break
-        c = re.search(rules.containers, m_line) if language != "go" else None
-        if c and "{" in m_line:
+        c = re.search(rules.containers, m_line) if language != "go" and "{" in m_line else None
+        if c:
             scopes.append((end_of_block(masked, start + c.start()), c["n"]))
         start += len(line) + 1
     for m in _MASK.finditer(text):
         s = m[0]
         if s[0] in rules.quotes and len(s) >= 2:
-            out["literals"].append({"text": s[1:-1], "line": text.count("\n", 0, m.start()) + 1})
+            out["literals"].append({"text": s[1:-1], "line": line_at(m.start())})
     for m in _CALL.finditer(masked):
         if m["n"] not in _NO_CALL:
-            out["calls"].append({"name": m["n"], "receiver": m["r"], "line": masked.count("\n", 0, m.start()) + 1})
+            out["calls"].append({"name": m["n"], "receiver": m["r"], "line": line_at(m.start())})
     for m in _EDGE.finditer(masked):
         kind = "producer" if m["m"] in _WRITES else "consumer" if m["m"] in _READS else None
         if kind:
-            out["edges"].append({"kind": kind, "owner": m["r"], "field": m["f"], "line": masked.count("\n", 0, m.start()) + 1})
+            out["edges"].append({"kind": kind, "owner": m["r"], "field": m["f"], "line": line_at(m.start())})
     return out
 
 
