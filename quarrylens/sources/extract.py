@@ -264,7 +264,7 @@ def _braces(text: str, path: str, language: str) -> dict:
     start = 0
     scopes: list[tuple[int, str]] = []  # (end, name) of the containers around
     # a pattern is tried only where the signs that it ends with stand in the line
-    compiled = [(re.compile(p), k, p.endswith(r"\{"), r"\(" in p) for p, k in rules.declarations]
+    compiled = [(re.compile(p), k, p.endswith(r"\{"), p.endswith(r"\(") or r"\([^;]*\)" in p) for p, k in rules.declarations]
     for i, (line, m_line) in enumerate(zip(lines, masked_lines)):
         while scopes and start >= scopes[-1][0]:
             scopes.pop()
