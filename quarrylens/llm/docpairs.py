@@ -63,8 +63,11 @@ def capture(code: str, extension: str) -> tuple[str, str, str] | None:
     return comment.strip(), m["signature"].strip(), m["body"]
 
 
+_LINE_END = regex.compile(r"\r\n|\r|\n")
+
+
 def split_lines(text: str) -> list[str]:
-    return regex.split(r"\r\n|\r|\n", text)
+    return _LINE_END.split(text)
 
 
 def range_text(lines: list[str], start_line: int, start_col: int, end_line: int, end_col: int) -> str:
@@ -136,7 +139,7 @@ def clean_description(doc: str) -> str:
     """The documentation without comment marks, one entry a line."""
     out = []
     for line in split_lines(doc):
-        previous = None
+        previous = None if line.lstrip()[:1] in "/*#\"'rRuU" or line.rstrip()[-1:] in "/\"'" else line
         while previous != line:
             previous, line = line, _MARKS.sub("", line)
         out.append(line.strip())

@@ -77,7 +77,7 @@ _STUB_WORDS = frozenset("todo fixme xxx hack tbd".split())
 
 def natural_part(text: str | None, name: str | None = None) -> str:
     """What of the text is natural language: its words without code, markup, tags and names; empty below the limits."""
-    if not text or not text.strip():
+    if not text or not text.strip() or text.isascii() and len(text.split(None, MIN_WORDS)) < MIN_WORDS and "\\" not in text:
         return ""
     if "\\u" in text and re.search(r"\\u[0-9a-fA-F]{4}", text):
         text = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text)
@@ -94,7 +94,7 @@ def natural_part(text: str | None, name: str | None = None) -> str:
         kept.append(line)
     t = " ".join(kept)
     t = _CODE_WORDS.sub(" ", _HOLES.sub(" ", _MARKUP.sub(" ", t)))
-    if name:
+    if name and name in t:
         t = re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", " ", t)
     words = _WORD.findall(t)
     cjk = len(_CJK.findall(t))
