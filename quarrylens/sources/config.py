@@ -141,3 +141,55 @@ class ClaimBoard:
         self.claimed.pop(slot, None)
         if ok:
             self.sealed.add(slot)
+
+
+class ReloadingConfig:
+    """A merged configuration that follows its files: read again when a file's time or size changes, at most once per interval."""
+
+    def __init__(self, repo_file: str, global_file: str, debounce_ms: int = 500, now: Callable[[], float] = time.monotonic) -> None:
+        self.files, self.throttle = (repo_file, global_file), Throttle(debounce_ms, now)
+        self.seen: tuple | None = None
+        self.value: dict[str, Any] = dict(DEFAULTS)
+
+    def get(self) -> dict[str, Any]:
+        if self.throttle.due():
+            stamp = tuple((os.stat(f).st_mtime_ns, os.stat(f).st_size) if os.path.exists(f) else None for f in self.files)
+            if stamp != self.seen:
+                self.seen = stamp
+                self.value = merged_config(*(self._load(f) for f in self.files))
+        return self.value
+
+    @staticmethod
+    def _load(path: str) -> dict:
+        import json
+
+        try:
+            with open(path, encoding="utf-8") as f:
+                got = json.load(f)
+        except (OSError, ValueError):
+            return {}
+        return got if isinstance(got, dict) else {}
+
+
+class LatestOnly:
+    """A queue of one: a trigger that finds it full is dropped, a sender that must not lose its item waits for the slot."""
+
+    def __init__(self) -> None:
+        import queue
+
+        self.slot: queue.Queue = queue.Queue(maxsize=1)
+
+    def trigger(self, item: Any) -> bool:
+        import queue
+
+        try:
+            self.slot.put_nowait(item)
+            return True
+        except queue.Full:
+            return False
+
+    def send(self, item: Any, timeout: float | None = None) -> None:
+        self.slot.put(item, timeout=timeout)
+
+    def take(self, timeout: float | None = None) -> Any:
+        return self.slot.get(timeout=timeout)

@@ -186,3 +186,21 @@ def test_debounce_emits_each_window_once(spark, tmp_path):
         assert [tuple(r.paths) for r in spark.table("windows").collect()] == [("a", "b")]
     finally:
         q.stop()
+
+
+def test_reloading_config_and_queue(tmp_path):
+    from quarrylens.sources.config import LatestOnly, ReloadingConfig
+
+    t = [0.0]
+    a = tmp_path / "a.json"
+    c = ReloadingConfig(str(a), str(tmp_path / "none.json"), 500, lambda: t[0])
+    assert c.get()["find_limit"] == 100
+    a.write_text('{"find_limit": 7}')
+    assert c.get()["find_limit"] == 100
+    t[0] = 1.0
+    assert c.get()["find_limit"] == 7
+    a.write_text("broken")
+    t[0] = 2.0
+    assert c.get()["find_limit"] == 100
+    q = LatestOnly()
+    assert q.trigger(1) and not q.trigger(2) and q.take() == 1
