@@ -81,6 +81,42 @@ def bm25(post: DataFrame, lengths: DataFrame, n_docs: DataFrame, boosts: dict[st
     return j.groupBy("file_id").agg(F.sum(boost * idf * tf).alias("score"))
 
 
+class PostingsIndex:
+    """Postings kept on disk in generations, range-partitioned and sorted by term, so that the row-group statistics of a
+    query's terms prune nearly all of it. Lengths are derived from the postings; a (file, field) without any term
+    keeps one row with a null term."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        from quarrylens.sources.workspace import VersionedTable
+
+        self.table = VersionedTable(spark, path, format_version="postings-1")
+
+    @staticmethod
+    def rows(texts: DataFrame) -> DataFrame:
+        d = texts.select("file_id", "field", F.explode_outer(terms_of(F.col("text"))).alias("term"))
+        return d.groupBy("file_id", "field", "term").agg(F.count("term").alias("tf"))
+
+    def build(self, texts: DataFrame) -> int:
+        """Write the whole index; returns its generation."""
+        return self.table.write(self.rows(texts).repartitionByRange("term").sortWithinPartitions("term", "field", "file_id"))
+
+    def refresh(self, texts: DataFrame, gone: DataFrame) -> int:
+        """A generation with the given files' postings replaced and those of vanished files (file_id) dropped."""
+        new = self.rows(texts)
+        old = self.table.read()
+        touched = new.select("file_id").unionByName(gone.select("file_id")).distinct()
+        both = new if old is None else old.join(touched, "file_id", "left_anti").unionByName(new)
+        return self.table.write(both.repartitionByRange("term").sortWithinPartitions("term", "field", "file_id"))
+
+    def search(self, q: Query) -> DataFrame:
+        """(file_id, score) of the files that hold any term of the query."""
+        p = self.table.read()
+        lengths = p.groupBy("file_id", "field").agg(F.sum("tf").alias("dl"))
+        # every indexed file has its path as a field; symbols of vanished files don't count as files
+        n = p.agg(F.countDistinct(F.when(F.col("field") == "path", F.col("file_id"))).alias("a"), F.countDistinct("file_id").alias("b"))
+        return bm25(p.filter(F.col("term").isin(q.terms)), lengths, n.select(F.when(F.col("a") > 0, F.col("a")).otherwise(F.col("b")).alias("n")))
+
+
 def document_bm25(documents: DataFrame, terms: list[str]) -> DataFrame:
     """BM25 over one text column: (doc_id, score)."""
     t = documents.filter("text is not null").select(F.col("doc_id").alias("file_id"), F.lit("text").alias("field"), "text")
@@ -289,6 +325,19 @@ def h1_bm25_fields(spark, d):
     return r.select("file_id", F.round("score", 6).alias("score"))
 
 
+def h1_indexed_search(spark, d):
+    """The same search over an index that is built on disk first."""
+    import os
+    import uuid
+
+    from quarrylens.session import checkpoint_dir
+
+    files = table(spark, d, "source_files")
+    ix = PostingsIndex(spark, os.path.join(checkpoint_dir(spark).removeprefix("file:"), f"index-{uuid.uuid4().hex}"))
+    ix.build(field_texts(files, table(spark, d, "symbols").distinct(), table(spark, d, "literals").distinct(), table(spark, d, "extracted_files"), table(spark, d, "tags").distinct()))
+    return ix.search(_Q).select("file_id", F.round("score", 6).alias("score"))
+
+
 def h2_field_population(spark, d):
     t = field_texts(table(spark, d, "source_files"), table(spark, d, "symbols").distinct(), table(spark, d, "literals").distinct(), table(spark, d, "extracted_files"), table(spark, d, "tags").distinct())
     return field_lengths(t).groupBy("field").agg(F.count("*").alias("n_files"), F.sum("dl").alias("n_terms"))
@@ -470,6 +519,7 @@ _SYMT_SQL = f"{SYM}, texts as (select file_id, 'symbol' as field, concat_ws(' ',
 QUERIES = {
     "h1_bm25_top": (h1_bm25_top, f"with {_DOC_SQL.format(terms=_DT, q=tuple(_DOC_TERMS), x='')} select doc_id, round(score, 6) as score from bm order by round(score, 6) desc, doc_id limit 20"),
     "h1_bm25_fields": (h1_bm25_fields, f"with {TEXTS_SQL}, {_bm25_sql(_Q.terms)} select file_id, round(score, 6) as score from bm"),
+    "h1_indexed_search": (h1_indexed_search, f"with {TEXTS_SQL}, {_bm25_sql(_Q.terms)} select file_id, round(score, 6) as score from bm"),
     "h2_field_population": (h2_field_population, f"with {TEXTS_SQL} select field, count(*) as n_files, cast(sum(dl) as bigint) as n_terms from lens group by 1"),
     "d25_corpus_statistics": (d25_corpus_statistics, f"select term, count(distinct doc_id) as df, count(*) as cf from (select doc_id, unnest({_DT}) as term from documents where text is not null) group by 1"),
     "h5_ranked_search": (h5_ranked_search, f"""with {TEXTS_SQL}, {_bm25_sql(_Q.terms)}, top as (select file_id, file_path, score from bm join source_files using (file_id) order by round(score, 9) desc, file_path, file_id limit 100),

@@ -91,3 +91,13 @@ def test_empty_tables(spark):
     assert sy.significant_symbols(e).count() == 0
     files = spark.createDataFrame([], "file_id long, repo string, file_path string, content string")
     assert sy.callees(files, e).count() == 0 and sy.resolved_imports(files).count() == 0
+
+
+def test_index_refresh(spark, tmp_path):
+    ix = se.PostingsIndex(spark, str(tmp_path / "ix"))
+    t = lambda rows: spark.createDataFrame(rows, "file_id long, field string, text string")
+    ix.build(t([(1, "symbol", "alpha beta"), (2, "symbol", "alpha"), (3, "symbol", "..."), (4, "docstring", None)]))
+    ids = lambda text: sorted(r.file_id for r in ix.search(compile_query(text)).collect())
+    assert ids("alpha") == [1, 2] and ids("beta") == [1] and ids("") == []
+    ix.refresh(t([(2, "symbol", "gamma"), (5, "symbol", "alpha")]), spark.createDataFrame([(1,)], "file_id long"))
+    assert ids("alpha") == [5] and ids("gamma") == [2] and ids("beta") == []
