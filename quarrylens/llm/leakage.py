@@ -159,14 +159,13 @@ def standing_instructions(items: DataFrame, id_col: str, text_col: str, min_word
     return w.select("i", gram.alias("gram")).groupBy("gram").agg(F.countDistinct("i").alias("n")).filter(F.col("n") >= least_items).select("gram")
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, each fetched by its own id range."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of bounded size, fetched one at a time."""
     sized = items.agg(F.sum(F.length(text_col)).alias("c"), F.count("*").alias("n")).first()
     blocks = max(1, -(-int(sized.c or 0) // BLOCK_CHARS))
-    if blocks == 1:
-        return [[(r[0], r[1]) for r in items.select(id_col, text_col).collect()]]
     part = F.pmod(F.xxhash64(id_col), F.lit(blocks))
-    return [[(r[0], r[1]) for r in items.filter(part == k).select(id_col, text_col).collect()] for k in range(blocks)]
+    for k in range(blocks):
+        yield [(r[0], r[1]) for r in items.filter(part == k).select(id_col, text_col).collect()]
 
 
 def leaked_items(
