@@ -50,7 +50,7 @@ def agreement(df: DataFrame, item: str, label: str) -> DataFrame:
     p = per.agg(F.count("*").alias("items"), F.avg(F.when(F.col("labels") == 1, 1.0).otherwise(0.0)).alias("unanimous"), F.avg(F.col("same") / (F.col("k") * (F.col("k") - 1))).alias("observed"), F.sum("same").alias("s"), F.sum(F.col("k") * (F.col("k") - 1)).alias("t"))
     share = n.join(per.select(item), item, "left_semi").groupBy(label).agg(F.sum("n").alias("n"))
     total = share.agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("sq")).select((F.col("sq") / (F.col("all") * F.col("all"))).alias("chance"))
-    j = p.crossJoin(total)  # one row each
+    j = p.withColumn("chance", total.scalar())
     kappa = F.when(F.col("chance") < 1, (F.col("observed") - F.col("chance")) / (1 - F.col("chance")))
     return j.select("items", F.round("unanimous", 6).alias("unanimous_rate"), F.round(F.col("s") / F.col("t"), 6).alias("pairwise_rate"), F.round(kappa, 6).alias("kappa"))
 
@@ -348,7 +348,7 @@ def e11_schedule(spark, d):
     """A balanced schedule: every task three times in both arms, the first arm alternating."""
     tasks = table(spark, d, "eval_items").select("task_id").distinct()
     n = tasks.withColumn("t", F.row_number().over(Window.orderBy("task_id")))  # one row a task: tens
-    s = n.crossJoin(spark.range(3).withColumnRenamed("id", "trial")).crossJoin(spark.range(2).withColumnRenamed("id", "position"))
+    s = n.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(1))))
     arm = F.when((F.col("t") + F.col("trial") + F.col("position")) % 2 == 0, "A").otherwise("B")
     return s.select("task_id", "trial", "position", arm.alias("arm"))
 
@@ -393,7 +393,7 @@ def l1_boundary(spark, d):
     """Lines up to the accepted one and after it, unparsed ones apart; accepted is nine tenths of the lines."""
     e = a12_event_source(spark, d)
     n = e.agg(F.floor(F.max("event_id") * 0.9).alias("accepted"))
-    j = e.crossJoin(F.broadcast(n))  # one row
+    j = e.withColumn("accepted", n.scalar())
     tail = F.col("event_id") > F.col("accepted")
     return j.agg(F.count(F.when(~tail, 1)).alias("accepted_lines"), F.count(F.when(tail, 1)).alias("tail_lines"), F.count(F.when(~tail & F.col("k").isNull(), 1)).alias("accepted_unparsed"), F.count(F.when(tail & F.col("k").isNull(), 1)).alias("tail_unparsed"))
 

@@ -74,8 +74,8 @@ def bm25(post: DataFrame, lengths: DataFrame, n_docs: DataFrame, boosts: dict[st
     avg = lengths.groupBy("field").agg(F.avg("dl").alias("avgdl"))
     df = post.groupBy("field", "term").agg(F.count("*").alias("df"))
     boost = F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv])[F.col("field")]
-    # per field and per (field, term): as few rows as the query has fields and terms
-    j = post.join(lengths, ["file_id", "field"]).join(F.broadcast(avg), "field").join(F.broadcast(df), ["field", "term"]).crossJoin(F.broadcast(n_docs))
+    # averages are one row a field, of which there are few; the sizes of the other sides are left to the planner
+    j = post.join(lengths, ["file_id", "field"]).join(F.broadcast(avg), "field").join(df, ["field", "term"]).withColumn("n", n_docs.select("n").scalar())
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return j.groupBy("file_id").agg(F.sum(boost * idf * tf).alias("score"))
@@ -361,8 +361,8 @@ def h5_batch_search(spark, d):
     post = postings(t)
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     lens = field_lengths(t).select("file_id", "dl")
-    one = lens.agg(F.avg("dl").alias("avgdl")).crossJoin(files.agg(F.count("*").alias("n")))
-    j = qt.join(post, "term").join(df, "term").join(lens, "file_id").crossJoin(F.broadcast(one))
+    j = qt.join(post, "term").join(df, "term").join(lens, "file_id")
+    j = j.withColumn("avgdl", lens.agg(F.avg("dl")).scalar()).withColumn("n", files.agg(F.count("*")).scalar())
     sc = F.sum(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl"))))
     r = j.groupBy("search_text", "file_id").agg(F.round(sc, 6).alias("score"))
     w = Window.partitionBy("search_text").orderBy(F.desc("score"), "file_id")

@@ -252,7 +252,7 @@ def e5_scan_budget(spark, d):
     hits = call_sites(table(spark, d, "source_files")).join(names, "name", "left_semi")
     cap = names.agg(F.greatest(F.ceil(F.lit(2000) / F.count("*")), F.lit(25)).alias("cap"))
     w = Window.partitionBy("name").orderBy("file_id", "line")
-    r = hits.withColumn("rn", F.row_number().over(w)).crossJoin(F.broadcast(cap))  # one row
+    r = hits.withColumn("rn", F.row_number().over(w)).withColumn("cap", cap.scalar())
     return r.groupBy("name").agg(F.count(F.when(F.col("rn") <= F.col("cap"), 1)).alias("kept"), (F.count("*") > F.first("cap")).alias("truncated"))
 
 
