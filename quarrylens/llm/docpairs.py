@@ -4,7 +4,7 @@ Recursive patterns of the ``regex`` library capture comment, signature and balan
 comments protected; pairs whose documentation says nothing are dropped.
 
 Symbols are grouped per file and block of ``BLOCK_LINES`` lines and joined to the file's text once per group, so the text
-isn't repeated for each symbol and no group grows beyond the symbols that begin in one block. Defined cases: exact
+isn't repeated for each symbol and no group grows beyond ``GROUP_ROWS`` symbols or so, however many begin in one block. Defined cases: exact
 duplicate rows count once; symbols whose file is gone, whose range is null or ends past the file give no pair; null and blank
 docstrings give none; a body that the pattern can't balance (broken code) still gives the range's text as code,
 with ``balanced`` false.
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from quarrylens.session import table
 
 BLOCK_LINES = 1000
+#: A group of symbols of one block larger than this is split by the hash of their ids.
+GROUP_ROWS = 4096
 FUNCTION_KINDS = ["fn", "method", "function"]
 
 # ---------------------------------------------------------------- capture of comment, signature and body
@@ -220,7 +222,11 @@ def documented_functions(symbols: DataFrame, source_files: DataFrame) -> DataFra
     s = s.filter((F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")))
     s = s.select("file_id", "symbol_id", "name", "kind", *need, "docstring").distinct()
     item = F.struct("symbol_id", "name", "kind", *need, "docstring")
-    groups = s.groupBy("file_id", F.expr(f"start_line div {BLOCK_LINES}").alias("block")).agg(F.collect_list(item).alias("symbols"))
+    s = s.withColumn("block", F.expr(f"start_line div {BLOCK_LINES}"))
+    # blocks with more symbols than a group may hold: counted with partial sums, few, and absent in ordinary data
+    hot = s.groupBy("file_id", "block").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_ROWS).select("file_id", "block", F.ceil(F.col("n") / GROUP_ROWS).alias("parts"))
+    s = s.join(hot, ["file_id", "block"], "left").withColumn("part", F.pmod(F.xxhash64("symbol_id"), F.coalesce("parts", F.lit(1))))
+    groups = s.groupBy("file_id", "block", "part").agg(F.collect_list(item).alias("symbols"))
     files = source_files.select("file_id", "repo", "file_path", "content").filter(F.col("content").isNotNull())
     return groups.join(files, "file_id").select("file_id", "repo", "file_path", "content", "symbols").mapInPandas(_pairs, _pair_schema())
 

@@ -39,3 +39,10 @@ def test_operator(spark):
     got = {r.symbol_id: r for r in dp.documented_functions(spark.createDataFrame(rows, SYM), src).collect()}
     assert sorted(got) == [1, 8] and got[1].code == "function f() {\n  return 1;\n}" and got[1].comment == "// D" and got[1].balanced
     assert dp.documented_functions(spark.createDataFrame([], SYM), src).count() == 0
+
+
+def test_hot_groups_are_split(spark, monkeypatch):
+    monkeypatch.setattr(dp, "GROUP_ROWS", 3)
+    src = spark.createDataFrame([(1, "r", "a.js", "// D\nfunction f() {\n  return 1;\n}\n")], SRC)
+    rows = [(i, 1, "r", "a.js", "f", "fn", 2, 1, 4, 2, "Returns one whole number to callers.", "x") for i in range(20)]
+    assert sorted(r.symbol_id for r in dp.documented_functions(spark.createDataFrame(rows, SYM), src).collect()) == list(range(20))
