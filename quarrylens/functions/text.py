@@ -152,6 +152,5 @@ def escape_regex(c: Column) -> Column:
 
 def lines_of(content: Column) -> Column:
     """Lines of a text without the empty one after a trailing line end."""
-    parts = F.split(content, r"\r\n|\r|\n")
-    n = F.size(parts)
-    return F.when(F.length(content) == 0, F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), n - 1)).otherwise(parts)
+    body = F.regexp_replace(content, r"(?:\r\n|\r|\n)\z", "")
+    return F.when(F.length(content) == 0, F.array().cast("array<string>")).otherwise(F.split(body, r"\r\n|\r|\n"))
