@@ -76,6 +76,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned_changes(table(spark, sf_dir, "index_runs"), table(spark, sf_dir, "file_changes"))
 
 
+def p6_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repository_root, run_id, gap_after, gap_to): what each successful run adds to its root's processed intervals."""
+    return run_gaps(table(spark, sf_dir, "index_runs"))
+
+
+def p6_unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(change_id) of real changes that no successful run has taken yet."""
+    changes = table(spark, sf_dir, "file_changes")
+    return real_changes(changes).select("change_id").distinct().join(p6_found(spark, sf_dir), "change_id", "left_anti")
+
+
+P6_GAPS_SQL = """
+select repository_root, run_id, lag(gap_to) over (partition by repository_root order by gap_to) as gap_after, gap_to from (
+  select repository_root, min(run_id) as run_id, started_at_ms as gap_to from index_runs
+  where status = 'ok' and started_at_ms is not null group by repository_root, started_at_ms)
+"""
 P6_FOUND_SQL = """
 with runs as (
   select repository_root, started_at_ms, min(run_id) as run_id from index_runs
@@ -90,6 +106,11 @@ on k.repository_root = r.repository_root and k.walked_at_ms <= r.started_at_ms
 """
 
 
+P6_UNPROCESSED_SQL = P6_FOUND_SQL.replace(
+    "select r.run_id, k.change_id from kept k asof join runs r", "select distinct k.change_id from kept k asof left join runs r"
+).rstrip() + " where r.run_id is null"
+
+
 # --------------------------------------------------------------------------- interval algebra and ledger
 
 

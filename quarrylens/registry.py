@@ -10,7 +10,11 @@ MODULES = ["operators.files", "operators.symbols", "operators.search", "operator
 
 
 def _all():
-    out = {"p6_found": (incremental.p6_found, incremental.P6_FOUND_SQL)}
+    out = {
+        "p6_found": (incremental.p6_found, incremental.P6_FOUND_SQL),
+        "p6_gaps": (incremental.p6_gaps, incremental.P6_GAPS_SQL),
+        "p6_unprocessed": (incremental.p6_unprocessed, incremental.P6_UNPROCESSED_SQL),
+    }
     for m in MODULES:
         out |= importlib.import_module(f"quarrylens.{m}").QUERIES
     return out
