@@ -52,7 +52,7 @@ def line_table(files: DataFrame) -> DataFrame:
 
 def read_window(files: DataFrame, offset: int, limit: int) -> DataFrame:
     """Numbered lines from ``offset`` on, at most ``limit``, of every file; a byte-order mark is dropped."""
-    d = files.withColumn("content", F.regexp_replace("content", "^﻿", ""))
+    d = files.withColumn("content", F.regexp_replace("content", "^\ufeff", ""))
     hit = line_table(d).filter(F.col("line_no").between(offset, offset + limit - 1))
     return hit.select("file_id", "line_no", tx.numbered_line(F.col("line_no"), F.col("text")).alias("rendered"))
 
@@ -114,6 +114,8 @@ _DIRS = "string_split(file_path, '/')[:len(string_split(file_path, '/')) - 1]"
 _NAME = "string_split(file_path, '/')[-1]"
 _EXT = f"lower(regexp_extract({_NAME}, '[^.]\\.([^.]+)$', 1))"
 
+_BOM_FREE_LINES_SQL = LINES_SQL.replace("from source_files where", "from (select file_id, regexp_replace(content, '^\ufeff', '') as content from source_files) where")
+
 
 def _sql_list(xs) -> str:
     return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
@@ -311,7 +313,7 @@ QUERIES = {
     "a4_language_of_path": (a4_language_of_path, f"select file_id, {_LANG_SQL} as language from source_files"),
     "a5_index_entries": (a5_index_entries, f"select file_id, mtime_ns, size_bytes from source_files where size_bytes <= {lang.MAX_INDEXED_BYTES} and not {_JUNK_SQL} and not {_EXCLUDED_SQL} and {_LANG_SQL} is not null"),
     "a6_utf8_files": (a6_utf8_files, "select file_id from source_files where content is not null"),
-    "a7_read_window": (a7_read_window, f"with source_files as (select * replace (regexp_replace(content, '^﻿', '') as content) from main.source_files), {LINES_SQL} select file_id, cast(line_no as int) as line_no, lpad(cast(line_no as varchar), 6, ' ') || '→' || text as rendered from lines where line_no between 3 and 7"),
+    "a7_read_window": (a7_read_window, f"with {_BOM_FREE_LINES_SQL} select file_id, cast(line_no as int) as line_no, lpad(cast(line_no as varchar), 6, ' ') || '→' || text as rendered from lines where line_no between 3 and 7"),
     "a8_new_reads": (a8_new_reads, "select result_id, mtime_ms from (select r.result_id, s.mtime_ns // 1000000 as mtime_ms, row_number() over (partition by r.repo, r.file_path, s.mtime_ns // 1000000 order by searched_at, result_id) as rn from search_results r join source_files s on r.repo = s.repo and r.file_path = s.file_path) where rn = 1"),
     "a9_full_scan": (a9_full_scan, "select repo, file_path, mtime_ns from source_files"),
     "a17_tree_fingerprint": (a17_tree_fingerprint, "select repo, count(*) || ':' || (max(mtime_ns) // 1000000) as fingerprint from source_files group by repo"),
