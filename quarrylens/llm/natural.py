@@ -69,6 +69,7 @@ _CODE_WORDS = regex.compile(
     r"""(?x) \b[a-z][a-z0-9+.-]*://\S+ | \S+@\S+\.\S+ | (?<!\w)--?[A-Za-z][\w-]*(?:=\S+)? | \S*[\\/]\S*[\\/]\S* | \S*/\S*\.\w{1,5}\b
       | \b\w+(?:\.\w+){2,}\b | \b\w*[\p{L}\d]_\w+ | \b\p{Ll}+\p{Lu}\w* | \b\w+\(\S*\) | `[^`]*` | \b0x[0-9a-fA-F]+ | \b[0-9a-fA-F]*\d[0-9a-fA-F]*\b | \b\w*\d\w*\b"""
 )
+_CODE_SIGN = regex.compile(r"[/@_(`\d\\:]|(?<!\w)-|\.\w|\p{Ll}\p{Lu}")
 _WORD = regex.compile(r"\p{L}+(?:['’]\p{L}+)*")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 _PLAIN = regex.compile(r"[\p{Ps}\p{Pi}\"'¿¡*_]*\p{L}+(?:[-'’]\p{L}+)*[\p{Pe}\p{Pf}\"'.,;:!?…*_]*")
@@ -93,7 +94,13 @@ def natural_part(text: str | None, name: str | None = None) -> str:
             continue
         kept.append(line)
     t = " ".join(kept)
-    t = _CODE_WORDS.sub(" ", _HOLES.sub(" ", _MARKUP.sub(" ", t)))
+    # each substitution only where one of its signs stands in the text
+    if "<" in t or "&" in t:
+        t = _MARKUP.sub(" ", t)
+    if "{" in t or "%" in t or "\\" in t:
+        t = _HOLES.sub(" ", t)
+    if _CODE_SIGN.search(t):
+        t = _CODE_WORDS.sub(" ", t)
     if name and name in t:
         t = re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", " ", t)
     words = _WORD.findall(t)
