@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quarrylens.llm import lexer as L
 from quarrylens.llm.docpairs import _CODE, _CODE_START, _LIST_NAME, _TAG, _TYPE_TAG, clean_description, name_words, split_lines
 from quarrylens.llm.pieces import PIECE_CHARS, pieces_with_start
+from quarrylens.llm.sampling import sampled_texts
 from quarrylens.session import table
 
 LANGUAGES = ["en", "de", "fr", "es", "pt", "ko", "ja", "zh", "ru"]
@@ -222,13 +223,13 @@ def weak_label(text: str) -> int | None:
 
 def fitted(texts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Weights fitted on the seeds and at most ``sample_rows`` texts of the corpus, those of least hash."""
-    rows = texts.filter(F.length("text") >= 12).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(sample_rows).collect()
+    rows = sampled_texts(texts, sample_rows, 12)
     x, y = [], []
     for lang, seeds in SEEDS.items():
         for s in seeds:
             x.append(s)
             y.append(CLASSES.index(lang))
-    for (t,) in rows:
+    for t in rows:
         part = natural_part(t)
         if part:
             label = weak_label(part)
@@ -263,7 +264,7 @@ def natural_rows(symbols: DataFrame, literals: DataFrame) -> DataFrame:
     spark = symbols.sparkSession
     docs = symbols.filter(F.length(F.trim("docstring")) >= 8).select(F.col("symbol_id").alias("row_id"), F.col("docstring").alias("text"), "name").distinct()
     lits = literals.filter(F.length(F.trim("text")) >= 8).select(F.col("literal_id").alias("row_id"), "text").distinct()
-    weights = spark.sparkContext.broadcast(fitted(docs.select("text").unionByName(lits.select("text"))))
+    weights = spark.sparkContext.broadcast(fitted(symbols.select(F.col("docstring").alias("text")).unionByName(literals.select("text"))))
     schema = "origin string, row_id long, nl_lang string"
     return docs.mapInPandas(_labelled(weights, "docstring", True), schema).unionByName(lits.mapInPandas(_labelled(weights, "literal", False), schema)).distinct()
 
