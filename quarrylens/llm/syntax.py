@@ -50,10 +50,16 @@ _IDENTIFIER = re.compile(r"(?<![\w$@#])[^\W\d][\w$]*")
 _KEYWORD_SETS = {f: frozenset(words.split()) for f, words in _KEYWORDS.items()}
 
 
+# statement words as names of properties
+_PROPERTY = re.compile(r"(?<=[\w$)\]?]\.)(?:if|while|switch|catch|for|else|import|return)\b|\b(?:if|while|switch|catch|for)(?= ?:)")
+
+
 def _template(masked: str, family: str) -> str:
     keywords = _KEYWORD_SETS[family]
     t = _IDENTIFIER.sub(lambda m: m[0] if m[0] in keywords else "I", _LIST.sub("0", masked))
     t = _NUMBER.sub("I", t).replace(L.STRING_MARK, "I" if family in ("rust", "c", "java") else "S")
+    if family in ("js", "ts"):
+        t = _PROPERTY.sub("I", t)
     return _SPACE.sub(" ", t)
 
 
@@ -78,80 +84,230 @@ _NOT_CODE = re.compile(r"^\s*(?:version https?://\S+|oid sha256:[0-9a-f]+|Traceb
 
 # definite errors inside one line, whatever stands around it
 _COMMON_BAD = re.compile(
-    r"[=/%.]\s*[;)\]]|(?<![+-])[+-]\s*[;)\]]|\|\|\s*[;)\]]|&&\s*[;)\]]|,\s*,|\(\s*,|,\s*;|=\s*,|^\s*(?:=(?!>)|\)\s*I\b.*[^{]$)"
+    r"(?:[=/%]|(?<!\.)\.)\s*[;)\]]|(?<![+-])[+-]\s*[;)\]]|\|\|\s*[;)\]]|&&\s*[;)\]]|,\s*,|\(\s*,|,\s*;|=\s*,|^\s*(?:=(?!>)|\)\s*I\b.*[^{]$)"
 )
 _BAD = {
     # an operand right after another, headers without parentheses, signs of other languages
-    "js": re.compile(r"[IS)\]] +[IS](?![\w$])|[IS]I|^\s*#(?!!)|:=|->|::|^import (?:I\.|I;|I$)|\b(?:if|while|switch|catch|for) *(?! |\(|\{|await)|^\s*@I.*I$|\)\s*:\s*$|^[^?]*\bfor \([^;)]*\)\s*:|^else\b.*:\s*$|^\s*:I|\b(?:if|while|switch) [^(]"),
-    "java": re.compile(r"I +I +I(?![\w$])|^\s*#|:=|^(?:export|function|def|fn|func|let|use|impl|pub|from) |\b(?:if|while|switch|catch|for) *[^ (]|\b(?:if|while|switch|for) [^(]|\)\s*:\s*$|^import [^;]*$|^package [^;]*$|\)\s*->\s*\w+[^{;]*\{|^\s*:I|\S[^/]*\) I \{$|^S"),
+    "js": re.compile(r"[IS)\]] +[IS](?![\w$])|[IS]I|^\s*#(?!!|[\w$]+\s*(?:[=;(]|in\b|$))|:=|(?<!-)->|::|^import (?:I\.|I;|I$)|\b(?:if|while|switch|catch|for) *(?! |\(|\{|await)|^\s*@I.*I$|\)\s*:\s*$|^[^?]*\bfor \([^;)]*\)\s*:|^else\b.*:\s*$|^\s*:I|\b(?:if|while|switch) [^(]"),
+    "java": re.compile(r"I +I +I(?![\w$])|^\s*#|:=|^(?:export|function|def|fn|func|let|use|impl|pub|from) |\b(?:if|while|switch|catch|for) *[^ (]|\b(?:if|while|switch|for) [^(]|\)\s*:\s*$|^import [^;]*$|^package [^;]*$|\)\s*->\s*\w+[^{;]*\{|^\s*:I|\S\s*\) I \{$|^S"),
     "go": re.compile(r"I +I +I(?![\w$])|^\s*#|::|=>|->|===|!==|^\s*(?:if|for|switch) *\{?$(?<!for \{)|\b(?:else)\s*:|\)\s*:\s*$|^import (?!\(|S|I S|_ S|\. S)|;\s*$|^(?:export|private|public|static|let|class|def|async|from|extends|implements) |^\s*:I|^I I$(?<=^I I)(?!)"),
     "rust": re.compile(r"I +I(?![\w!'])|:=|===|!==|^\s*#(?![!\[])|\)\s*:\s*$|^\s*:I|\b(?:if|while|match)\s*$|^import |^package |^(?:export|function|class|private|public|def|func|var|package|import) "),
     "c": re.compile(r"I +I +I(?![\w$])|:=|===|!==|=>|^import |^package |^use |\b(?:if|while|switch|for) *[^ (]|\b(?:if|while|switch|for) [^(]|\)\s*:\s*$|^\s*:I|^(?:export|function|fn|func|def|let|pub|impl) |\) *-> *I|^\s*#(?!\s*(?:I|include|if|ifdef|ifndef|else|elif|endif|define|undef|pragma|error|warning|line)\b)"),
 }
-_BAD["ts"] = re.compile(r"[IS)\]] +[IS](?![\w$])|[IS]I|^\s*#(?!!|I)|:=|(?<!=)->|::|^import (?:I\.|I;|I$)|\b(?:while|switch|catch) *[^ (\{]|\)\s*:\s*$|^else\b.*:\s*$|\b(?:if|while|switch) [^(]")
+_BAD["ts"] = re.compile(r"[IS)\]] +[IS](?![\w$])|[IS]I|^\s*#(?!!|I|[\w$]+\s*(?:[=;(:]|in\b|$))|:=|(?<![=-])->|::|^import (?:I\.|I;|I$)|\b(?:while|switch|catch) *[^ (\{]|\)\s*:\s*$|^else\b.*:\s*$|\b(?:if|while|switch) [^(]")
 _TYPED_JS = re.compile(r"\bfunction\b[^({]*\([^)]*I\??\s*:|^(?:\s*(?:async|static|get|set) )*\s*I\([^)]*I\s*:\s*I[^)]*\)\s*(?::[^{]*)?\{|\)\s*:\s*[^{?]*\{\s*$|\b(?:const|let|var) I\s*:|^(?:export )?(?:interface|enum|declare|namespace|abstract) I|^(?:export )?type I\s*=|\bimport type\b|\bI as (?:const|I)\b")
 _SEMICOLON = frozenset({"java", "c"})
 _ENDS_OPEN = re.compile(r"(?:[,;{}(\[=+\-*/%&|<>!?:.~^\\]|=>|\b(?:else|do|return|in|of|and|or))$")
 _STARTS_CONTINUED = re.compile(r"^(?:[.,;)\]}?:=+*/%&|<>^{]|-(?!-)|&&|\|\||instanceof\b|throws\b|extends\b|implements\b|where\b|else\b)")
 
 
+# typed parameters and declarations in packed script, where a colon may also belong to an object or a conditional
+_TYPED_PACKED = re.compile(r"\bfunction\b[^({]*\((?:I(?:=[^,()]*)?, ?)*I\??\s*:|\bfunction\b[^({]*\([^()?]*\)\s*:\s*[^{?]*\{$|^\}?(?:(?:async|static|get|set) )*I\((?:I, ?)*I\s*:\s*I[^()?]*\)\s*\{$|^\}?(?:const|let|var) I\s*:|^\}?(?:export )?(?:interface|enum|declare|namespace|abstract) I|^\}?(?:export )?type I\s*=|\bimport type\b|\bas const\b")
+#: Statements longer than this are taken apart before they meet the patterns; none is left out.
+LONG = 2000
+
+
+# in scripts: a condition is no operand to what follows it, and arrays may have holes
+_CONDITION = re.compile(r"\b(if|while|for|with) ?\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\) +(?=[IS])")
+_HOLES = re.compile(r"(?<=\[)[ ,]*,|,(?= ?,[^()\[\]{}]*\])")
+
+
+def _bad_form(r: str, t: str, family: str, packed: bool = False) -> bool:
+    if family in ("js", "ts"):
+        if "," in r and "[" in r:
+            r = _HOLES.sub("", r)
+        if ") " in r:
+            r = _CONDITION.sub(r"\1 (I) {", r)
+    if _COMMON_BAD.search(r) or _BAD[family].search(r):
+        return True
+    return family == "js" and bool((_TYPED_PACKED if packed else _TYPED_JS).search(t))
+
+
 @lru_cache(200_000)
-def _line_facts(t: str, family: str) -> tuple[bool, int, str]:
-    """(bad, net depth of round and square brackets, reduced form) of one line's template."""
+def _line_facts(t: str, family: str, packed: bool = False) -> tuple[bool, str]:
+    """(bad, reduced form) of one statement's template."""
     t = t.strip()
-    depth = t.count("(") + t.count("[") - t.count(")") - t.count("]")
     if not t:
-        return False, 0, ""
+        return False, ""
     r = _reduced(t)
-    bad = bool(_COMMON_BAD.search(r)) and depth == 0
-    if not bad and depth == 0:
-        bad = bool(_BAD[family].search(r))
-    if not bad and family == "js":
-        bad = bool(_TYPED_JS.search(t))
-    return bad, depth, r
+    depth = t.count("(") + t.count("[") - t.count(")") - t.count("]")
+    if depth:
+        return family == "js" and bool((_TYPED_PACKED if packed else _TYPED_JS).search(t)), r
+    return _bad_form(r, t, family, packed), r
+
+
+_LEVEL = re.compile(r"[()\[\]{},]")
+_CLOSED_BY = {"(": ")", "[": "]", "{": "}"}
+
+
+def _long_facts(t: str, family: str) -> tuple[bool, str]:
+    """As ``_line_facts`` for a statement of any length: each element between commas is judged by itself, innermost
+    brackets first, and counts as one operand in what stands around it."""
+    levels: list[list] = [["", [], 0, ""]]  # opener, parts of the element so far, elements before it, the first of them
+    at = 0
+
+    def judged(level: list, more: bool) -> bool:
+        opener, parts, n, _ = level
+        e = "".join(parts).strip()
+        if not e:  # a comma may end a list; arrays of scripts may have holes
+            return not more or (opener == "[" and family in ("js", "ts"))
+        if not opener and not n:
+            t = e + ")" if more else e
+        else:
+            t = f"({e})"
+        if more and not n:
+            level[3] = e
+        return not _bad_form(_reduced(t), t, family, True)
+
+    for m in _LEVEL.finditer(t):
+        ch, level = m[0], levels[-1]
+        level[1].append(t[at : m.start()])
+        at = m.end()
+        if ch == ",":
+            if not judged(level, True):
+                return True, ""
+            level[1], level[2] = [], level[2] + 1
+        elif ch in _CLOSED_BY:
+            levels.append([ch, [], 0, ""])
+        elif level[0] and _CLOSED_BY[level[0]] == ch:
+            empty = not level[2] and not "".join(level[1]).strip()
+            if not judged(level, False):
+                return True, ""
+            levels.pop()
+            levels[-1][1].append(level[0] + ("" if empty else "I") + ch)
+        else:
+            level[1].append(ch)
+    levels[-1][1].append(t[at:])
+    r = []
+    for level in levels:
+        if len(levels) == 1 and not judged(level, False):
+            return True, ""
+        r.append(level[0] + (level[3] + "," if level[2] else "") + "".join(level[1]))
+    return False, _reduced("".join(r).strip())
+
+
+_BLOCK_HEAD = {
+    "js": re.compile(r"(?:=>|\))\s*$|\b(?:class|else|do|try|finally|static|catch)\b[^(){}\[\],;]*$"),
+    "java": re.compile(r"(?:->|\))\s*$|\b(?:class|else|do|try|finally|static)\b[^(){}\[\],;]*$"),
+    "go": re.compile(r"\bfunc ?\([^{}]*$|\b(?:if|for|switch|select|else|struct|interface)\b[^{},]*$"),
+    "rust": re.compile(r"(?:\||=>|\))\s*$|\|\s*->[^{},|]*$|\b(?:if|else|match|loop|while|for|unsafe|async|move)\b[^{},;]*$"),
+    "c": re.compile(r"\]\s*\([^()]*\)[^(){},;]*$|\b(?:do|else)\s*$|\b(?:if|for|while|switch)\b.*\)\s*$"),
+}
+_BLOCK_HEAD["ts"] = re.compile(_BLOCK_HEAD["js"].pattern + r"|\)\s*:[^(){},;=]*$")
+_EDGE = re.compile(r"[()\[\]{}]")
+_EDGE_PACKED = re.compile(r"[()\[\]{};]")
+
+
+class _Frame:
+    """The statements of one block: what they leave to the next, and the statement that is still open."""
+
+    __slots__ = ("braces", "held", "inits", "opened", "previous")
+
+    def __init__(self) -> None:
+        self.previous, self.held = "", ""
+        self.inits: list[bool] = []  # for each open brace: does it hold values instead of statements
+        self.opened: list[str] = []  # open brackets of the held statement
+        self.braces = 0
+
+
+def _statement_ok(line: str, family: str, frame: _Frame, packed: bool) -> bool:
+    """One whole statement in the order of its block."""
+    bad, r = _line_facts(line, family, packed) if len(line) <= LONG else _long_facts(line, family)
+    if bad:
+        return False
+    previous, inits = frame.previous, frame.inits
+    if not r:
+        return True
+    if r.startswith("else") and previous and not previous.endswith(("}", ";")) or r.startswith(("catch", "finally")) and family != "c" and previous and not previous.endswith("}"):
+        return False
+    if family in _SEMICOLON and previous and not (inits and inits[-1]) and not _STARTS_CONTINUED.match(r) and not _ENDS_OPEN.search(previous) and not previous.startswith("@") and not re.match(r"(?:if|for|while|else|switch|do|case|default)\b", previous) and not previous.endswith(")") | bool(re.search(r"\b(?:class|enum|interface|struct|union)\b[^;]*$", previous)):
+        return False
+    if family in _SEMICOLON and r.startswith("}") and not (inits and inits[-1]) and re.match(r"(?:return\b.*|[\w ]*I = .*)[^;{},:]$", previous) and previous[-1] in "ISN)]":
+        return False
+    if family == "rust" and re.match(r"(?:let|use|pub const|const|static|return)\b[^{]*[^;{},(]$", previous) and not _STARTS_CONTINUED.match(r):
+        return False
+    header = re.match(r"(?:(?:export|default|async|public|private|protected|static|final|pub|unsafe|extern) )*(?:function|func|fn|class|struct|impl|trait|interface|enum)\b", previous)
+    if header and not previous.endswith(("{", "}", ";", ",", "(", "=")) and not r.startswith(("{", "where", "extends", "implements", ":", "throws", "|", "&", "=>", ")")) and family != "c":
+        return False
+    for i, ch in enumerate(r):
+        if ch == "{":
+            head = r[:i].rstrip()
+            inits.append(head.endswith(("=", ",", "(", "[", "]", ":", "{")) or (not head and previous.endswith(("=", ",", "("))) or bool(inits and inits[-1]) or bool(re.search(r"\benum\b[^;]*$", head)))
+        elif ch == "}" and inits:
+            inits.pop()
+    frame.previous = r
+    return True
 
 
 def _brace_statements_ok(masked: str, family: str) -> bool:
+    """The grammar over every statement. One goes on while round or square brackets are open; blocks of statements inside
+    such brackets (callbacks) are frames of their own, and packed lines are cut at semicolons and braces."""
     t = _template(masked, family)
-    depth, previous, held = 0, "", ""
-    inits: list[bool] = []  # for each open brace: does it hold values instead of statements
+    frames = [_Frame()]
+    block_head = _BLOCK_HEAD[family]
     for line in t.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
         line = line.strip()
         if not line:
             continue
+        frame = frames[-1]
         if family == "c" and line.startswith("#"):
             if _line_facts(line, family)[0]:
                 return False
             continue
-        if held:
-            line = f"{held} {line}"
-        bad, depth, r = _line_facts(line, family) if len(line) <= 2000 else (False, line.count("(") + line.count("[") - line.count(")") - line.count("]"), "")
-        if depth > 0 and len(line) < 20_000:
-            held = line  # a statement goes on while round or square brackets are open
-            continue
-        held = ""
-        if bad:
-            return False
-        if r:
-            if r.startswith("else") and previous and not previous.endswith(("}", ";")) or r.startswith(("catch", "finally")) and family != "c" and previous and not previous.endswith("}"):
-                return False
-            if family in _SEMICOLON and previous and not (inits and inits[-1]) and not _STARTS_CONTINUED.match(r) and not _ENDS_OPEN.search(previous) and not previous.startswith("@") and not re.match(r"(?:if|for|while|else|switch|do|case|default)\b", previous) and not previous.endswith(")") | bool(re.search(r"\b(?:class|enum|interface|struct|union)\b[^;]*$", previous)):
+        packed = len(line) > LONG
+        if not packed and not frame.held and (len(frames) == 1 or "}" not in line) and line.count("(") == line.count(")") and line.count("[") == line.count("]"):
+            frame.braces += line.count("{") - line.count("}")
+            if not _statement_ok(line, family, frame, False):
                 return False
-            if family in _SEMICOLON and r.startswith("}") and not (inits and inits[-1]) and re.match(r"(?:return\b.*|[\w ]*I = .*)[^;{},:]$", previous) and previous[-1] in "ISN)]":
-                return False
-            if family == "rust" and re.match(r"(?:let|use|pub const|const|static|return)\b[^{]*[^;{},(]$", previous) and not _STARTS_CONTINUED.match(r):
-                return False
-            header = re.match(r"(?:(?:export|default|async|public|private|protected|static|final|pub|unsafe|extern) )*(?:function|func|fn|class|struct|impl|trait|interface|enum)\b", previous)
-            if header and not previous.endswith(("{", "}", ";", ",", "(", "=")) and not r.startswith(("{", "where", "extends", "implements", ":", "throws", "|", "&", "=>", ")")) and family != "c":
+            continue
+        at = 0
+        for m in (_EDGE_PACKED if packed else _EDGE).finditer(line):
+            ch, frame = m[0], frames[-1]
+            if ch in "([":
+                frame.opened.append(ch)
+            elif ch in ")]":
+                if frame.opened:
+                    frame.opened.pop()
+            elif ch == ";":
+                if not frame.opened:
+                    if not _statement_ok(f"{frame.held} {line[at : m.end()]}".strip(), family, frame, True):
+                        return False
+                    frame.held, at = "", m.end()
+            elif ch == "{":
+                if frame.opened:
+                    if block_head.search(f"{frame.held[-400:]} {line[max(at, m.start() - 400) : m.start()]}"):
+                        frame.held, at = f"{frame.held} {line[at : m.end()]}".strip(), m.end()
+                        frames.append(_Frame())
+                    else:
+                        frame.opened.append(ch)
+                else:
+                    frame.braces += 1
+                    if packed:
+                        if not _statement_ok(f"{frame.held} {line[at : m.end()]}".strip(), family, frame, True):
+                            return False
+                        frame.held, at = "", m.end()
+            elif frame.opened:
+                frame.opened.pop()
+            elif frame.braces > 0 or len(frames) == 1:
+                frame.braces -= 1
+                if packed:
+                    if not _statement_ok(f"{frame.held} {line[at : m.start()]}".strip(), family, frame, True):
+                        return False
+                    frame.held, at = "", m.start()
+            else:
+                if not _statement_ok(f"{frame.held} {line[at : m.start()]}".strip(), family, frame, packed):
+                    return False
+                frames.pop()
+                at = m.start()
+        frame = frames[-1]
+        rest = line[at:].strip()
+        if rest:
+            frame.held = f"{frame.held} {rest}" if frame.held else rest
+        if not frame.opened and frame.held:
+            if not _statement_ok(frame.held, family, frame, packed):
                 return False
-            for i, ch in enumerate(r):
-                if ch == "{":
-                    head = r[:i].rstrip()
-                    inits.append(head.endswith(("=", ",", "(", "[", "]", ":", "{")) or (not head and previous.endswith(("=", ",", "("))) or bool(inits and inits[-1]) or bool(re.search(r"\benum\b[^;]*$", head)))
-                elif ch == "}" and inits:
-                    inits.pop()
-            previous = r
-    return True
+            frame.held = ""
+    return all(_statement_ok(f.held, family, f, False) for f in frames if f.held and not f.opened)
 
 
 # ---------------------------------------------------------------- languages of other forms

@@ -54,3 +54,23 @@ def test_large_files_by_pieces(spark, monkeypatch):
     assert sorted(r.file_id for r in sx.invalid_files(d).collect()) == [2, 3, 5]
     assert pc.pieces_with_start(d.filter("file_id = 1"), 400).count() > 5
     assert sx.invalid_files(d.limit(0)).count() == 0
+
+
+PACKED = {
+    "statements": ("a.js", "var a=1;" * 500, "b=c d;", "b=c;"),
+    "one list": ("b.js", "var a=[" + "x+1," * 900, "y z];", ",y,{if:1,for:2}];for(;n-->0;)f();"),
+    "callback": ("c.js", "define(['a'], function(a) {\n" + "  a.f(1);\n" * 500, "  a b c;\n});\n", "  if (a) b()\n  c()\n});\n"),
+    "long callback": ("d.js", "(function() {\n" + "  a.f(1);\n" * 4000, "  def f(a):\n})();\n", "})();\n"),
+    "packed callback": ("e.js", "(function(){" + "var o={a:function(){return c?f(y):{b:1}}};" * 90, "o=1 2})();", "o=12})();"),
+    "typed method": ("f.js", "class A{" + "f(a,b){return a+b}" * 200, "f(a:string){return a}}", "f(a){return a}}"),
+    "list of c": ("g.c", "int a[] = {" + "x, " * 900, "y z w q};\n", "y };\n"),
+    "callback of go": ("h.go", 'func T(t *T) {\n\tt.Run("a", func(t *T) {\n' + "\t\tg(x)\n" * 900, "\t\tlet x = 1;\n\t})\n}\n", "\t\tx := 1\n\t})\n}\n"),
+    "lambda of java": ("i.java", "class A {\n  void f() {\n    x.forEach(y -> {\n" + "      g(y);\n" * 900, "      g(y)\n      h(y);\n    });\n  }\n}\n", "      h(y);\n    });\n  }\n}\n"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PACKED))
+def test_statements_of_any_length(name):
+    path, head, bad, good = PACKED[name]
+    family = L.FAMILY[L.extension(path)]
+    assert sx.is_valid(head + good, family) and not sx.is_valid(head + bad, family)
