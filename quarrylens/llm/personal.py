@@ -119,9 +119,8 @@ def _emails(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def candidates(text: str, common: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
-    """Broad candidates (start, end, type); those of one type don't overlap. ``common``: words too common in lower case to
-    be part of a name."""
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """Broad candidates (start, end, type); those of one type don't overlap."""
     out = _emails(text)
     out += [(m.start(), m.start() + _phone_end(m[0]), "phone") for m in _PHONE.finditer(text) if _phone_like(m[0])]
     out += [(m.start(), m.end(), "id_number") for m in _ID.finditer(text) if sum(c.isdigit() for c in m[0]) >= 5]
@@ -130,20 +129,7 @@ def candidates(text: str, common: frozenset[str] = frozenset()) -> list[tuple[in
     for words, p in _ADDRESSES[: None if hangul else -1]:
         if any(w in text for w in words):
             out += [(m.start(), m.end(), "address") for m in p.finditer(text)]
-    for m in _NAMES.finditer(text):
-        if not common:
-            out.append((m.start(), m.end(), "person_name"))
-            continue
-        run: list[tuple[int, int]] = []
-        for t in _NAME_TOKEN.finditer(text, m.start(), m.end()):
-            if t[0].lower() in common:
-                if len(run) > 1:
-                    out.append((run[0][0], run[-1][1], "person_name"))
-                run = []
-            else:
-                run.append(t.span())
-        if len(run) > 1:
-            out.append((run[0][0], run[-1][1], "person_name"))
+    out += [(m.start(), m.end(), "person_name") for m in _NAMES.finditer(text)]
     if hangul:
         out += [(m.start(), m.end(), "person_name") for m in _HANGUL_NAME.finditer(text)]
     return sorted(out)
@@ -183,7 +169,7 @@ def given_names(texts: list[str], least: int = 2) -> set[str]:
 def weak_spans(text: str, given: set[str], common: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """Labelled spans of a sample text, by strict forms and the words around the candidates."""
     out = []
-    for s, e, kind in candidates(text, common):
+    for s, e, kind in candidates(text):
         before, after = text[max(0, s - 48) : s], text[e : e + 32]
         if kind == "phone" and (_NOT_PHONE.search(before) or _ID_WORD.search(before[-40:]) or _ID_WORD.match(after.lstrip(" (")) or re.fullmatch(r"\d{3} \d{2} \d{4}|\d{2} \d{3} \d{3} \d{3}", text[s:e])):
             continue
@@ -192,25 +178,25 @@ def weak_spans(text: str, given: set[str], common: frozenset[str] = frozenset())
         if kind == "address" and _NOT_ADDRESS.match(after):
             continue
         if kind == "person_name" and not ("가" <= text[s] <= "힣"):
-            out += [(a, b, kind) for a, b in _given_pairs(text, s, e, given)]
+            out += [(a, b, kind) for a, b in _given_pairs(text, s, e, given, common)]
             continue
         out.append((s, e, kind))
     return _disjoint(out)
 
 
-def _given_pairs(text: str, s: int, e: int, given: set[str]) -> list[tuple[int, int]]:
+def _given_pairs(text: str, s: int, e: int, given: set[str], common: frozenset[str]) -> list[tuple[int, int]]:
     tokens = [(m.start() + s, m.end() + s, m[0]) for m in _NAME_TOKEN.finditer(text[s:e])]
     out, used = [], -1
     for i, (a, b, w) in enumerate(tokens):
-        if w.title() not in given or i <= used:
+        if w.title() not in given or i <= used or w.lower() in common:
             continue
         j = i + 1
         if j < len(tokens) and len(tokens[j][2]) == 2 and tokens[j][2].endswith("."):
             j += 1
-        if i > 0 and i - 1 > used and text[tokens[i - 1][1] : a] == ", ":
+        if i > 0 and i - 1 > used and text[tokens[i - 1][1] : a] == ", " and tokens[i - 1][2].lower() not in common:
             out.append((tokens[i - 1][0], b))
             used = i
-        elif j < len(tokens) and "," not in text[b : tokens[j][0]]:
+        elif j < len(tokens) and "," not in text[b : tokens[j][0]] and tokens[j][2].lower() not in common:
             out.append((a, tokens[j][1]))
             used = j
     return out
@@ -249,8 +235,21 @@ HIDDEN = 32
 TAGS = 1 + 2 * len(TYPES)  # O, then begin and inside of each type
 
 
-def char_codes(text: str) -> np.ndarray:
-    """Small numbers for characters: ASCII its own, others by script and case."""
+_CAPITALISED = re.compile(rf"(?<![\w])[{_UP}][{_LO}]+")
+
+
+def char_codes(text: str, common: frozenset[str] = frozenset()) -> np.ndarray:
+    """Small numbers for characters: ASCII its own, others by script and case; capitals that begin a word of ``common``
+    have numbers of their own, so commonness is a feature that the words around may outweigh."""
+    out = _plain_codes(text)
+    if common:
+        for m in _CAPITALISED.finditer(text):
+            if m[0].lower() in common:
+                out[m.start()] = 160 + ord(m[0][0]) - 65 if m[0][0] <= "Z" else 186
+    return out
+
+
+def _plain_codes(text: str) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     if (c < 128).all():
         return c.astype(np.uint8)
@@ -438,8 +437,9 @@ def _padded(rows: list[np.ndarray], dtype) -> tuple[np.ndarray, np.ndarray]:
 _DIGIT = re.compile(r"\d")
 
 
-def _varied(text: str, tags: np.ndarray, names: list[tuple[str, str]], rng: np.random.Generator) -> tuple[str, np.ndarray]:
-    """A copy of a labelled window with other digits in its labelled spans and other names, in other orders and cases."""
+def _varied(text: str, tags: np.ndarray, names: list[tuple[str, str]], rng: np.random.Generator, words: list[str] = []) -> tuple[str, np.ndarray]:
+    """A copy of a labelled window with other digits in its labelled spans and other names, in other orders and cases;
+    some of these hold one of ``words``."""
     kinds = (tags + 1) // 2
     chars = list(text)
     for i in np.flatnonzero((kinds == 2) | (kinds == 3) | (kinds == 4)):
@@ -455,6 +455,9 @@ def _varied(text: str, tags: np.ndarray, names: list[tuple[str, str]], rng: np.r
         if e == len(tags) or "가" <= text[s] <= "힣" or not names:
             continue
         given, family = names[rng.integers(len(names))][0], names[rng.integers(len(names))][1]
+        if words and rng.random() < 0.12:
+            word = words[rng.integers(len(words))].title()
+            given, family = (word, family) if rng.random() < 0.8 else (given, word)
         middle = f"{chr(65 + rng.integers(26))}. " if rng.random() < 0.15 else ""
         new = f"{family}, {given}" if rng.random() < 0.2 else f"{given} {middle}{family}"
         if rng.random() < 0.12:
@@ -493,7 +496,7 @@ def train(
                 w = [x for x in text[s:e].replace(",", " ,").split() if not x.endswith(".")]
                 pair = (w[2], w[0]) if len(w) == 3 and w[1] == "," else (w[0], w[-1])
                 names.append((pair[0].title(), "-".join(x.capitalize() if i == 0 else x.lower() for i, x in enumerate(pair[1].split("-")))))
-        for a, b in stretches(text, candidates(text, common)):
+        for a, b in stretches(text, candidates(text)):
             for p in range(a, b, WINDOW - OVERLAP):
                 q = min(b, p + WINDOW)
                 present = {int(k) for k in np.unique((tags[p:q] + 1) // 2) if k}
@@ -506,6 +509,7 @@ def train(
                     break
     model = Tagger(seed)
     model.common = common
+    words = sorted(w for w in common if 3 <= len(w) <= 9)
     if not by_type:
         return model
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -516,10 +520,10 @@ def train(
         data: list[tuple[np.ndarray, np.ndarray]] = []
         for rows in by_type.values():
             for j in rng.integers(0, len(rows), share) if len(rows) > share else np.resize(rng.permutation(len(rows)), share):
-                t, g = _varied(*rows[j], names, rng) if rng.random() < 0.7 else rows[j]
-                data.append((char_codes(t), g))
+                t, g = _varied(*rows[j], names, rng, words) if rng.random() < 0.7 else rows[j]
+                data.append((char_codes(t, common), g))
         for j in rng.permutation(len(without))[: windows // 2]:
-            data.append((char_codes(without[j][0]), without[j][1]))
+            data.append((char_codes(without[j][0], common), without[j][1]))
         order = sorted(range(len(data)), key=lambda i: (len(data[i][0]) // 12, rng.random()))
         groups = [order[i : i + batch] for i in range(0, len(order), batch)]
         lr = rate * (1 - epoch / epochs) + 0.0008
@@ -547,7 +551,7 @@ def tag_stretches(model: Tagger, texts: list[str]) -> list[np.ndarray]:
     shorter side, and one Viterbi pass over the whole text decides."""
     windows: list[tuple[int, int, np.ndarray]] = []
     for i, t in enumerate(texts):
-        codes = char_codes(t)
+        codes = char_codes(t, model.common)
         for p in range(0, max(1, len(codes)), WINDOW - OVERLAP):
             windows.append((i, p, codes[p : p + WINDOW]))
             if p + WINDOW >= len(codes):
@@ -626,7 +630,7 @@ def find(model: Tagger, texts: list[str | None]) -> list[list[tuple[int, int, st
         while end < len(texts) and (end == at or chars < 600_000):
             chars += len(texts[end] or "")
             end += 1
-        cands = [candidates(t, model.common) if t else [] for t in texts[at:end]]
+        cands = [candidates(t) if t else [] for t in texts[at:end]]
         where = [(i, a, b) for i, c in enumerate(cands) for a, b in stretches(texts[at + i] or "", c)]
         if where:
             tagged = tag_stretches(model, [texts[at + i][a:b] for i, a, b in where])

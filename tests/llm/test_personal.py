@@ -88,3 +88,25 @@ def test_operator(spark):
     got = pe.personal_details(d).collect()
     assert {r.doc_id for r in got} <= set(range(60)) and len({tuple(r) for r in got}) == len(got)
     assert pe.personal_details(d.limit(0)).count() == 0
+
+
+def all_names(monkeypatch):
+    """Lets the tagger confirm every candidate for a name, so that what is offered to it shows."""
+    k = pe.TYPES.index("person_name")
+    monkeypatch.setattr(pe, "tag_stretches", lambda model, texts: [pe.np.array([2 * k + 1] + [2 * k + 2] * (len(t) - 1)) for t in texts])
+
+
+def test_common_words_may_be_names(monkeypatch):
+    all_names(monkeypatch)
+    model = pe.Tagger()
+    model.common = frozenset({"mark", "will", "may", "case"})
+    texts = ["see Mark Olsen now", "see Will Turner now", "see May Case now"]
+    assert [{t[s:e] for s, e, k in f} for t, f in zip(texts, pe.find(model, texts))] == [{"Mark Olsen"}, {"Will Turner"}, {"May Case"}]
+
+
+def test_commonness_is_a_feature():
+    t = "by Mark Olsen"
+    assert [int(x) for x in pe.np.flatnonzero(pe.char_codes(t) != pe.char_codes(t, frozenset({"mark"})))] == [3]
+    tags = pe.np.array([0, 0, 0] + [2 * pe.TYPES.index("person_name") + 1] + [2 * pe.TYPES.index("person_name") + 2] * 9 + [0])
+    seen = {pe._varied(t + ".", tags, [("Emil", "Solxen")], pe.np.random.default_rng(i), ["will"])[0] for i in range(60)}
+    assert "by Will Solxen." in seen and "by Emil Solxen." in seen
