@@ -79,15 +79,21 @@ _ADDRESSES = [
         re.compile(r"[가-힣]{1,6}(?:로|길|대로)(?: ?\d{1,4}번?길)? \d{1,4}(?:-\d{1,4})?(?: ?번지)?(?:,? \d{1,4}동)?(?: \d{1,4}호)?(?![\d가-힣])"),
     ),
 ]
-_TOKEN = rf"(?:[{_UP}][{_LO}]+(?:(?:-|['’](?!s\b))[{_UP}{_LO}]+)*|[{_UP}]{{3,}}(?:-[{_UP}]{{2,}})*|[{_UP}]{{2}}(?= [{_UP}]))"
+_UPN, _LON = _UP + "А-ЯЁІЇЄҐΑ-ΩĞİŞ", _LO + "а-яёіїєґα-ωά-ώ"
+_TOKEN = rf"(?:(?:[DdLlO]['’])?[{_UPN}][{_LON}]+(?:(?:-|['’](?!s\b))[{_UPN}{_LON}]+)*|[{_UPN}]{{3,}}(?:-[{_UPN}]{{2,}})*|[{_UPN}]{{2}}(?= [{_UPN}]))"
+# fixed values: lower-case words inside names
+_PARTICLE = r"(?:van|von|vom|zu|zum|zur|de|del|della|den|der|di|da|do|dos|das|du|la|las|los|le|el|al|bin|ibn|ben|ter|ten|af|av|y|e|i)"
 # fixed values: words that begin sentences and are no part of a name
 _NO_NAME = r"(?:The|This|That|These|In|On|At|If|It|We|You|They|He|She|Use|See|Run|When|Only|After|Must|Why|Does|Explain|Build|Ticket|Recall|Returns|Takes|Ping|Clone|Subject|Review|Nothing|Please|Viele|Hi|Hello|Dear|Ask|Cc|Yesterday|As|Hallo|Liebe|Lieber|Grüße|Thanks|Die|Der|Das|Le|La|Les|El|Los|Las)\b"
-_NAMES = re.compile(rf"(?<![\w@.+/-])(?!{_NO_NAME}){_TOKEN}(?:,? (?:[{_UP}]\. )?{_TOKEN})+(?![\w@/(]|-\w|\.\w)")
-_NAME_TOKEN = re.compile(rf"{_TOKEN}|[{_UP}]\.")
+_NAMES = re.compile(rf"(?<![\w@.+/-])(?!{_NO_NAME}){_TOKEN}(?:,? (?:[{_UPN}]\. )?(?:{_PARTICLE} ){{0,3}}{_TOKEN})+(?![\w@/(]|-\w|\.\w)")
+_NAME_TOKEN = re.compile(rf"{_TOKEN}|[{_UPN}]\.")
+# whole runs of scripts without capitals: a name in them is what the tagger marks
+_SCRIPT_RUN = re.compile(r"[가-힣]{2,}|[\u3400-\u9fff\u3041-\u30ff々・]{2,}|[\u0590-\u05ff\u0620-\u06ff\u0900-\u097f\u0e00-\u0e7f]{2,}(?: [\u0590-\u05ff\u0620-\u06ff\u0900-\u097f\u0e00-\u0e7f]{2,}){0,3}")
 # fixed values: Korean family names of two syllables; with them a name shows by itself
 _HANGUL_NAME = re.compile(r"(?<![가-힣])(?:남궁|황보|제갈|사공|선우|서문|독고|동방|망절|어금|소봉|장곡|강전)[가-힣]{1,2}(?![가-힣])")
 
 
+_BARE_NUMBER = re.compile(r"(?<![\w.@/:+#-])\d{7,15}(?![\w@-]|[.:]\d)")
 # fixed values: ways to write a number; a candidate that runs on into another number ends where one of these does
 _PHONE_FORMS = re.compile(
     r"""(?x)^(?: (?:\+\d{2}|00\d{2})[ ]\d{4}[ ]\d{6} | (?:\+\d{2}|00\d{2}|\(\+\d{2}\))[ ]?\d{2}[ -]\d{4}[ -]\d{4} | \+33[ ]\d(?:[ ]\d\d){4} | 0\d(?:[ .]\d\d){4} | \+34[ ]\d{3}(?:[ ]\d\d){3} | \+34[ ]\d{3}[ ]\d{3}[ ]\d{3}
@@ -105,7 +111,7 @@ def _phone_end(s: str) -> int:
 
 def _phone_like(s: str) -> bool:
     digits = sum(c.isdigit() for c in s)
-    return 9 <= digits <= 15 and not (s.isdigit() and not s.startswith("00")) and not re.fullmatch(r"\d{3}-\d{2}-\d{4}", s)
+    return 7 <= digits <= 15 and not re.fullmatch(r"\d{3}-\d{2}-\d{4}", s)
 
 
 def _emails(text: str) -> list[tuple[int, int, str]]:
@@ -123,6 +129,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """Broad candidates (start, end, type); those of one type don't overlap."""
     out = _emails(text)
     out += [(m.start(), m.start() + _phone_end(m[0]), "phone") for m in _PHONE.finditer(text) if _phone_like(m[0])]
+    taken = {(s, e) for s, e, _ in out}
+    out += [(*m.span(), "phone") for m in _BARE_NUMBER.finditer(text) if m.span() not in taken]
     out += [(m.start(), m.end(), "id_number") for m in _ID.finditer(text) if sum(c.isdigit() for c in m[0]) >= 5]
     out += [(m.start(), m.end(), "address") for m in _EN_ADDRESS.finditer(text)]
     hangul = not text.isascii() and re.search("[가-힣]", text) is not None
@@ -130,8 +138,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         if any(w in text for w in words):
             out += [(m.start(), m.end(), "address") for m in p.finditer(text)]
     out += [(m.start(), m.end(), "person_name") for m in _NAMES.finditer(text)]
-    if hangul:
-        out += [(m.start(), m.end(), "person_name") for m in _HANGUL_NAME.finditer(text)]
+    if not text.isascii():
+        out += [(m.start(), m.end(), "person_name") for m in _SCRIPT_RUN.finditer(text)]
     return sorted(out)
 
 
@@ -150,6 +158,7 @@ def common_words(texts: list[str], least: int = 8) -> frozenset[str]:
 # ---------------------------------------------------------------- labels for the training sample
 
 _NOT_PHONE = re.compile(r"(?i)(?<![A-Za-z])(?:build|ticket|run id|ports|port|recall|session=\S*|step=|read|release|version|v|id|pid|line|bytes from|@@ [-+]\S*) ?\Z")
+_PHONE_WORD = re.compile(r"(?i)(?:\b(?:tel|phone|call|mobile|cell|fax|whatsapp|reach me at|téléphone|telefon|telefonnummer|teléfono|móvil|handy)|전화|연락처)\W{0,6}\Z")
 _ID_WORD = re.compile(r"(?i)\bSSN\b|social security|tax id|\bNINO\b|national insurance|passport|licen[cs]e|\bID card|identity card|\bDNI\b|\bNIE\b|\bNIF\b|passeport|sécurité sociale|carte d['’]identité|ausweis|steuer-?id|reisepass|personalausweis|sozialversicherung|주민등록번호|여권번호|운전면허|id number|pasaporte|seguridad social|\bCPF\b")
 _NOT_ADDRESS = re.compile(r"^ (?:workers|stations|jobs|tasks|nodes|slots)\b")
 _INTRODUCES = re.compile(
@@ -173,11 +182,17 @@ def weak_spans(text: str, given: set[str], common: frozenset[str] = frozenset())
         before, after = text[max(0, s - 48) : s], text[e : e + 32]
         if kind == "phone" and (_NOT_PHONE.search(before) or _ID_WORD.search(before[-40:]) or _ID_WORD.match(after.lstrip(" (")) or re.fullmatch(r"\d{3} \d{2} \d{4}|\d{2} \d{3} \d{3} \d{3}", text[s:e])):
             continue
+        if kind == "phone" and (text[s:e].isdigit() and not text.startswith("00", s) or sum(c.isdigit() for c in text[s:e]) < 9) and not _PHONE_WORD.search(before):
+            continue  # a short or bare number needs a word that says what it is
         if kind == "id_number" and not (_ID_WORD.search(re.split(r"\n|[.!?] (?=[A-Z])", before)[-1]) or re.match(r" \(", after) and _ID_WORD.search(after)):
             continue
         if kind == "address" and _NOT_ADDRESS.match(after):
             continue
-        if kind == "person_name" and not ("가" <= text[s] <= "힣"):
+        if kind == "person_name" and _SCRIPT_RUN.match(text, s):
+            if _HANGUL_NAME.fullmatch(text, s, e):
+                out.append((s, e, kind))
+            continue
+        if kind == "person_name":
             out += [(a, b, kind) for a, b in _given_pairs(text, s, e, given, common)]
             continue
         out.append((s, e, kind))
@@ -437,6 +452,28 @@ def _padded(rows: list[np.ndarray], dtype) -> tuple[np.ndarray, np.ndarray]:
 _DIGIT = re.compile(r"\d")
 
 
+# fixed values: parts of names of other scripts and forms, drawn in training only
+_HANGUL_FAMILIES = "김 이 박 최 정 강 조 윤 장 임 한 오 서 신 권 황 안 송 류 홍 전 고 문 양 손 배 백 허 유 남 심 노 하 곽 성 차 주 우 구 민 남궁 황보 제갈 사공 선우 서문 독고 동방".split()
+_HANGUL_GIVEN = "민 수 영 희 지 훈 서 준 현 우 진 은 하 연 도 윤 예 성 재 혜 주 경 미 정 태 호 동 승 유 나 래 마 루 솔 빛 다 온 가 람 누 리 찬".split()
+_HAN_FAMILIES = "王 李 张 刘 陈 杨 黄 赵 吴 周 徐 孙 马 朱 胡 林 郭 何 高 罗 山田 佐藤 鈴木 高橋 田中 伊藤 渡辺 中村 小林 加藤".split()
+_HAN_GIVEN = "小明 伟 芳 娜 秀英 敏 静 丽 强 磊 军 洋 勇 艳 杰 涛 太郎 花子 健一 美咲 陽子 大輔 直樹 恵子".split()
+_CYRILLIC = "Иван Пётр Анна Мария Олег Сергей Ольга Дмитрий".split(), "Петров Иванова Смирнов Кузнецова Соколов Попова Волков Морозов".split()
+_PARTICLES = "van,von,de,de la,van der,del,di,da,dos,bin,von der".split(",")
+_AFTER_HANGUL = ["가", "는", "은", "이", "의", "에게", "입니다", "님이", "와"]
+
+
+def _foreign(rng: np.random.Generator, hangul: bool) -> str:
+    """A name in another script."""
+    pick = lambda xs: xs[rng.integers(len(xs))]
+    kind = 0 if hangul else rng.integers(4)
+    if kind == 0:
+        family = pick(_HANGUL_FAMILIES)
+        return family + pick(_HANGUL_GIVEN) + (pick(_HANGUL_GIVEN) if rng.random() < 0.9 else "")
+    if kind == 1:
+        return f"{pick(_CYRILLIC[0])} {pick(_CYRILLIC[1])}"
+    return pick(_HAN_FAMILIES) + pick(_HAN_GIVEN)
+
+
 def _varied(text: str, tags: np.ndarray, names: list[tuple[str, str]], rng: np.random.Generator, words: list[str] = []) -> tuple[str, np.ndarray]:
     """A copy of a labelled window with other digits in its labelled spans and other names, in other orders and cases;
     some of these hold one of ``words``."""
@@ -445,6 +482,15 @@ def _varied(text: str, tags: np.ndarray, names: list[tuple[str, str]], rng: np.r
     for i in np.flatnonzero((kinds == 2) | (kinds == 3) | (kinds == 4)):
         if chars[i].isdigit() and rng.random() < 0.8:
             chars[i] = str(rng.integers(0, 10))
+    if rng.random() < 0.15:  # phone numbers as bare digits
+        keep = np.array([k != 2 or c.isdigit() for k, c in zip(kinds, chars)], bool)
+        lost = np.flatnonzero(~keep & (tags == 3))  # a first character that goes leaves its tag to the next
+        tags = tags.copy()
+        for i in lost:
+            nxt = next((j for j in range(i + 1, len(tags)) if keep[j]), None)
+            if nxt is not None and kinds[nxt] == 2:
+                tags[nxt] = 3
+        chars, tags = [c for c, k in zip(chars, keep) if k], tags[keep]
     text = "".join(chars)
     out, labels, at = [], [], 0
     starts = np.flatnonzero(tags == 2 * TYPES.index("person_name") + 1)
@@ -452,7 +498,8 @@ def _varied(text: str, tags: np.ndarray, names: list[tuple[str, str]], rng: np.r
         e = s + 1
         while e < len(tags) and tags[e] == tags[s] + 1:
             e += 1
-        if e == len(tags) or "가" <= text[s] <= "힣" or not names:
+        hangul = "가" <= text[s] <= "힣"
+        if e == len(tags) or not names or hangul and rng.random() < 0.2:
             continue
         given, family = names[rng.integers(len(names))][0], names[rng.integers(len(names))][1]
         if words and rng.random() < 0.12:
@@ -462,8 +509,15 @@ def _varied(text: str, tags: np.ndarray, names: list[tuple[str, str]], rng: np.r
         new = f"{family}, {given}" if rng.random() < 0.2 else f"{given} {middle}{family}"
         if rng.random() < 0.12:
             new = new.upper()
-        out += [text[at:s], new]
-        labels += [tags[at:s], np.concatenate([[tags[s]], np.full(len(new) - 1, tags[s] + 1)])]
+        elif rng.random() < 0.1:
+            new = f"{given} {_PARTICLES[rng.integers(len(_PARTICLES))]} {family}"
+        after = ""
+        if hangul or rng.random() < 0.1:
+            new = _foreign(rng, hangul)
+            if "가" <= new[0] and rng.random() < 0.25:
+                after = _AFTER_HANGUL[rng.integers(len(_AFTER_HANGUL))]
+        out += [text[at:s], new + after]
+        labels += [tags[at:s], np.concatenate([[tags[s]], np.full(len(new) - 1, tags[s] + 1), np.zeros(len(after), np.int64)])]
         at = e
     out.append(text[at:])
     labels.append(tags[at:])
@@ -592,13 +646,19 @@ def tag_stretches(model: Tagger, texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+_MARKED = re.compile("b?i+")
+
+
 def decide(text: str, found: list[tuple[int, int, str]], tags: np.ndarray) -> list[tuple[int, int, str]]:
     """The candidates that the tags (for each character of the text) confirm, with their exact extent."""
     kinds = (tags + 1) // 2
     out = []
     for s, e, kind in found:
         k = TYPES.index(kind) + 1
-        if kind != "person_name" or "가" <= text[s] <= "힣":
+        if kind == "person_name" and _SCRIPT_RUN.match(text, s):
+            out += [(s + m.start(), s + m.end(), kind) for m in _MARKED.finditer("".join("b" if t == 2 * k - 1 else "i" if t == 2 * k else "o" for t in tags[s:e])) if m.end() - m.start() >= 2]
+            continue
+        if kind != "person_name":
             if (kinds[s:e] == k).mean() >= 0.5:
                 out.append((s, e, kind))
             continue

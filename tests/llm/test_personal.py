@@ -110,3 +110,28 @@ def test_commonness_is_a_feature():
     tags = pe.np.array([0, 0, 0] + [2 * pe.TYPES.index("person_name") + 1] + [2 * pe.TYPES.index("person_name") + 2] * 9 + [0])
     seen = {pe._varied(t + ".", tags, [("Emil", "Solxen")], pe.np.random.default_rng(i), ["will"])[0] for i in range(60)}
     assert "by Will Solxen." in seen and "by Emil Solxen." in seen
+
+
+def test_candidates_of_all_forms(monkeypatch):
+    c = lambda t: {(t[s:e], k) for s, e, k in pe.candidates(t)}
+    for name in ("김민수", "이영희", "王小明", "山田太郎"):
+        assert (name, "person_name") in c(f"by {name} now")
+    for name in ("Ludwig van Beethoven", "Maria de la Cruz", "Иван Петров"):
+        assert (name, "person_name") in c(f"by {name} now")
+    for number in ("01012345678", "5551234567", "555 0199", "5550199"):
+        assert (number, "phone") in c(f"call {number} now")
+    all_names(monkeypatch)
+    assert {t for t in pe.find(pe.Tagger(), ["by 김민수 now"])[0]} == {(3, 6, "person_name")}
+
+
+def test_extent_inside_a_run():
+    """A name and what is attached to it are one run of a script; the tags tell the name's end."""
+    t = "담당자는 김민수입니다"
+    k = 2 * pe.TYPES.index("person_name")
+    tags = pe.np.array([0] * 5 + [k + 1, k + 2, k + 2] + [0] * 3)
+    assert pe.decide(t, pe.candidates(t), tags) == [(5, 8, "person_name")]
+
+
+def test_bare_numbers_need_a_word_to_be_labels():
+    spans = lambda t: {(t[s:e], k) for s, e, k in pe.weak_spans(t, set())}
+    assert ("5551234567", "phone") in spans("phone 5551234567, thanks") and not spans("check out 176087715 now")
