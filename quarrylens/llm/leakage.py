@@ -126,7 +126,8 @@ class ItemIndex:
         i_first = joined.count(" ", 0, ilo)
         i_last = joined.count(" ", 0, min(len(joined), max(0, hi - d0)))
         b = self.words[item][i_first : i_last + 1]
-        runs = banded_runs(a, b, self.max_edits + 1)
+        # as many characters may hold other counts of words before the passage: it can lie on any word diagonal
+        runs = banded_runs(a, b, max(len(a), len(b)))
         if self.max_edits:
             return any(n >= self.min_words - self.max_edits for _, n in runs)
         grams = self.grams[item]
@@ -141,7 +142,7 @@ def banded_runs(a: list[str], b: list[str], band: int) -> list[tuple[int, int]]:
     y = np.fromiter((ids.setdefault(w, len(ids)) for w in b), np.int64, len(b))
     width = abs(len(a) - len(b)) + band
     out = []
-    for d in range(-width, width + 1):  # x[i] against y[i - d]
+    for d in _met_diagonals(x, y, width):  # x[i] against y[i - d]
         s, e = max(0, d), min(len(x), len(y) + d)
         if s >= e:
             continue
@@ -151,6 +152,16 @@ def banded_runs(a: list[str], b: list[str], band: int) -> list[tuple[int, int]]:
     return out
 
 
+def _met_diagonals(x: np.ndarray, y: np.ndarray, width: int) -> list[int]:
+    """The diagonals inside ``width`` on which equal words meet."""
+    order = np.argsort(y, kind="stable")
+    lo, hi = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+    seen = np.zeros(len(x) + len(y) + 1, bool)
+    for i in np.flatnonzero(hi > lo):
+        seen[i - order[lo[i] : hi[i]] + len(y)] = True
+    return [d for d in (np.flatnonzero(seen) - len(y)).tolist() if -width <= d <= width]
+
+
 def standing_instructions(items: DataFrame, id_col: str, text_col: str, min_words: int, least_items: int) -> DataFrame:
     """Word runs (column ``gram``, words joined by blanks) that occur in ``least_items`` items or more."""
     words = F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

@@ -67,3 +67,12 @@ def test_against_sql(spark, data_dir):
 
 def test_empty(spark):
     assert lk.leaked_items(spark.createDataFrame([], DOC), spark.createDataFrame([], ITEM)).count() == 0
+
+
+def test_passage_off_the_word_diagonals(spark):
+    """Edits of equal length with other word counts before and after the passage: it lies three word diagonals off."""
+    p = "one two three four five six seven eight nine ten eleven twelve"
+    head, tail = "the quick brown foxes jumped over", "all lazy dogs that slept under trees"
+    items = [(1, "t", f"{head} in a few days {p} international {tail}")]
+    docs = [(1, f"{head} international {p} in a few days {tail}", 0, "")]
+    assert run(spark, docs, items) == brute(docs, items) == [(1, 1)]
