@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from quarrylens.llm import lexer as L
 from quarrylens.session import cut_lineage, table
 
-GRAM, WINDOW = 16, 16
+GRAM, WINDOW = 16, 8
 #: A fingerprint recurs when it is in this many repositories or more; a file is a copy when this share of its own recur.
-LEAST_REPOS, COPIED_SHARE, LEAST_PRINTS = 3, 0.75, 4
+LEAST_REPOS, COPIED_SHARE = 3, 0.75
+#: At most so many fingerprints are called hot and broadcast; a fingerprint is hot above its even share of all rows.
+MOST_HOT = 10_000
 CONFIGURATION = frozenset({"json", "jsonc", "yaml", "toml", "hcl", "xml"})
 
 # ---------------------------------------------------------------- what shows in the file itself
@@ -55,27 +57,49 @@ _THIRD_PARTY = re.compile(
 )
 _SCHEMA_SOURCE = re.compile(r"(?im)^\W*source:\s*\S+\.(?:proto|thrift|fbs|avsc|graphql|idl|xsd|g4|y)\b")
 _DESCRIPTOR = re.compile(r"(?im)^\W*(?:descriptor|file[ _]descriptor|schema hash|checksum)\b\W*[0-9a-f]{8,}")
-TOP_LINES = 30
+# notices that say so in one line of their own, wherever in the file the comment stands
+_STRICT_NOTICE = re.compile(r"(?im)^\W*(?:code generated by \S.*\bdo not edit\W*|@generated\W*|<auto-?generated\s*/?>|this (?:file|code|module) (?:is|was) (?:auto|automatically |machine[ -])-?generated\b.*\b(?:do not|don't) (?:edit|modify)\W*)$")
+# lines that may stand between the comments at a file's top: packages, imports, directives
+_PREAMBLE = re.compile(
+    r"""(?mx)(?:\s*(?: \#!.* | \#[ \t]*(?:include|pragma|ifndef|define[ \t]+\w+[ \t]*$).* | <\?php | "";?
+      | (?:package|import|from|use|using|extern[ ]crate|mod)\b[^;{(\n]*(?:\{[^{}]*\}|\([^()]*\))?[^;\n]*;? | export\b[^;{\n=(]*(?:\{[^{}]*\})?\s*from\b[^;\n]*;?
+      | (?:const|let|var)\s[^;=\n]*=\s*require\([^)]*\);? ))*\s*"""
+)
+
+
+_BLANK = re.compile(r"\s")
 _NUMBERS = re.compile(r"(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d._]*(?:[eE][-+]?\d+)?)[fFuUlL]*\s*,\s*){8,}")
 
 
-def top_comments(text: str, family: str) -> str:
-    """The comments before the first code, and Python's first string, up to ``TOP_LINES`` lines."""
-    head = "\n".join(re.split(r"\r\n|\r|\n", text, maxsplit=TOP_LINES)[:TOP_LINES])
-    found, _ = L.spans(head, family)
-    out, at = [], 0
+def top_comments(text: str, found: list[tuple[int, int, int, bool]]) -> str:
+    """All comments before the first declaration, and Python's first string, however long they are; ``found`` are the
+    text's comments and strings."""
+    out, gap, at = [], [], 0
     for s, e, st, _ in found:
-        between = head[at:s]
-        if between.strip() and not re.fullmatch(r"\s*(?:package\s+[\w.]+;?|#!.*|['\"]use strict['\"];?|<\?php)?\s*", between):
-            break
-        if st in (L.LINE, L.BLOCK) or (st in (L.DOUBLE3, L.SINGLE3) and not out):
-            out.append(head[s:e])
-        else:
-            break
+        gap.append(text[at:s])
         at = e
+        if st in (L.LINE, L.BLOCK):
+            between = "".join(gap)
+            if between.strip() and not _PREAMBLE.fullmatch(between):
+                break
+            out.append(text[s:e])
+            gap = []
+        elif st in (L.DOUBLE3, L.SINGLE3) and not out and not "".join(gap).strip():
+            out.append(text[s:e])
+            gap = []
+        else:
+            gap.append('""')
     return "\n".join(out)
 
 
+def later_notice(text: str, found: list[tuple[int, int, int, bool]]) -> bool:
+    """Whether a comment on lines of its own, anywhere, says in a line of its own that a tool wrote the file."""
+    for s, e, st, _ in found:
+        if st in (L.LINE, L.BLOCK) and _STRICT_NOTICE.search(text, s, e) and not text[max(text.rfind("\n", 0, s), text.rfind("\r", 0, s)) + 1 : s].strip():
+            return True
+    return False
+
+
 def shape(text: str, found: list[tuple[int, int, int, bool]]) -> tuple[float, float]:
     """(share of the code that is numbers in lists and long encoded strings, share of it on packed lines); ``found``
     are the text's comments and strings."""
@@ -86,7 +110,7 @@ def shape(text: str, found: list[tuple[int, int, int, bool]]) -> tuple[float, fl
         if st in (L.LINE, L.BLOCK):
             comments += e - s
         else:
-            if e - s >= 60 and not re.search(r"\s", text[s : min(e, s + 400)]) and not text.startswith(("data:", "http"), s + 1):
+            if e - s >= 60 and _BLANK.search(text, s, e) is None and not text.startswith(("data:", "http"), s + 1):
                 encoded += e - s
             masked.append('""')
     masked.append(text[at:])
@@ -100,7 +124,9 @@ def shape(text: str, found: list[tuple[int, int, int, bool]]) -> tuple[float, fl
 
 def own_reason(text: str, family: str, found: list[tuple[int, int, int, bool]]) -> str | None:
     """Why a code file isn't hand-written, from itself alone: generated, vendored, minified or data; else null."""
-    top = top_comments(text, family)
+    top = top_comments(text, found)
+    if later_notice(text, found):
+        return "generated"
     if top:
         notice = _NEAR_TOOL.sub(" ", top)
         if _TOOL_NOTICE.search(notice) or (_SCHEMA_SOURCE.search(top) and _DESCRIPTOR.search(top)):
@@ -137,19 +163,20 @@ _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(
 
 
 def winnow(tokens: np.ndarray) -> np.ndarray:
-    """The distinct fingerprints of a token stream; a stream shorter than one window of hashes gives its least hash."""
-    if len(tokens) < GRAM:
+    """The distinct fingerprints of a token stream. A stream shorter than a gram is one gram of its own length, and of a
+    stream shorter than a window every gram is kept, so no stream is without fingerprints."""
+    if not len(tokens):
         return np.zeros(0, np.uint64)
-    n = len(tokens) - GRAM + 1
+    size = min(GRAM, len(tokens))
+    n = len(tokens) - size + 1
     with np.errstate(over="ignore"):
-        grams = np.zeros(n, np.uint64)
-        for k in range(GRAM):
+        grams = np.full(n, size, np.uint64)
+        for k in range(size):
             grams += tokens[k : k + n] * _MULTIPLIERS[k]
         grams = (grams ^ (grams >> np.uint64(31))) * _MULTIPLIERS[0]
     if n <= WINDOW:
-        return grams[[int(grams.argmin())]]
-    least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).min(axis=1)
-    return np.unique(least)
+        return np.unique(grams)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, WINDOW).min(axis=1))
 
 
 def _judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +192,7 @@ def _judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 reason = own_reason(t, family, found)
                 if reason not in ("data", "minified"):
                     prints = winnow(token_hashes(t, found))
-            rows.append((i, r, reason, prints.view(np.int64) if len(prints) >= LEAST_PRINTS else np.zeros(0, np.int64)))
+            rows.append((i, r, reason, prints.view(np.int64)))
         yield pd.DataFrame(rows, columns=["file_id", "repo", "reason", "prints"])
 
 
@@ -197,14 +224,23 @@ def not_hand_written(source_files: DataFrame, configs: DataFrame) -> DataFrame:
 def vendored_copies(judged: DataFrame) -> DataFrame:
     """(file_id, 'vendored') of files whose fingerprints largely recur in several repositories.
 
-    A fingerprint is first reduced to its distinct repositories, up to ``LEAST_REPOS`` by the map side of the aggregate
-    (distinct rows, so a fingerprint in a third of all files sends one row a task and repository); what meets the files
-    again is the set of recurring fingerprints, counted per file.
+    A fingerprint is first reduced to its distinct repositories (distinct rows, so one in a third of all files sends one row
+    a task and repository), then to their number and that of its files. A hot fingerprint, one in more files than
+    1 / ``MOST_HOT`` of all rows, never becomes the key of a shuffle: there can be at most ``MOST_HOT`` of them, so they are
+    broadcast and met where the files are read. The others are joined by key, each with fewer rows than that.
     """
-    prints = judged.filter(F.size("prints") > 0).select("file_id", F.coalesce("repo", F.lit("")).alias("repo"), F.explode("prints").alias("h"))
-    recurring = prints.select("h", "repo").distinct().groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_REPOS).select("h")
-    shared = prints.select("file_id", "h").join(recurring, "h").groupBy("file_id").agg(F.count("*").alias("shared"))
-    sizes = judged.filter(F.size("prints") > 0).select("file_id", F.size("prints").alias("total"))
+    some = judged.filter(F.size("prints") > 0)
+    prints = some.select("file_id", F.coalesce("repo", F.lit("")).alias("repo"), F.explode("prints").alias("h"))
+    total = some.agg(F.sum(F.size("prints")).alias("n")).first().n or 0
+    per_repo = prints.groupBy("h", "repo").agg(F.count("*").alias("files"))
+    recurring = per_repo.groupBy("h").agg(F.count("*").alias("repos"), F.sum("files").alias("files")).filter(F.col("repos") >= LEAST_REPOS)
+    recurring = cut_lineage(recurring.select("h", (F.col("files") > max(4096, total // MOST_HOT)).alias("hot")))
+    hot = F.broadcast(recurring.filter("hot").select("h", F.lit(1).alias("is_hot")))
+    met = prints.select("file_id", "h").join(hot, "h", "left")
+    by_hot = met.filter("is_hot is not null").groupBy("file_id").agg(F.count("*").alias("shared"))
+    by_key = met.filter("is_hot is null").join(recurring.filter("not hot").select("h"), "h").groupBy("file_id").agg(F.count("*").alias("shared"))
+    shared = by_hot.unionByName(by_key).groupBy("file_id").agg(F.sum("shared").alias("shared"))
+    sizes = some.select("file_id", F.size("prints").alias("total"))
     return shared.join(sizes, "file_id").filter(F.col("shared") >= COPIED_SHARE * F.col("total")).select("file_id", F.lit("vendored").alias("reason"))
 
 

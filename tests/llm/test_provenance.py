@@ -26,6 +26,39 @@ def test_own_reason(path, text, want):
     assert reason(path, text) == want
 
 
+LICENCE = "".join(f"// Redistribution clause number {i} of a long licence text.\n" for i in range(45))
+
+
+@pytest.mark.parametrize("path,text,want", [
+    ("a.js", f"{LICENCE}\n// Code generated by x 1.2. DO NOT EDIT.\n{BODY}", "generated"), ("a.js", f"{LICENCE}import a, {{\n  b,\n}} from 'x';\nconst c = require('y');\n// Copied unchanged from x 1.2; send fixes upstream.\n{BODY}", "vendored"),
+    ("a.go", f"package p\n\n{LICENCE}\nimport (\n\t\"fmt\"\n)\n\n// Code generated by x. DO NOT EDIT.\n\nfunc a() {{}}\n", "generated"), ("a.js", f"{BODY * 30}// @generated\n{BODY}", "generated"), ("a.js", f"{BODY}x = 1; // Code generated by x. DO NOT EDIT.\n", None),
+    ("a.js", f"{BODY}// Copied unchanged from x 1.2; send fixes upstream.\n{BODY}", None),
+    ("a.js", 'const a = "' + "Ab9+" * 300 + " " + "word " * 60 + f'";\n{BODY * 2}', None),
+])
+def test_notices_after_any_number_of_lines(path, text, want):
+    assert reason(path, text) == want
+
+
+@pytest.mark.parametrize("tokens", [1, 3, 12, 17, 30])
+def test_short_copies_are_found(spark, tokens):
+    """A stream of any length has fingerprints: short copies in three repositories are found, in two they aren't."""
+    text = " ".join(f"t{i}" for i in range(tokens))
+    rows = [(i, f"r{i}", f"x{i}.js", f"// {i}\n{text}\n", None) for i in range(3)] + [(i, f"r{i % 2}", f"y{i}.js", f"u {text}", None) for i in range(3, 6)]
+    src = spark.createDataFrame(rows, "file_id long, repo string, file_path string, content string, reason int")
+    conf = spark.createDataFrame([], "repo string, excluded_directories array<string>")
+    assert {r.file_id for r in pv.not_hand_written(src, conf).collect() if r.reason == "vendored"} >= {0, 1, 2}
+
+
+def test_hot_fingerprints_give_the_same_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    code = lambda: "".join(f"f{rng.random()}(a);\n" for _ in range(20))
+    lib = code()
+    rows = [(i, f"r{i % 7}", f"l{i}.js", lib, None) for i in range(4200)] + [(9000 + i, f"r{i}", f"o{i}.js", code(), None) for i in range(5)]
+    src = spark.createDataFrame(rows, "file_id long, repo string, file_path string, content string, reason int")
+    judged = src.mapInPandas(pv._judge, "file_id long, repo string, reason string, prints array<long>")
+    assert {r.file_id for r in pv.vendored_copies(judged).collect()} == set(range(4200))
+
+
 def test_winnowing_finds_copies(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
