@@ -61,9 +61,9 @@ _DESCRIPTOR = re.compile(r"(?im)^\W*(?:descriptor|file[ _]descriptor|schema hash
 _STRICT_NOTICE = re.compile(r"(?im)^\W*(?:code generated by \S.*\bdo not edit\W*|@generated\W*|<auto-?generated\s*/?>|this (?:file|code|module) (?:is|was) (?:auto|automatically |machine[ -])-?generated\b.*\b(?:do not|don't) (?:edit|modify)\W*)$")
 # lines that may stand between the comments at a file's top: packages, imports, directives
 _PREAMBLE = re.compile(
-    r"""(?mx)(?:\s*(?: \#!.* | \#[ \t]*(?:include|pragma|ifndef|define[ \t]+\w+[ \t]*$).* | <\?php | "";?
+    r"""(?mx)(?>\s*(?: \#!.* | \#[ \t]*(?:include|pragma|ifndef|define[ \t]+\w+[ \t]*$).* | <\?php | "";?
       | (?:package|import|from|use|using|extern[ ]crate|mod)\b[^;{(\n]*(?:\{[^{}]*\}|\([^()]*\))?[^;\n]*;? | export\b[^;{\n=(]*(?:\{[^{}]*\})?\s*from\b[^;\n]*;?
-      | (?:const|let|var)\s[^;=\n]*=\s*require\([^)]*\);? ))*\s*"""
+      | (?:const|let|var)\s[^;=\n]*=\s*require\([^)]*\);? ))*+\s*"""
 )
 
 
