@@ -3,11 +3,15 @@
 Recursive patterns of the ``regex`` library capture comment, signature and balanced body together, with strings and
 comments protected; pairs whose documentation says nothing are dropped.
 
-Symbols are grouped per file and block of ``BLOCK_LINES`` lines and joined to the file's text once per group, so the text
-isn't repeated for each symbol and no group grows beyond ``GROUP_ROWS`` symbols or so, however many begin in one block. Defined cases: exact
-duplicate rows count once; symbols whose file is gone, whose range is null or ends past the file give no pair; null and blank
-docstrings give none; a body that the pattern can't balance (broken code) still gives the range's text as code,
-with ``balanced`` false.
+A symbol gives a pair where comment, signature and body are captured from the source and the captured comment says
+something. Where the body doesn't balance (broken code) a second pattern takes it up to the end of the range, with
+``balanced`` false. Where no comment stands at the symbol, or one with other words than its ``docstring`` field (a symbol of an older
+generation), the field is the documentation.
+
+The symbols of a file meet its text once. Files with more than ``GROUP_ROWS`` symbols are cut into blocks of ``BLOCK_LINES`` lines, each with the
+lines that its own symbols' ranges need and no others, so the text isn't repeated for each group and no group grows beyond ``GROUP_ROWS`` or so,
+however many begin in one block. Defined cases: exact duplicate rows count once; symbols whose file is gone, whose range
+is null or ends past the file give no pair; null and blank docstrings give none.
 """
 
 from __future__ import annotations
@@ -51,18 +55,48 @@ _INDENTED = regex.compile(
     (?<body>(?:[ \t]*+(?&com))?+\s*+(?<inner>(?&str))?+(?:[^"'()\[\]{}\#]++|(?&str)|(?&com)|(?&brk))*+)""",
     regex.X | regex.S,
 )
+# what doesn't balance inside the range: the signature ends at the first opening of a body or at its line's end
+_BRACES_OPEN = regex.compile(
+    r"""(?(DEFINE)
+      (?<str>"(?:[^"\\\n]|\\.)*+"|`(?:[^`\\]|\\.)*+`|'(?:[^'\\\n]|\\.)*+')
+      (?<com>//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)
+      (?<par>\((?:[^()"'`/]++|(?&str)|(?&com)|(?&par)|['"`/])*+\))
+    )
+    \s*+(?<comment>(?:(?&com)\s*+)*+)
+    (?<signature>(?=\S)(?:(?&par)|(?&str)|(?&com)|[^{;\n])*+)
+    (?<body>.*+)""",
+    regex.X | regex.S,
+)
+_INDENTED_OPEN = regex.compile(
+    r"""(?(DEFINE)
+      (?<str>[rRbBuUfF]{0,2}(?:\"{3}(?:[^"\\]|\\.|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*+'{3}|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'))
+      (?<com>\#[^\n]*+)
+      (?<brk>[(\[{](?:[^()\[\]{}"'\#]++|(?&str)|(?&com)|(?&brk))*+[)\]}])
+    )
+    \s*+(?<comment>(?:(?&com)\s*+)*+)
+    (?<signature>(?=\S)(?:@[^\n]*+\n\s*+)*+(?:(?&brk)|[^:\n\#])*+:?+)
+    (?<body>(?:[ \t]*+(?&com))?+\s*+(?<inner>(?&str))?+.*+)""",
+    regex.X | regex.S,
+)
 _INDENTED_LANGUAGES = frozenset({"py", "pyi"})
 
 
+def _parts(m: regex.Match, indented: bool) -> tuple[str, str, str]:
+    return (m["inner"] if indented and m["inner"] else m["comment"]).strip(), m["signature"].strip(), m["body"]
+
+
 def capture(code: str, extension: str) -> tuple[str, str, str] | None:
     """(comment, signature, body) of the function that begins ``code``; null where brackets don't balance."""
-    m = (_INDENTED if extension in _INDENTED_LANGUAGES else _BRACES).match(code)
-    if not m:
-        return None
-    comment = m["comment"]
-    if extension in _INDENTED_LANGUAGES and m["inner"]:
-        comment = m["inner"]
-    return comment.strip(), m["signature"].strip(), m["body"]
+    indented = extension in _INDENTED_LANGUAGES
+    m = (_INDENTED if indented else _BRACES).match(code)
+    return _parts(m, indented) if m else None
+
+
+def capture_open(code: str, extension: str) -> tuple[str, str, str] | None:
+    """The same where the body doesn't balance: it goes to the end of ``code``. Null where there is no signature."""
+    indented = extension in _INDENTED_LANGUAGES
+    m = (_INDENTED_OPEN if indented else _BRACES_OPEN).match(code)
+    return _parts(m, indented) if m and m["signature"].strip() else None
 
 
 _LINE_END = regex.compile(r"\r\n|\r|\n")
@@ -191,28 +225,68 @@ def _pair_schema() -> str:
     return "symbol_id long, file_id long, repo string, file_path string, name string, kind string, description string, comment string, signature string, code string, balanced boolean"
 
 
+def _same_words(a: str, b: str) -> bool:
+    return _WORD.findall(a.lower()) == _WORD.findall(b.lower())
+
+
+def pair_of(lines: list[str], symbol, extension: str) -> tuple[str, str, str, str, bool] | None:
+    """(description, comment, signature, code, balanced) of a symbol whose range lies within ``lines``, those of its file from its
+    leading comment on; null where nothing is captured or the documentation says nothing."""
+    code = range_text(lines, symbol["start_line"], symbol["start_col"], symbol["end_line"], symbol["end_col"])
+    above = leading_comment(lines, symbol["start_line"])
+    whole = f"{above}\n{code}" if above else code
+    got = capture(whole, extension) or (capture(code, extension) if above else None)
+    balanced = got is not None
+    got = got or capture_open(whole, extension)
+    if got is None:
+        return None
+    description, field = clean_description(got[0]), clean_description(symbol["docstring"])
+    if not _same_words(description, field):  # another generation's, or none
+        description = field
+    return (description, got[0], got[1], code, balanced) if says_something(description, symbol["name"]) else None
+
+
 def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of groups of symbols; ``first_line`` is the number of the first line in ``content``, ``total`` the file's lines
+    where ``content`` is a part of it."""
     cols = [c.split()[0] for c in _pair_schema().split(", ")]
     for f in frames:
         rows: list[tuple] = []
-        for content, path, repo, file_id, symbols in zip(f["content"], f["file_path"], f["repo"], f["file_id"], f["symbols"]):
+        for content, first, total, path, repo, file_id, symbols in zip(f["content"], f["first_line"], f["total"], f["file_path"], f["repo"], f["file_id"], f["symbols"]):
             lines = split_lines(content or "")
-            count = len(lines) - (1 if lines and not lines[-1] else 0)
+            count = total if total >= 0 else line_count(lines)
             ext = (path or "").rpartition(".")[2].lower()
             for s in symbols:
-                if s["end_line"] > count or not says_something(s["docstring"], s["name"]):
+                if s["end_line"] > count:
                     continue
-                code = range_text(lines, s["start_line"], s["start_col"], s["end_line"], s["end_col"])
-                above = leading_comment(lines, s["start_line"])
-                got = (capture(f"{above}\n{code}", ext) if above else None) or capture(code, ext)
-                comment, signature = (got[0], got[1]) if got else (above, code.split("\n", 1)[0])
-                rows.append((s["symbol_id"], file_id, repo, path, s["name"], s["kind"], clean_description(s["docstring"]), comment, signature, code, got is not None))
-            if len(rows) >= 2000:
-                yield pd.DataFrame(rows, columns=cols)
-                rows = []
+                here = {**s, "start_line": s["start_line"] - first + 1, "end_line": s["end_line"] - first + 1}
+                got = pair_of(lines, here, ext)
+                if got:
+                    rows.append((s["symbol_id"], file_id, repo, path, s["name"], s["kind"], *got))
+                if len(rows) >= 2000:
+                    yield pd.DataFrame(rows, columns=cols)
+                    rows = []
         yield pd.DataFrame(rows, columns=cols)
 
 
+def line_count(lines: list[str]) -> int:
+    return len(lines) - (1 if lines and not lines[-1] else 0)
+
+
+def _cut_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each file, for each block that symbols begin in, the lines their ranges need, leading comments with them."""
+    for f in frames:
+        for file_id, repo, path, content, blocks in zip(f["file_id"], f["repo"], f["file_path"], f["content"], f["blocks"]):
+            lines = split_lines(content)
+            count = line_count(lines)
+            rows = []
+            for b in blocks:
+                lo, hi = min(b["lo"], len(lines)), min(b["hi"], len(lines))
+                lo -= len(leading_comment(lines, lo).split("\n")) if leading_comment(lines, lo) else 0
+                rows.append((file_id, repo, path, b["block"], lo, count, "\n".join(lines[lo - 1 : hi])))
+            yield pd.DataFrame(rows, columns=["file_id", "repo", "file_path", "block", "first_line", "total", "content"])
+
+
 def documented_functions(symbols: DataFrame, source_files: DataFrame) -> DataFrame:
     """One row per function or method with real documentation: its code, signature, comment and description."""
     need = ["start_line", "start_col", "end_line", "end_col"]
@@ -222,13 +296,19 @@ def documented_functions(symbols: DataFrame, source_files: DataFrame) -> DataFra
     s = s.filter((F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")))
     s = s.select("file_id", "symbol_id", "name", "kind", *need, "docstring").distinct()
     item = F.struct("symbol_id", "name", "kind", *need, "docstring")
-    s = s.withColumn("block", F.expr(f"start_line div {BLOCK_LINES}"))
-    # blocks with more symbols than a group may hold: counted with partial sums, few, and absent in ordinary data
-    hot = s.groupBy("file_id", "block").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_ROWS).select("file_id", "block", F.ceil(F.col("n") / GROUP_ROWS).alias("parts"))
-    s = s.join(hot, ["file_id", "block"], "left").withColumn("part", F.pmod(F.xxhash64("symbol_id"), F.coalesce("parts", F.lit(1))))
-    groups = s.groupBy("file_id", "block", "part").agg(F.collect_list(item).alias("symbols"))
     files = source_files.select("file_id", "repo", "file_path", "content").filter(F.col("content").isNotNull())
-    return groups.join(files, "file_id").select("file_id", "repo", "file_path", "content", "symbols").mapInPandas(_pairs, _pair_schema())
+    # files with more symbols than a group may hold: counted with partial sums, few, and absent in ordinary data
+    s = s.withColumn("block", F.expr(f"start_line div {BLOCK_LINES}"))
+    blocks = s.groupBy("file_id", "block").agg(F.count("*").alias("n"), F.min("start_line").alias("lo"), F.max("end_line").alias("hi"))
+    large = blocks.groupBy("file_id").agg(F.sum("n").alias("all"), F.collect_list(F.struct("block", "lo", "hi")).alias("blocks")).filter(F.col("all") > GROUP_ROWS)
+    parts = blocks.join(large.select("file_id"), "file_id").select("file_id", "block", F.ceil(F.col("n") / GROUP_ROWS).alias("parts"))
+    s = s.join(parts, ["file_id", "block"], "left")
+    small = s.filter("parts is null").groupBy("file_id").agg(F.collect_list(item).alias("symbols"))
+    once = small.join(files, "file_id").select("file_id", "repo", "file_path", "content", F.lit(1).alias("first_line"), F.lit(-1).alias("total"), "symbols")
+    cut = files.join(large.select("file_id", "blocks"), "file_id").mapInPandas(_cut_blocks, "file_id long, repo string, file_path string, block int, first_line int, total int, content string")
+    groups = s.filter("parts is not null").withColumn("part", F.pmod(F.xxhash64("symbol_id"), "parts")).groupBy("file_id", F.col("block").cast("int").alias("block"), "part").agg(F.collect_list(item).alias("symbols"))
+    many = groups.join(cut, ["file_id", "block"]).select("file_id", "repo", "file_path", "content", "first_line", "total", "symbols")
+    return once.unionByName(many).mapInPandas(_pairs, _pair_schema())
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

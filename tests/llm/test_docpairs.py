@@ -46,3 +46,30 @@ def test_hot_groups_are_split(spark, monkeypatch):
     src = spark.createDataFrame([(1, "r", "a.js", "// D\nfunction f() {\n  return 1;\n}\n")], SRC)
     rows = [(i, 1, "r", "a.js", "f", "fn", 2, 1, 4, 2, "Returns one whole number to callers.", "x") for i in range(20)]
     assert sorted(r.symbol_id for r in dp.documented_functions(spark.createDataFrame(rows, SYM), src).collect()) == list(range(20))
+
+
+def test_parts_of_large_files_hold_what_their_symbols_need(spark, monkeypatch):
+    """The same pairs, whether files are joined whole or cut into blocks."""
+    text = "".join(f"// Returns the number {i} to its callers.\n// More of it.\nfunction f{i}() {{\n  return {i};\n}}\n\n" for i in range(300))
+    src = spark.createDataFrame([(1, "r", "a.js", text), (2, "r", "b.js", text)], SRC)
+    doc = "Returns the number {} to its callers.\nMore of it."
+    rows = [(k * 1000 + i, k, "r", "a.js", f"f{i}", "fn", 6 * i + 3, 1, 6 * i + 5, 2, doc.format(i), "x") for k in (1, 2) for i in range(300)] + [(9, 1, "r", "a.js", "f", "fn", 3, 1, 4000, 2, doc, "x"), (10, 1, "r", "a.js", "f0", "fn", 3, 1, 1000, 1, doc.format(0), "x")]
+    d = spark.createDataFrame(rows, SYM)
+    whole = sorted(dp.documented_functions(d, src).collect())
+    monkeypatch.setattr(dp, "GROUP_ROWS", 40)
+    monkeypatch.setattr(dp, "BLOCK_LINES", 100)
+    assert sorted(dp.documented_functions(d, src).collect()) == whole and len(whole) == 601 and all(r.comment.endswith("More of it.") for r in whole)
+
+
+def test_rows_come_from_the_capture(spark, monkeypatch):
+    lines = dp.split_lines("// Returns one whole number to callers.\nfunction f() {\n  return {1;\n}\n// TODO\nfunction g() {\n}\n")
+    sym = lambda a, b, doc: {"start_line": a, "start_col": 1, "end_line": b, "end_col": 2, "docstring": doc, "name": "f"}
+    got = dp.pair_of(lines, sym(2, 4, "Returns one whole number to callers."), "js")
+    assert got[1] == lines[0] and got[2] == "function f()" and got[4] is False
+    assert dp.pair_of(lines, sym(6, 7, "TODO"), "js") is None
+    assert dp.pair_of(lines, sym(6, 7, "Returns one whole number to callers."), "js")[0].startswith("Returns")  # of an older generation
+    py = dp.split_lines('def f(a):\n    """Returns one whole number to callers."""\n    return (a\n')
+    assert dp.pair_of(py, sym(1, 3, "Returns one whole number to callers."), "py")[1].startswith('"""')
+    monkeypatch.setattr(dp, "capture", lambda *_: None)
+    monkeypatch.setattr(dp, "capture_open", lambda *_: None)
+    assert dp.pair_of(lines, sym(2, 4, "Returns one whole number to callers."), "js") is None
