@@ -3,16 +3,19 @@
 Both sides are normalised to lower-case words (maximal runs of letters or digits) joined by one blank. A passage of L
 characters shared within k edits leaves at least L + 1 - q(k + 1) common q-grams on diagonals at most k apart, so:
 
-1. the q-grams of the items are indexed by hash (the items are a stated query set of bounded size, taken in blocks of at
-   most ``BLOCK_CHARS`` characters, each block broadcast in its turn);
+1. the q-grams of the items are indexed by hash (the items are a stated query set, taken in blocks of at most ``BLOCK_CHARS``
+   characters, each block broadcast in its turn). q-grams that lie inside a standing instruction stay out of the index, so a document
+   that holds nothing else meets no item, however many items begin with it; each passage's least count is lowered by those left out;
 2. a corpus batch's q-grams are hashed with numpy and looked up; hits are counted per document, item and diagonal band,
    where bands overlap by half so that no pair of diagonals within k is split;
-3. bands with enough hits become regions and are verified by a banded alignment of words;
-4. for ``p8_found`` an exact check follows: twelve consecutive words that occur in at most two items.
+3. bands with enough hits become regions; in each the item's passages are aligned with the text by a banded edit
+   distance, and a passage within the budget of k edits is a match;
+4. with ``exact`` (``p8_found``) an exact check follows: twelve consecutive words that occur in at most two items.
 
 The corpus is scanned once per block without any shuffle; only the found pairs leave the tasks. Defined cases: null
 and empty texts never match; repeated documents each report their own matches; items without twelve words never match;
-exact duplicate rows count once.
+exact duplicate rows count once. Where ``q`` isn't given it is the largest of 16, 8 and 4 for which the lemma bounds the shortest passage
+of the block; for passages shorter than 4(k + 1) characters it bounds nothing and one common q-gram is asked for.
 """
 
 from __future__ import annotations
@@ -53,27 +56,47 @@ def _codes(s: str) -> np.ndarray:
 
 
 class ItemIndex:
-    """Sorted q-gram index of a block of items, with each item's least hit count for a region."""
-
-    def __init__(self, items: list[tuple[int, str]], standing: set[tuple[str, ...]], q: int, min_words: int, max_edits: int) -> None:
-        self.q, self.min_words, self.max_edits = q, min_words, max_edits
-        self.ids, self.words, self.grams, need, h_all, i_all, p_all = [], [], [], [], [], [], []
-        for item_id, text in items:
+    """Sorted q-gram index of a block of items (id, text, starts of the standing passages among its words), with each
+    item's least hit count for a region."""
+
+    def __init__(self, items: list[tuple[int, str, list[int]]], q: int | None, min_words: int, max_edits: int, exact: bool) -> None:
+        self.min_words, self.max_edits, self.exact = min_words, max_edits, exact
+        self.ids, self.words, self.joined, self.passages = [], [], [], []
+        stands: list[list[tuple[int, int]]] = []
+        for item_id, text, standing in items:
             w = words_of(text)
-            if len(w) < min_words:
-                continue
-            grams = {tuple(w[j : j + min_words]) for j in range(len(w) - min_words + 1)} - standing
-            if not grams:
+            starts = sorted(set(range(len(w) - min_words + 1)) - set(standing))
+            if not starts:
                 continue
-            length = min(sum(map(len, g)) + min_words - 1 for g in grams)
-            h = qgram_hashes(_codes(" ".join(w)), q)
-            h_all.append(h)
-            i_all.append(np.full(len(h), len(self.ids), np.int64))
-            p_all.append(np.arange(len(h), dtype=np.int64))
-            need.append(max(1, length + 1 - q * (max_edits + 1)))
+            at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in w])])
+            span = lambda j: (int(at[j]), int(at[j + min_words]) - 1)  # noqa: B023, E731
             self.ids.append(item_id)
             self.words.append(w)
-            self.grams.append(grams)
+            self.joined.append(" ".join(w))
+            self.passages.append([(j, *span(j)) for j in starts])
+            stands.append([span(j) for j in standing])
+        shortest = min((e - s for p in self.passages for _, s, e in p), default=0)
+        self.q = q or next((x for x in (16, 8, 4) if exact or shortest + 1 - x * (max_edits + 1) >= 1), 4)
+        self.grams = [{tuple(w[j : j + min_words]) for j, _, _ in p} for w, p in zip(self.words, self.passages)]
+        self.codes = [_codes(t) for t in self.joined]
+        self.shortest = [min(e - s for _, s, e in p) for p in self.passages]
+        self.longest = [max(e - s for _, s, e in p) for p in self.passages]
+        need, h_all, i_all, p_all = [], [], [], []
+        for i, (text, passages, stand) in enumerate(zip(self.joined, self.passages, stands)):
+            h = qgram_hashes(_codes(text), self.q)
+            kept = np.ones(len(h), bool)
+            for s, e in stand:  # with the blanks around, which say nothing of what follows
+                kept[max(0, s - 1) : max(s, e - self.q + 2)] = False
+            for _, s, e in passages:  # a passage all of whose q-grams lie in standing ones keeps them
+                if not kept[s : e - self.q + 1].any():
+                    kept[s : e - self.q + 1] = True
+            before = np.concatenate([[0], np.cumsum(kept)])
+            least = min(int(before[min(len(h), max(s, e - self.q + 1))] - before[min(len(h), s)]) for _, s, e in passages)
+            need.append(max(1, least - self.q * max_edits))
+            pos = np.flatnonzero(kept)
+            h_all.append(h[pos])
+            i_all.append(np.full(len(pos), i, np.int64))
+            p_all.append(pos.astype(np.int64))
         cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
         h = cat(h_all, np.uint64)
         order = np.argsort(h, kind="stable")
@@ -116,67 +139,93 @@ class ItemIndex:
                 out.add((int(d[f]), int(i[f]), int(p[f]), int(p[f + c - 1]) + self.q, int(x.min()), int(x.max())))
         return sorted(out)
 
-    def matches(self, text_words: list[str], text: str, item: int, lo: int, hi: int, d0: int, d1: int) -> bool:
-        """Banded alignment of the region's words, then the exact check on runs of consecutive equal words."""
-        first = text.count(" ", 0, lo)  # the word that holds the region's first character
-        last = text.count(" ", 0, min(hi, len(text)))
-        a = text_words[first : last + 1]
-        ilo = max(0, lo - d1)
-        joined = " ".join(self.words[item])
-        i_first = joined.count(" ", 0, ilo)
-        i_last = joined.count(" ", 0, min(len(joined), max(0, hi - d0)))
-        b = self.words[item][i_first : i_last + 1]
-        # as many characters may hold other counts of words before the passage: it can lie on any word diagonal
-        runs = banded_runs(a, b, max(len(a), len(b)))
-        if self.max_edits:
-            return any(n >= self.min_words - self.max_edits for _, n in runs)
-        grams = self.grams[item]
-        return any(tuple(a[s + j : s + j + self.min_words]) in grams for s, n in runs for j in range(n - self.min_words + 1))
-
-
-def banded_runs(a: list[str], b: list[str], band: int) -> list[tuple[int, int]]:
-    """Alignment of two word lists inside the diagonals that their lengths and ``band`` allow: (start in a, length) of
-    each maximal run of equal words."""
-    ids: dict[str, int] = {}
-    x = np.fromiter((ids.setdefault(w, len(ids)) for w in a), np.int64, len(a))
-    y = np.fromiter((ids.setdefault(w, len(ids)) for w in b), np.int64, len(b))
-    width = abs(len(a) - len(b)) + band
-    out = []
-    for d in _met_diagonals(x, y, width):  # x[i] against y[i - d]
-        s, e = max(0, d), min(len(x), len(y) + d)
-        if s >= e:
-            continue
-        eq = np.concatenate([[False], x[s:e] == y[s - d : e - d], [False]])
-        edge = np.flatnonzero(eq[1:] != eq[:-1])
-        out += [(s + int(f), int(t - f)) for f, t in zip(edge[::2], edge[1::2])]
-    return out
-
-
-def _met_diagonals(x: np.ndarray, y: np.ndarray, width: int) -> list[int]:
-    """The diagonals inside ``width`` on which equal words meet."""
-    order = np.argsort(y, kind="stable")
-    lo, hi = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
-    seen = np.zeros(len(x) + len(y) + 1, bool)
-    for i in np.flatnonzero(hi > lo):
-        seen[i - order[lo[i] : hi[i]] + len(y)] = True
-    return [d for d in (np.flatnonzero(seen) - len(y)).tolist() if -width <= d <= width]
-
-
-def standing_instructions(items: DataFrame, id_col: str, text_col: str, min_words: int, least_items: int) -> DataFrame:
-    """Word runs (column ``gram``, words joined by blanks) that occur in ``least_items`` items or more."""
-    words = F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    w = items.select(F.col(id_col).alias("i"), words.alias("w")).filter(F.size("w") >= min_words)
-    gram = F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - min_words + 1), lambda p: F.array_join(F.slice("w", p, min_words), " ")))
-    return w.select("i", gram.alias("gram")).groupBy("gram").agg(F.countDistinct("i").alias("n")).filter(F.col("n") >= least_items).select("gram")
-
-
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    def matches(self, text: str, item: int, lo: int, hi: int, d0: int, d1: int) -> bool:
+        """Whether the region holds a passage of the item: word for word, or within ``max_edits`` edits."""
+        x, t = self.codes[item], _codes(text)
+        if self.exact:
+            return self.verbatim(text, item, t, x, lo, hi, d0, d1)
+        return self.aligned(item, t, x, lo, hi, d0, d1)
+
+    def verbatim(self, text: str, item: int, t: np.ndarray, x: np.ndarray, lo: int, hi: int, d0: int, d1: int) -> bool:
+        """The exact check: a passage that stands word for word is a run of equal characters on one diagonal."""
+        least, more, grams = self.shortest[item], self.longest[item], self.grams[item]
+        for d in range(d0, d1 + 1):
+            # a passage may begin or end in a standing one, outside the region's hits
+            for s, e in equal_runs(t, x, d, lo - more, hi + more, least):
+                # words cut at the run's ends don't count
+                s = s if s == 0 or text[s - 1] == " " else text.find(" ", s, e) + 1
+                e = e if e == len(text) or text[e] == " " else text.rfind(" ", s, e)
+                w = text[s:e].split() if 0 <= s < e else []
+                if any(tuple(w[j : j + self.min_words]) in grams for j in range(len(w) - self.min_words + 1)):
+                    return True
+        return False
+
+    def aligned(self, item: int, t: np.ndarray, x: np.ndarray, lo: int, hi: int, d0: int, d1: int) -> bool:
+        """Passages with as many common q-grams in the band as the lemma asks for, standing ones with them, meet the text in a
+        banded alignment."""
+        k, q = self.max_edits, self.q
+        common = np.zeros(len(x) + 1, np.int64)
+        more = self.longest[item] + k
+        for d in range(d0 - k, d1 + k + 1):
+            for s, e in equal_runs(t, x, d, lo - more, hi + more, q):
+                common[s - d + 1 : e - d - q + 2] = 1
+        total = np.cumsum(common)
+        for _, s, e in self.passages[item]:
+            if e - q + 1 > s and total[e - q + 1] - total[s] >= max(1, e - s + 1 - q * (k + 1)) and banded_edits(x[s:e], t, s + d0 - k, s + d1 + k) <= k:
+                return True
+        return False
+
+
+def equal_runs(t: np.ndarray, x: np.ndarray, d: int, lo: int, hi: int, least: int) -> list[tuple[int, int]]:
+    """Runs [s, e) of ``least`` or more positions of ``t`` from ``lo`` to ``hi`` with ``t[p] == x[p - d]``."""
+    lo, hi = max(lo, d, 0), min(hi, len(t), len(x) + d)
+    if hi - lo < least:
+        return []
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], t[lo:hi] == x[lo - d : hi - d], [False]])))
+    s, e = edge[::2], edge[1::2]
+    long = e - s >= least
+    return [(lo + int(a), lo + int(b)) for a, b in zip(s[long], e[long])]
+
+
+def banded_edits(x: np.ndarray, text: np.ndarray, first: int, last: int) -> int:
+    """Least edit distance of ``x`` to a part of ``text`` that begins at ``first`` to ``last``, on the diagonals of these
+    starts only. Cell d of a row holds the distance where ``d + first + row`` characters of the text lie before it."""
+    width = last - first + 1
+    n, big = len(text), 1 << 20
+    step = np.arange(width)
+    at = first + step
+    row = np.where((at >= 0) & (at <= n), 0, big)
+    for i, c in enumerate(x):
+        pos = at + i  # the character of the text that x[i] meets on each diagonal
+        inside = (pos >= 0) & (pos < n)
+        same = np.zeros(width, bool)
+        same[inside] = text[pos[inside]] == c
+        kept = np.where(inside, row + ~same, big)
+        lost = np.append(row[1:], big) + 1  # x[i] left out
+        best = np.minimum(kept, lost)
+        row = np.minimum.accumulate(best - step) + step  # characters of the text put in
+        row = np.where(pos + 1 <= n, row, np.minimum(best, big))
+    return int(row.min())
+
+
+def with_standing(items: DataFrame, min_words: int, least_items: int) -> DataFrame:
+    """Items (i, t) with ``standing``: where among its words passages of ``min_words`` begin that occur in ``least_items``
+    items or more."""
+    words = F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    w = items.select("i", words.alias("w")).filter(F.size("w") >= min_words)
+    each = w.select("i", "w", F.explode(F.sequence(F.lit(0), F.size("w") - min_words)).alias("p")).select("i", "p", F.array_join(F.slice("w", F.col("p") + 1, min_words), " ").alias("gram"))
+    often = each.groupBy("gram").agg(F.countDistinct("i").alias("n")).filter(F.col("n") >= least_items).select("gram")
+    starts = each.join(often, "gram").groupBy("i").agg(F.collect_set("p").alias("standing"))
+    return items.join(starts, "i", "left")
+
+
+def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str, list[int]]]]:
     """The items in blocks of bounded size, fetched one at a time."""
-    sized = items.agg(F.sum(F.length(text_col)).alias("c"), F.count("*").alias("n")).first()
-    blocks = max(1, -(-int(sized.c or 0) // BLOCK_CHARS))
-    part = F.pmod(F.xxhash64(id_col), F.lit(blocks))
+    size = items.agg(F.sum(F.length("t")).alias("c")).first()
+    blocks = max(1, -(-int(size.c or 0) // BLOCK_CHARS))
+    part = F.pmod(F.xxhash64("i"), F.lit(blocks))
     for k in range(blocks):
-        yield [(r[0], r[1]) for r in items.filter(part == k).select(id_col, text_col).collect()]
+        yield [(r.i, r.t, r.standing or []) for r in items.filter(part == k).select("i", "t", "standing").collect()]
 
 
 def leaked_items(
@@ -188,19 +237,23 @@ def leaked_items(
     item_text: str = "text",
     min_words: int = 12,
     least_standing: int = 3,
-    q: int = 16,
-    max_edits: int = 0,
+    q: int | None = None,
+    max_edits: int = 1,
+    exact: bool = True,
 ) -> DataFrame:
     """(doc_id, item_id) of documents and items that share a passage of ``min_words`` words that isn't a standing
-    instruction (a run that occurs in ``least_standing`` items or more). See the module's text."""
+    instruction (a run that occurs in ``least_standing`` items or more).
+
+    Regions are those within ``max_edits`` edits of characters; with ``exact`` a shared passage must then stand there word for
+    word, without it the edited passage itself counts. See the module's text.
+    """
     spark = docs.sparkSession
-    items = items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).distinct()
-    standing = {tuple(r.gram.split(" ")) for r in standing_instructions(items, item_id, item_text, min_words, least_standing).toLocalIterator()}
+    named = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull()).distinct()
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).filter(F.length("text") > 0)
-    schema = f"doc_id long, item_id {dict(items.dtypes)[item_id]}"
+    schema = f"doc_id long, item_id {dict(named.dtypes)['i']}"
     found = None
-    for block in item_blocks(items, item_id, item_text):
-        index = spark.sparkContext.broadcast(ItemIndex(block, standing, q, min_words, max_edits))
+    for block in item_blocks(with_standing(named, min_words, least_standing)):
+        index = spark.sparkContext.broadcast(ItemIndex(block, q, min_words, max_edits, exact))
         part = d.mapInPandas(_searcher(index), schema)
         found = part if found is None else found.unionByName(part)
     return found.distinct()
@@ -216,7 +269,7 @@ def _searcher(index):
                 for doc, item, lo, hi, d0, d1 in ix.regions(texts[at]):
                     t = texts[at][doc]
                     key = (ids[at.start + doc], ix.ids[item])
-                    if key not in hit and ix.matches(t.split(" "), t, item, lo, hi, d0, d1):
+                    if key not in hit and ix.matches(t, item, lo, hi, d0, d1):
                         hit.add(key)
             yield pd.DataFrame(sorted(hit), columns=["doc_id", "item_id"])
 
@@ -239,6 +292,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of documents that hold a passage of twelve words of an item within two edits of characters."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), max_edits=2, exact=False)
+
+
 def p8_leaks_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents per leaked item."""
     return p8_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"))

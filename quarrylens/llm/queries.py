@@ -25,6 +25,7 @@ def queries():
         "p9_found": personal.p9_found,
         "p9_redacted": personal.p9_redacted,
         "p8_leaks_per_item": leakage.p8_leaks_per_item,
+        "p8_near_copies": leakage.p8_near_copies,
     }
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from compare import connect, rows
 
 from quarrylens.llm import leakage as lk
@@ -76,3 +78,48 @@ def test_passage_off_the_word_diagonals(spark):
     items = [(1, "t", f"{head} in a few days {p} international {tail}")]
     docs = [(1, f"{head} international {p} in a few days {tail}", 0, "")]
     assert run(spark, docs, items) == brute(docs, items) == [(1, 1)]
+
+
+def edits(a, b):
+    """Least edit distance of ``a`` to any part of ``b``, by the whole table."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_banded_edits():
+    rng = random.Random(5)
+    code = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    for _ in range(200):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 25)))
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "x", "a"])
+        text = "zz" + "".join(b) + "zzz"
+        assert lk.banded_edits(code(a), code(text), -len(a), len(text)) == edits(a, text)
+
+
+@pytest.mark.parametrize("change,least", [
+    (("seventh", "sevemth"), 1), (("seventh", "seven"), 2), (("seventh ", ""), 8), (("fifth sixth", "fifthsixth"), 1), (("fifth", "fiffth"), 1), (("eighth", "eihgth"), 2), (("tenth", "tnth"), 1), (("sixth seventh eighth", "sxth seventh eigth"), 2), (("third fourth fifth", "thrd foorth fiftth"), 3),
+])
+def test_passages_with_edits(spark, change, least):
+    """One to three edits in the middle, insertions and deletions: found from a budget of so many on, and never word for word."""
+    p = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth"
+    docs = spark.createDataFrame([(1, f"some words before {p.replace(*change)} and some after", 0, "")], DOC)
+    items = spark.createDataFrame([(1, "t", p)], ITEM)
+    for k in (1, 2, 3):
+        assert lk.leaked_items(docs, items, max_edits=k, exact=False).count() == (least <= k)
+    assert lk.leaked_items(docs, items, max_edits=3).count() == 0
+
+
+def test_standing_texts_give_no_regions():
+    standing = "always begin with this same long standing instruction that every single item of them has"
+    n = len(standing.split()) - 11
+    index = lk.ItemIndex([(i, f"{standing} own words number {i} about {i * 7} things", list(range(n))) for i in range(300)], None, 12, 1, True)
+    assert index.regions([standing, f"before {standing} after"]) == []
+    assert {r[1] for r in index.regions([f"{standing} own words number 5 about 35 things"])} >= {5}
