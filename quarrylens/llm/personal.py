@@ -1,36 +1,38 @@
 """Personal information in free text, found and replaced by typed placeholders.
 
-1. Candidate search covers all text: broad patterns for addresses of mail, numbers, streets and capitalised words. They
-   are meant to miss nothing; ports, builds, tickets and product names are among them.
-2. Windows around the candidates go through a character-level bidirectional LSTM with CRF transitions, trained in numpy;
-   long stretches are cut into overlapping windows, each character keeps the scores of the window that sees most around it,
-   and one Viterbi pass over the stretch decides the tags.
-3. A candidate is found where most of its characters carry one type's tags; its exact extent is the candidate's own, and for
-   names the run of words so tagged.
-
-Labelled spans for the training come from a bounded sample of the corpus (``SAMPLE_ROWS`` documents, by hash order):
-strict forms and the words around them label the candidates of the sample. The model is fitted once on the driver, its
-weights (some hundred KB) are broadcast, and it then decides every document.
+1. Every text goes whole through a character-level bidirectional LSTM with CRF transitions, trained in numpy: it is cut into
+   overlapping windows, each character keeps the scores of the window that sees most around it, and one Viterbi pass over the
+   text decides the tags.
+2. Runs of tags become details. Broad patterns for addresses of mail, numbers, streets and capitalised words tell the exact extent
+   of a run: a pattern's span is found where three in ten of its characters or more carry its type's tags, for names the run of words
+   so tagged. A run that no pattern meets stands by itself, out to its words' ends, where it has the characters of its type.
+
+The model is fitted on sentences written by hand (``personal_seeds``) and on a bounded sample of the corpus (``SAMPLE_ROWS`` documents
+of at most ``SAMPLE_LONGEST`` characters, by hash order), labelled by strict forms and the words around them. It is fitted once on the driver and kept
+in the shared checkpoint folder under the hash of its sample; its weights (some hundred KB) are broadcast.
 
 Defined cases: null and empty texts hold nothing; a detail repeated in a document is one row; documents are read whole.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.llm.personal_seeds import sentences
 from quarrylens.llm.sampling import sampled_texts
-from quarrylens.session import table
+from quarrylens.session import checkpoint_dir, table
 
 TYPES = ["email", "phone", "id_number", "address", "person_name"]
-#: Documents that the model may be fitted on.
-SAMPLE_ROWS = 8000
+#: Documents that the model may be fitted on, and the longest of them; sentences written by hand beside them.
+SAMPLE_ROWS, SAMPLE_LONGEST, SEED_ROWS = 8000, 4000, 1500
 
 # ---------------------------------------------------------------- candidates
 
@@ -160,9 +162,9 @@ def common_words(texts: list[str], least: int = 8) -> frozenset[str]:
 _NOT_PHONE = re.compile(r"(?i)(?<![A-Za-z])(?:build|ticket|run id|ports|port|recall|session=\S*|step=|read|release|version|v|id|pid|line|bytes from|@@ [-+]\S*) ?\Z")
 _PHONE_WORD = re.compile(r"(?i)(?:\b(?:tel|phone|call|mobile|cell|fax|whatsapp|reach me at|téléphone|telefon|telefonnummer|teléfono|móvil|handy)|전화|연락처)\W{0,6}\Z")
 _ID_WORD = re.compile(r"(?i)\bSSN\b|social security|tax id|\bNINO\b|national insurance|passport|licen[cs]e|\bID card|identity card|\bDNI\b|\bNIE\b|\bNIF\b|passeport|sécurité sociale|carte d['’]identité|ausweis|steuer-?id|reisepass|personalausweis|sozialversicherung|주민등록번호|여권번호|운전면허|id number|pasaporte|seguridad social|\bCPF\b")
-_NOT_ADDRESS = re.compile(r"^ (?:workers|stations|jobs|tasks|nodes|slots)\b")
+_NOT_ADDRESS = re.compile(r"^ [a-z]{5,}s\b")  # a count and what is counted
 _INTRODUCES = re.compile(
-    rf"(?:Signed-off-by: |Co-authored-by: |Reported by |Interview notes: |@author |Assigned to |Blame points at |Dr\. |I am |Thanks to |Merged after |Yesterday |Zuständig ist |Rückfragen bitte an |Gemeldet von |Voir avec |Merci à |Pregunta a |Lo ha revisado )([{_UP}][{_LO}]+) (?:[{_UP}]\. )?[{_UP}][{_LO}]+"
+    rf"(?:Signed-off-by: |Co-authored-by: |Reviewed-by: |(?:Reported|Reviewed|Written|Approved) by |@author |(?:Assigned|Thanks) to |(?:Dr|Mr|Mrs|Ms|Prof)\. |I am |[Mm]y name is |Dear |Herr |Frau |Merci à |Madame |Monsieur |Gracias a |Señora? )([{_UP}][{_LO}]+) (?:[{_UP}]\. )?[{_UP}][{_LO}]+"
 )
 
 
@@ -528,10 +530,10 @@ def train(
     texts: list[str],
     spans: list[list[tuple[int, int, str]]],
     common: frozenset[str] = frozenset(),
-    epochs: int = 12,
+    epochs: int = 14,
     batch: int = 128,
     rate: float = 0.012,
-    windows: int = 4500,
+    windows: int = 5500,
     seed: int = 7,
 ) -> Tagger:
     """Fit on windows around the candidates of labelled texts: about ``windows`` windows an epoch, rare types repeated with
@@ -550,7 +552,11 @@ def train(
                 w = [x for x in text[s:e].replace(",", " ,").split() if not x.endswith(".")]
                 pair = (w[2], w[0]) if len(w) == 3 and w[1] == "," else (w[0], w[-1])
                 names.append((pair[0].title(), "-".join(x.capitalize() if i == 0 else x.lower() for i, x in enumerate(pair[1].split("-")))))
-        for a, b in stretches(text, candidates(text)):
+        around = stretches(text, candidates(text) + labels)
+        if len(text) > WINDOW and rng.random() < 0.1:  # text without any candidate
+            a = int(rng.integers(len(text) - WINDOW))
+            around = [*around, (a, a + WINDOW)]
+        for a, b in around:
             for p in range(a, b, WINDOW - OVERLAP):
                 q = min(b, p + WINDOW)
                 present = {int(k) for k in np.unique((tags[p:q] + 1) // 2) if k}
@@ -600,8 +606,8 @@ def train(
 # ---------------------------------------------------------------- tagging and finding
 
 
-def tag_stretches(model: Tagger, texts: list[str]) -> list[np.ndarray]:
-    """Tags of each text: overlapping windows give the scores, each character's from the window that sees most on its
+def tag_stretches(model: Tagger, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Tags of each text, and how far each scores over no tag: overlapping windows give the scores, each character's from the window that sees most on its
     shorter side, and one Viterbi pass over the whole text decides."""
     windows: list[tuple[int, int, np.ndarray]] = []
     for i, t in enumerate(texts):
@@ -626,7 +632,7 @@ def tag_stretches(model: Tagger, texts: list[str]) -> list[np.ndarray]:
             better = see > margin[i][p : p + n]
             scores[i][p : p + n][better] = e[:n, j][better]
             margin[i][p : p + n][better] = see[better]
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(texts)
     order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
     at = 0
     while at < len(order):
@@ -641,25 +647,37 @@ def tag_stretches(model: Tagger, texts: list[str]) -> list[np.ndarray]:
             mask[: len(texts[i]), j] = True
         best = model.viterbi(e, mask)
         for j, i in enumerate(part):
-            out[i] = best[: len(texts[i]), j]
+            tags = best[: len(texts[i]), j]
+            out[i] = tags, scores[i][np.arange(len(tags)), tags] - scores[i][:, 0]
         at = end
     return out
 
 
 _MARKED = re.compile("b?i+")
-
-
-def decide(text: str, found: list[tuple[int, int, str]], tags: np.ndarray) -> list[tuple[int, int, str]]:
-    """The candidates that the tags (for each character of the text) confirm, with their exact extent."""
+_SHAPE = {
+    "email": lambda t: bool(re.search(r"\w ?(?:@|[(\[{]at[)\]}]|AT) ?\w", t)),
+    "phone": lambda t: 7 <= sum(c.isdigit() for c in t) <= 15 and not re.search(r"[^\W\d_]{2}", t),
+    "id_number": lambda t: sum(c.isdigit() for c in t) >= 5 and len(t) <= 24,
+    "address": lambda t: any(c.isdigit() for c in t) and sum(c.isalpha() for c in t) >= 3,
+    "person_name": lambda t: len(t.split()) >= 2 and not any(c.isdigit() for c in t) and all(w[0].isalpha() and w.replace("'", "").replace("-", "").replace("’", "").isalpha() for w in t.split()),
+}
+#: Least mean score of a run's tags over that of no tag, where no pattern meets the run.
+SURE = 4.0
+
+
+def decide(text: str, found: list[tuple[int, int, str]], tags: np.ndarray, over: np.ndarray | None = None) -> list[tuple[int, int, str]]:
+    """The details that the tags (for each character of the text) mark, with their exact extent. ``over`` is how far each tag
+    scores over no tag; without it runs that no candidate meets don't count."""
     kinds = (tags + 1) // 2
-    out = []
+    out, met = [], np.zeros((len(TYPES) + 1, len(text)), bool)
     for s, e, kind in found:
         k = TYPES.index(kind) + 1
+        met[k, s:e] = True
         if kind == "person_name" and _SCRIPT_RUN.match(text, s):
             out += [(s + m.start(), s + m.end(), kind) for m in _MARKED.finditer("".join("b" if t == 2 * k - 1 else "i" if t == 2 * k else "o" for t in tags[s:e])) if m.end() - m.start() >= 2]
             continue
         if kind != "person_name":
-            if (kinds[s:e] == k).mean() >= 0.5:
+            if (kinds[s:e] == k).mean() >= 0.3:
                 out.append((s, e, kind))
             continue
         run: list[tuple[int, int]] = []
@@ -673,9 +691,34 @@ def decide(text: str, found: list[tuple[int, int, str]], tags: np.ndarray) -> li
             if inside:
                 run.append((a, b))
         out += _name(text, run)
+    if over is not None:
+        out += _unmet_runs(text, tags, kinds, met, over)
     return _disjoint(out)
 
 
+def _unmet_runs(text: str, tags: np.ndarray, kinds: np.ndarray, met: np.ndarray, over: np.ndarray) -> list[tuple[int, int, str]]:
+    """Runs of tags that no pattern of their type meets, out to the ends of their words."""
+    out = []
+    starts = np.flatnonzero((kinds > 0) & ((np.concatenate([[0], kinds[:-1]]) != kinds) | (tags == 2 * kinds - 1)))
+    for s in starts.tolist():
+        k, e = kinds[s], s + 1
+        while e < len(tags) and tags[e] == 2 * k:
+            e += 1
+        if e - s < 2 or met[k, s:e].any() or over[s:e].mean() < SURE:
+            continue
+        kind = TYPES[k - 1]
+        if text[s] < "\u3000":  # scripts with blanks
+            while s > 0 and (text[s - 1].isalnum() or text[s - 1] == "_"):
+                s -= 1
+            while e < len(text) and (text[e].isalnum() or text[e] == "_"):
+                e += 1
+        while e > s and not (text[e - 1].isalnum() or text[e - 1] in ")º."):
+            e -= 1
+        if _SHAPE[kind](text[s:e]) and not met[k, s:e].any():
+            out.append((s, e, kind))
+    return out
+
+
 def _name(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     full = [x for x in run if not text[x[1] - 1] == "."]
     return [(run[0][0], run[-1][1], "person_name")] if len(full) >= 2 else []
@@ -690,24 +733,65 @@ def find(model: Tagger, texts: list[str | None]) -> list[list[tuple[int, int, st
         while end < len(texts) and (end == at or chars < 600_000):
             chars += len(texts[end] or "")
             end += 1
-        cands = [candidates(t) if t else [] for t in texts[at:end]]
-        where = [(i, a, b) for i, c in enumerate(cands) for a, b in stretches(texts[at + i] or "", c)]
-        if where:
-            tagged = tag_stretches(model, [texts[at + i][a:b] for i, a, b in where])
-            by: dict[int, np.ndarray] = {}
-            for (i, a, b), t in zip(where, tagged):
-                by.setdefault(i, np.zeros(len(texts[at + i]), np.int64))[a:b] = t
-            for i, t in by.items():
-                out[at + i] = decide(texts[at + i], cands[i], t)
+        some = [i for i in range(at, end) if texts[i]]
+        for i, (tags, over) in zip(some, tag_stretches(model, [texts[i] for i in some])):
+            out[i] = decide(texts[i], candidates(texts[i]), tags, over)
         at = end
     return out
 
 
 def fitted(documents: DataFrame, text_col: str, sample_rows: int = SAMPLE_ROWS) -> Tagger:
-    """The model fitted on at most ``sample_rows`` documents of up to 4,000 characters, those of least hash."""
-    texts = sampled_texts(documents.select(F.col(text_col).alias("text")), sample_rows, 40, 4000)
-    given, common = given_names(texts), common_words(texts)
-    return train(texts, [weak_spans(t, given, common) for t in texts], common)
+    """The model for a corpus: fitted on the sentences written by hand and on at most ``sample_rows`` documents of up to
+    ``SAMPLE_LONGEST`` characters, those of least hash. A model fitted on the same sample before is read again."""
+    spark = documents.sparkSession
+    texts = sampled_texts(documents.select(F.col(text_col).alias("text")), sample_rows, 40, SAMPLE_LONGEST)
+    digest = xxhash.xxh3_128()
+    for t in [_VERSION, *texts]:
+        digest.update(t.encode("utf-8", "surrogatepass") + b"\0")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/personal-{digest.hexdigest()}.npz"
+    common = common_words(texts)
+    stored = _stored(spark, path)
+    if stored is not None:
+        model = Tagger()
+        model.p, model.common = stored, common
+        return model
+    given = given_names(texts)
+    seeds = sentences(SEED_ROWS)
+    model = train([*texts, *(t for t, _ in seeds)], [*(weak_spans(t, given, common) for t in texts), *(s for _, s in seeds)], common)
+    _store(spark, path, model.p)
+    return model
+
+
+#: Part of the stored model's name: changes with what it is fitted on.
+_VERSION = "4"
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+
+
+def _stored(spark: SparkSession, path: str) -> dict[str, np.ndarray] | None:
+    fs, p, _ = _file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    raw = spark.sparkContext.binaryFiles(path).first()[1]
+    with np.load(io.BytesIO(raw)) as f:
+        return dict(f)
+
+
+def _store(spark: SparkSession, path: str, weights: dict[str, np.ndarray]) -> None:
+    """Written beside its place and renamed, so that a reader sees all of it or none."""
+    out = io.BytesIO()
+    np.savez(out, **weights)
+    fs, p, jvm = _file_system(spark, path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{xxhash.xxh3_64_hexdigest(out.getvalue())}")
+    stream = fs.create(beside, True)
+    stream.write(bytearray(out.getvalue()))
+    stream.close()
+    if not fs.rename(beside, p):
+        fs.delete(beside, False)
 
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person_name": "[PERSON_NAME]"}

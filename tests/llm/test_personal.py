@@ -43,7 +43,7 @@ def test_windows_are_reconciled(fitted):
     model, _, _ = fitted
     rng = random.Random(5)
     t = " ".join(sample(rng).replace("\n", " ") for _ in range(20))
-    tags = pe.tag_stretches(model, [t])[0]
+    tags, _ = pe.tag_stretches(model, [t])[0]
     assert len(tags) == len(t) > 4 * pe.WINDOW and len({int(x) for x in tags}) > 4
 
 
@@ -90,10 +90,52 @@ def test_operator(spark):
     assert pe.personal_details(d.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def from_seeds():
+    """A model fitted on the sentences written by hand alone."""
+    rows = pe.sentences(4000)
+    return pe.train([t for t, _ in rows], [s for _, s in rows], epochs=22, batch=64, windows=4000)
+
+
+HELD_OUT = [
+    ("Could you ask Edward Hughes whether the parcel arrived?", {("Edward Hughes", "person_name")}), ("My name is rosa martin ruiz and I need help.", {("rosa martin ruiz", "person_name")}), ("Call me on +44 20 7946 1234 tonight.", {("+44 20 7946 1234", "phone")}), ("write to lena.fox@post.example for details", {("lena.fox@post.example", "email")}),
+    ("Her SSN: 372-91-8842 was on the form.", {("372-91-8842", "id_number")}), ("They live at 48 Cherry Lane now.", {("48 Cherry Lane", "address")}), ("제 이름은 김하준입니다.", {("김하준", "person_name")}), ("住所は東京都千代田区霞が関3-2です。", {("東京都千代田区霞が関3-2", "address")}), ("Меня зовут Анна Соколов, здравствуйте", {("Анна Соколов", "person_name")}), ("我叫王小芳,很高兴。", {("王小芳", "person_name")}),
+]
+
+
+def test_held_out_sentences(from_seeds):
+    """Sentences, names and numbers that aren't among those written for training."""
+    found = pe.find(from_seeds, [t for t, _ in HELD_OUT])
+    got = [{(t[s:e], k) for s, e, k in f} for (t, _), f in zip(HELD_OUT, found)]
+    assert sum(w <= g for (_, w), g in zip(HELD_OUT, got)) >= 7, got
+
+
+def test_runs_without_a_pattern_come_from_the_network(from_seeds):
+    """No pattern meets a Japanese or Russian address: the network alone finds it."""
+    text = "Меня зовут Анна Попова, я живу по адресу ул. Ленина, д. 12."
+    for t, want in ((text, "ул. Ленина, д. 12"), ("住所は大阪市北区梅田3-2-1です。", "大阪市北区梅田3-2-1")):
+        assert not any(k == "address" for _, _, k in pe.candidates(t))
+        assert (want, "address") in {(t[s:e], k) for s, e, k in pe.find(from_seeds, [t])[0]}
+    blank = pe.Tagger()
+    blank.p = {k: v * 0 for k, v in blank.p.items()}
+    assert pe.find(blank, [text, *(t for t, _ in HELD_OUT)]) == [[]] * 11
+
+
+def test_model_is_stored_once(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"Reported by Emil Solxen on day {i} of the long week of work") for i in range(30)], "doc_id long, text string")
+    calls = []
+    small = pe.train
+    monkeypatch.setattr(pe, "SEED_ROWS", 200)
+    monkeypatch.setattr(pe, "_VERSION", f"test {random.random()}")
+    monkeypatch.setattr(pe, "train", lambda *a: calls.append(1) or small(*a, epochs=1, windows=200))
+    a, b = pe.fitted(d, "text"), pe.fitted(d, "text")
+    assert len(calls) == 1 and all((a.p[k] == b.p[k]).all() for k in a.p) and a.common == b.common
+
+
 def all_names(monkeypatch):
     """Lets the tagger confirm every candidate for a name, so that what is offered to it shows."""
     k = pe.TYPES.index("person_name")
-    monkeypatch.setattr(pe, "tag_stretches", lambda model, texts: [pe.np.array([2 * k + 1] + [2 * k + 2] * (len(t) - 1)) for t in texts])
+    monkeypatch.setattr(pe, "tag_stretches", lambda model, texts: [(pe.np.array([2 * k + 1] + [2 * k + 2] * (len(t) - 1)), pe.np.zeros(len(t))) for t in texts])
 
 
 def test_common_words_may_be_names(monkeypatch):
