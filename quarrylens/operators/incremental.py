@@ -2,25 +2,25 @@
 
 Sequence numbers that a successful run has processed are kept as disjoint intervals. A run subtracts them from
 what is available, processes the gaps (late commits included) and commits the merged intervals together with its
-output: both are written under a new version directory that becomes visible by one atomic rename, so a crash
-leaves either the old state or the new one.
+output: both are written under a new folder that counts once one small commit file names it, and that file
+can be created once only, so a crash leaves either the old state or the new one.
 
 ``planned_changes`` is the set-based form for the whole history of many roots at once; ``IntervalLedger`` is the
-form for running one increment at a time.
+form for running one increment at a time, which also takes what is committed late below the numbers of earlier runs. Both find the interval
+of a record by ``skew.interval_of``; the intervals stay a table and never reach the driver.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators.skew import next_match, previous_row
-from quarrylens.session import table
+from quarrylens.operators.skew import interval_of, merged, previous_row
+from quarrylens.session import checkpoint_dir, table
+from quarrylens.sources.storage import Folder
 
 
 def real_changes(changes: DataFrame) -> DataFrame:
@@ -57,19 +57,13 @@ def run_gaps(runs: DataFrame) -> DataFrame:
 def planned_changes(runs: DataFrame, changes: DataFrame) -> DataFrame:
     """(run_id, change_id): the successful run whose gap holds each real change record.
 
-    The gaps of a root are disjoint and ordered, so the run of a record is the one with the least ``gap_to`` at or
-    after it: a forward as-of match over the union of both, balanced however few roots hold most rows. Records
-    after the last successful run, or with null root or walked_at_ms, aren't listed.
+    The gaps of a root, what is available to a run minus what earlier runs have processed, are disjoint intervals, and each record
+    lies in one or none. Records after the last successful run, or with null root or walked_at_ms, aren't listed.
     """
-    gaps = run_gaps(runs).select("repository_root", F.col("gap_to").alias("at"), F.lit(1).alias("kind"), F.col("run_id").alias("rid"), F.lit(None).cast("long").alias("change_id"))
-    recs = (
-        real_changes(changes)
-        .filter(F.col("walked_at_ms").isNotNull() & F.col("repository_root").isNotNull())
-        .select("repository_root", F.col("walked_at_ms").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rid"), "change_id")
-    )
-    both = gaps.unionByName(recs)
-    m = next_match(both, ["repository_root"], ["at", "kind", "change_id"], "rid", "run_id")
-    return m.filter((F.col("kind") == 0) & F.col("run_id").isNotNull()).select("run_id", "change_id").distinct()
+    gaps = run_gaps(runs).select("repository_root", (F.col("gap_after") + 1).alias("lo"), F.col("gap_to").alias("hi"), "run_id")
+    recs = real_changes(changes).filter(F.col("walked_at_ms").isNotNull() & F.col("repository_root").isNotNull()).select("repository_root", "walked_at_ms", "change_id")
+    m = interval_of(recs, gaps, ["repository_root"], "walked_at_ms", "lo", "hi", "run_id", "run_id")
+    return m.filter(F.col("run_id").isNotNull()).select("run_id", "change_id").distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,116 +105,99 @@ P6_UNPROCESSED_SQL = P6_FOUND_SQL.replace(
 ).rstrip() + " where r.run_id is null"
 
 
-# --------------------------------------------------------------------------- interval algebra and ledger
-
-
-def merge_intervals(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Closed integer intervals as a sorted list of disjoint, non-adjacent ones."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(i for i in intervals if i[0] <= i[1]):
-        if out and lo <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
-
-
-def subtract_intervals(available: list[tuple[int, int]], done: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The parts of ``available`` outside ``done``."""
-    out: list[tuple[int, int]] = []
-    done = merge_intervals(done)
-    for lo, hi in merge_intervals(available):
-        at = lo
-        for a, b in done:
-            if b < at or a > hi:
-                continue
-            if a > at:
-                out.append((at, a - 1))
-            at = max(at, b + 1)
-        if at <= hi:
-            out.append((at, hi))
-    return out
+REPLAY_ROUNDS = 3
+
+
+def p6_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(change_id, round): every change record taken through the ledger as the walks reach it, in ``REPLAY_ROUNDS`` equal spans
+    of time. Record numbers don't follow the walks, so later rounds fill holes below numbers that are processed already. One round stops
+    before its commit and runs again. Records without walked_at_ms or root are never available."""
+    d = table(spark, sf_dir, "file_changes").filter("walked_at_ms is not null and repository_root is not null").select("repository_root", "change_id", "walked_at_ms").distinct()
+    ends = d.agg(F.min("walked_at_ms").alias("lo"), F.max("walked_at_ms").alias("hi")).first()
+    ledger = IntervalLedger(spark, f"{checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}", "change_id", ["repository_root"])
+    for k in range(1, REPLAY_ROUNDS + 1):
+        seen = d if k == REPLAY_ROUNDS or ends.lo is None else d.filter(F.col("walked_at_ms") <= ends.lo + (ends.hi - ends.lo) * k // REPLAY_ROUNDS)
+        work = lambda x, k=k: x.select("change_id", F.lit(k).alias("round"))
+        if k == 2:
+            try:
+                ledger.run(seen, work, fail_before_commit=True)
+            except StoppedBeforeCommit:
+                pass
+        ledger.run(seen, work)
+    return ledger.outputs()
+
+
+P6_REPLAY_SQL = """
+with d as (select distinct repository_root, change_id, walked_at_ms from file_changes where walked_at_ms is not null and repository_root is not null),
+b as (select min(walked_at_ms) as lo, max(walked_at_ms) as hi from d)
+select change_id, cast(min(case when walked_at_ms <= lo + (hi - lo) * 1 // 3 then 1 when walked_at_ms <= lo + (hi - lo) * 2 // 3 then 2 else 3 end) as integer) as round
+from d, b group by repository_root, change_id
+"""
 
+# --------------------------------------------------------------------------- ledger
 
-def merged_intervals_df(df: DataFrame, group: list[str], lo: str, hi: str) -> DataFrame:
-    """Disjoint intervals per group as DataFrame work (gaps and islands), for interval tables of any size."""
-    from pyspark.sql.window import Window
 
-    w = Window.partitionBy(*group).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
-    d = df.filter(F.col(lo) <= F.col(hi)).withColumn("__m", F.max(hi).over(w))
-    d = d.withColumn("__new", F.when(F.col("__m").isNull() | (F.col(lo) > F.col("__m") + 1), 1).otherwise(0))
-    d = d.withColumn("__island", F.sum("__new").over(Window.partitionBy(*group).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(*group, "__island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("__island")
+class StoppedBeforeCommit(RuntimeError):
+    """A run that stopped between its output and its commit."""
 
 
 class IntervalLedger:
-    """Exactly-once increments over a table with a unique increasing ``seq`` column, per ``root``.
+    """Exactly-once increments over a table with a sequence column ``seq``, unique among rows of equal ``keys``.
 
-    State is a directory of versions ``v00000001/{output/, intervals.json}``; ``CURRENT`` names the version in
-    force and is replaced by one rename after the version is complete. The interval list is what is
-    bounded here: it holds one entry per hole in the sequence, not per record.
+    State is a folder of runs ``run-<id>/{taken, output, intervals}`` and of commit files ``commit/<number>``, each the name of
+    the run in force from that number on. A commit file is created if it isn't there, in one step, so of two runs that began
+    from the same state one commits and the other fails. What an uncommitted run has written is never read. Rows with a null sequence number are
+    never taken.
     """
 
-    def __init__(self, spark: SparkSession, path: str, seq: str = "seq") -> None:
-        self.spark, self.path, self.seq = spark, path, seq
-        os.makedirs(path, exist_ok=True)
+    def __init__(self, spark: SparkSession, path: str, seq: str = "seq", keys: list[str] | None = None) -> None:
+        self.spark, self.seq, self.keys = spark, seq, keys or []
+        self.folder = Folder(spark, path)
+
+    def runs(self) -> list[str]:
+        """Committed runs, oldest first."""
+        return [self.folder.read(f"commit/{n}") for n in self.folder.names("commit") if n.isdigit()]
 
-    def _version(self) -> int:
-        try:
-            with open(os.path.join(self.path, "CURRENT")) as f:
-                return int(f.read())
-        except FileNotFoundError:
-            return 0
+    def _read(self, run: str, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder.path}/{run}/{part}")
 
-    def _dir(self, v: int) -> str:
-        return os.path.join(self.path, f"v{v:08d}")
+    def intervals(self) -> DataFrame | None:
+        """(keys, lo, hi) of what is processed; null before the first commit."""
+        done = self.runs()
+        return self._read(done[-1], "intervals") if done else None
 
-    def intervals(self) -> list[tuple[int, int]]:
-        v = self._version()
-        if not v:
-            return []
-        with open(os.path.join(self._dir(v), "intervals.json")) as f:
-            return [tuple(x) for x in json.load(f)]
+    def _keyed(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        return (df, self.keys) if self.keys else (df.withColumn("__root", F.lit(0)), ["__root"])
 
     def pending(self, df: DataFrame) -> DataFrame:
         """Rows of ``df`` whose sequence number no committed run has processed, late commits included."""
-        done = self.intervals()
-        if not done:
-            return df.filter(F.col(self.seq).isNotNull())
-        spans = F.broadcast(self.spark.createDataFrame(done, "__a long, __b long"))
-        return df.join(spans, (F.col(self.seq) >= F.col("__a")) & (F.col(self.seq) <= F.col("__b")), "left_anti").filter(F.col(self.seq).isNotNull())
+        d, done = df.filter(F.col(self.seq).isNotNull()), self.intervals()
+        if done is None:
+            return d
+        (d, keys), (done, _) = self._keyed(d), self._keyed(done)
+        return interval_of(d, done, keys, self.seq, "lo", "hi", "hi", "__done").filter("__done is null").select(df.columns)
 
     def run(self, df: DataFrame, work, fail_before_commit: bool = False) -> int:
         """Process what is pending with ``work`` and commit output and intervals together; returns rows taken."""
-        v = self._version() + 1
-        tmp = os.path.join(self.path, f"tmp-{uuid.uuid4().hex}")
-        todo = self.pending(df)
-        todo.write.parquet(os.path.join(tmp, "taken"))  # what this run took, whatever commits meanwhile
-        taken = self.spark.read.schema(todo.schema).parquet(os.path.join(tmp, "taken"))
-        work(taken).write.parquet(os.path.join(tmp, "output"))
-        # runs of consecutive sequence numbers, by islands: dense_rank is replaced by seq minus its rank
-        from pyspark.sql.window import Window
-
-        # only block ends reach the driver: per block of 65536 numbers full blocks collapse to one interval
-        s = taken.select(F.col(self.seq).alias("s")).distinct().withColumn("b", F.shiftright("s", 16))
-        w = Window.partitionBy("b").orderBy("s")
-        isl = s.withColumn("g", F.col("s") - F.row_number().over(w)).groupBy("b", "g").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-        new = [(r.lo, r.hi) for r in isl.select("lo", "hi").toLocalIterator()]
-        merged = merge_intervals([*self.intervals(), *new])
-        with open(os.path.join(tmp, "intervals.json"), "w") as f:
-            json.dump(merged, f)
-        n = taken.count()
+        before = self.runs()
+        name = f"run-{uuid.uuid4().hex}"
+        at = f"{self.folder.path}/{name}"
+        self.pending(df).write.parquet(f"{at}/taken")  # what this run takes, whatever commits meanwhile
+        taken = self.spark.read.parquet(f"{at}/taken")
+        work(taken).write.parquet(f"{at}/output")
+        new, keys = self._keyed(taken.select(*self.keys, F.col(self.seq).alias("lo")).distinct().withColumn("hi", F.col("lo")))
+        if before:
+            new = self._keyed(self._read(before[-1], "intervals"))[0].unionByName(new)
+        merged(new, keys, "lo", "hi").select(*self.keys, "lo", "hi").write.parquet(f"{at}/intervals")
         if fail_before_commit:
-            raise RuntimeError("stopped before the commit")
-        os.rename(tmp, self._dir(v))
-        mark = os.path.join(self.path, f"CURRENT.{uuid.uuid4().hex}")
-        with open(mark, "w") as f:
-            f.write(str(v))
-        os.replace(mark, os.path.join(self.path, "CURRENT"))
-        return n
-
-    def outputs(self) -> list[str]:
-        return [os.path.join(self._dir(v), "output") for v in range(1, self._version() + 1)]
+            raise StoppedBeforeCommit("stopped before the commit")
+        if not self.folder.claim(f"commit/{len(before) + 1:08d}", name):
+            raise RuntimeError("another run has committed since this one began")
+        return taken.count()
+
+    def outputs(self) -> DataFrame:
+        """The output of all committed runs."""
+        return self.spark.read.parquet(*(f"{self.folder.path}/{r}/output" for r in self.runs()))
 
 
 def fresh_enough(built_at_ms: int | None, staleness_ms: int, now_ms: int | None = None) -> bool:

@@ -76,16 +76,43 @@ def next_match(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
         .agg(F.min_by(value, pos).alias("first_value"))
     )
     one = edge.join(firsts, PID, "left")
-    # a key that begins inside a partition and runs on: the value comes from the partitions it begins
-    starts = one.filter("first_value is not null").select(F.col(PID).alias("p2"), F.col("first_key").alias("k2"), "first_value")
+    # a key that runs on: its value comes from the nearest partition that begins with it and holds one. Windows over one row a
+    # range partition; partitions that begin with a key follow each other
+    by_key = Window.partitionBy("first_key").orderBy(PID).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    onward = one.withColumn("from_here", F.first("first_value", ignorenulls=True).over(by_key))
+    after = Window.orderBy(PID)
     carry = (
-        one.select(PID, "last_key")
-        .join(starts, (F.col("k2").eqNullSafe(F.col("last_key"))) & (F.col("p2") > F.col(PID)))
-        .groupBy(F.col(PID).alias("__cp"), F.col("last_key").alias("__ck"))
-        .agg(F.min_by("first_value", "p2").alias("__later"))
+        onward.select(PID, "last_key", F.lead("first_key").over(after).alias("k2"), F.lead("from_here").over(after).alias("__later"))
+        .filter(F.col("k2").eqNullSafe(F.col("last_key")) & F.col("__later").isNotNull())
+        .select(F.col(PID).alias("__cp"), F.col("last_key").alias("__ck"), "__later")
     )
     return (
         d.join(F.broadcast(carry), (F.col(PID) == F.col("__cp")) & F.col("__ck").eqNullSafe(_keys_struct(keys)), "left")
         .withColumn(out, F.coalesce(F.col("__own"), F.col("__later")))
         .drop("__own", "__cp", "__ck", "__later", PID)
     )
+
+
+def interval_of(records: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, lo: str, hi: str, value: str, out: str = "found", partitions: int | None = None) -> DataFrame:
+    """Adds ``out``, the ``value`` of the interval [lo, hi] that holds ``at`` among rows of equal keys; null where none does.
+    The intervals of a key are disjoint, so only the one with the least ``hi`` at or after ``at`` can hold it: a forward as-of match, balanced
+    however many records or intervals a key has. A null ``lo`` has no lower end."""
+    own = [c for c in records.columns if c not in keys]
+    row = records.select(*keys, F.col(at).alias("__at"), F.lit(0).alias("__kind"), F.struct(*own).alias("__row"), F.lit(None).cast(intervals.select(F.struct(lo, value)).schema[0].dataType).alias("__iv"))
+    ends = intervals.select(*keys, F.col(hi).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(row.schema["__row"].dataType).alias("__row"), F.struct(lo, value).alias("__iv"))
+    m = next_match(row.unionByName(ends), keys, ["__at", "__kind"], "__iv", "__next", partitions).filter(F.col("__kind") == 0)
+    inside = F.col("__next").isNotNull() & (F.col(f"__next.{lo}").isNull() | (F.col(f"__next.{lo}") <= F.col("__at")))
+    return m.select(*keys, "__row.*", F.when(inside, F.col(f"__next.{value}")).alias(out))
+
+
+def merged(intervals: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
+    """Disjoint intervals of whole numbers with those that touch made one, per key; balanced like the above."""
+    d = previous_row(intervals.select(*keys, lo, hi), keys, [lo], [hi], "__prev")
+    starts = d.filter(F.col("__prev").isNull() | (F.col(f"__prev.{hi}") + 1 < F.col(lo))).select(*keys, lo, (-F.col(lo)).alias("__neg"), F.col(f"__prev.{hi}").alias("__ended"))
+    # an island ends where the row before the next island's start ends; the last of a key at the key's largest end
+    ends = previous_row(starts, keys, ["__neg"], ["__ended"], "__follow").withColumn("__end", F.col("__follow.__ended"))
+    inner = ends.filter("__end is not null").select(*keys, lo, F.col("__end").alias(hi))
+    top = intervals.groupBy(*keys).agg(F.max(hi).alias(hi))
+    cond = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    last = ends.filter("__end is null").alias("a").join(top.alias("b"), cond).select(*[F.col(f"a.{k}") for k in keys], F.col(f"a.{lo}"), F.col(f"b.{hi}"))
+    return inner.unionByName(last)

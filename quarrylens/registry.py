@@ -13,6 +13,7 @@ def _all():
     out = {
         "p6_found": (incremental.p6_found, incremental.P6_FOUND_SQL),
         "p6_gaps": (incremental.p6_gaps, incremental.P6_GAPS_SQL),
+        "p6_replay": (incremental.p6_replay, incremental.P6_REPLAY_SQL),
         "p6_unprocessed": (incremental.p6_unprocessed, incremental.P6_UNPROCESSED_SQL),
     }
     for m in MODULES:

@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.operators.incremental import IntervalLedger, merge_intervals, merged_intervals_df, planned_changes, real_changes, run_gaps, subtract_intervals
-from quarrylens.operators.skew import next_match, previous_row
+from quarrylens.operators.incremental import IntervalLedger, StoppedBeforeCommit, planned_changes, real_changes, run_gaps
+from quarrylens.operators.skew import interval_of, merged, next_match, previous_row
 
 RUNS = "run_id long, repository_root string, status string, started_at_ms long, extra string"
 CHANGES = "change_id long, repository_root string, file_path string, change_kind string, mtime_ns long, content_hash string, walked_at_ms long, extra string"
@@ -75,28 +75,52 @@ def test_ordered_rows_over_partition_borders(spark, partitions):
     assert {(r.k, r.t): r.n for r in nxt.collect()} == want
 
 
-def test_interval_algebra():
-    assert merge_intervals([(5, 6), (1, 2), (3, 3), (9, 8), (10, 12), (11, 20)]) == [(1, 3), (5, 6), (10, 20)]
-    assert subtract_intervals([(1, 10)], [(2, 3), (7, 20)]) == [(1, 1), (4, 6)]
-    assert subtract_intervals([], [(1, 2)]) == [] and subtract_intervals([(1, 2)], []) == [(1, 2)]
-
-
-def test_intervals_as_rows(spark):
-    d = spark.createDataFrame([("a", 1, 2), ("a", 3, 5), ("a", 9, 9), ("b", 4, 1)], "g string, lo long, hi long")
-    assert sorted((r.g, r.lo, r.hi) for r in merged_intervals_df(d, ["g"], "lo", "hi").collect()) == [("a", 1, 5), ("a", 9, 9)]
+def islands(numbers):
+    out = []
+    for n in sorted(numbers):
+        if out and out[-1][1] + 1 == n:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_intervals_as_rows(spark, partitions):
+    """Against lists: one key holds most rows and crosses every range border."""
+    rng = random.Random(partitions)
+    done = {k: {rng.randrange(300) for _ in range(n)} for k, n in (("hot", 200), ("b", 3), (None, 5))}
+    d = spark.createDataFrame([(k, i, i) for k, v in done.items() for i in v], "k string, lo long, hi long")
+    m = merged(d, ["k"], "lo", "hi")
+    got = {}
+    for r in m.collect():
+        got.setdefault(r.k, []).append((r.lo, r.hi))
+    assert {k: sorted(v) for k, v in got.items()} == {k: islands(v) for k, v in done.items()}
+    ask = spark.createDataFrame([(k, i, "x") for k in ("hot", "b", None, "none") for i in range(0, 310, 3)], "k string, at long, hi string")
+    found = interval_of(ask, m.withColumn("v", F.lit(1)), ["k"], "at", "lo", "hi", "v", "found", partitions)
+    assert {(r.k, r.at): r.found for r in found.collect()} == {(k, i): 1 if i in done.get(k, ()) else None for k in ("hot", "b", None, "none") for i in range(0, 310, 3)}
+    assert merged(d.limit(0), ["k"], "lo", "hi").count() == 0
 
 
 def test_ledger_survives_failures_and_late_commits(spark, tmp_path):
     table = lambda ids: spark.createDataFrame([(i,) for i in ids], "seq long")
-    ledger = IntervalLedger(spark, str(tmp_path / "ledger"))
-    assert ledger.run(table([1, 2, 3, 7]), lambda d: d) == 4
-    with pytest.raises(RuntimeError):
+    ledger = IntervalLedger(spark, f"file:{tmp_path}/ledger")
+    assert ledger.intervals() is None and ledger.run(table([1, 2, 3, 7, None]), lambda d: d) == 4
+    with pytest.raises(StoppedBeforeCommit):
         ledger.run(table([1, 2, 3, 4, 7, 8]), lambda d: d, fail_before_commit=True)
-    assert ledger.intervals() == [(1, 3), (7, 7)]
+    assert sorted((r.lo, r.hi) for r in ledger.intervals().collect()) == [(1, 3), (7, 7)]
     assert ledger.run(table([1, 2, 3, 4, 5, 7, 8]), lambda d: d) == 3  # 4 and 5 came late, 8 is new
+    assert sorted((r.lo, r.hi) for r in ledger.intervals().collect()) == [(1, 5), (7, 8)]
     assert ledger.run(table([1, 2, 3, 4, 5, 7, 8]), lambda d: d) == 0
-    got = sorted(r.seq for p in ledger.outputs() for r in spark.read.parquet(p).collect())
-    assert got == [1, 2, 3, 4, 5, 7, 8]
+    assert sorted(r.seq for r in ledger.outputs().collect()) == [1, 2, 3, 4, 5, 7, 8]
+
+
+def test_two_runs_from_one_state_commit_once(spark, tmp_path):
+    table = lambda ids: spark.createDataFrame([(i, "r") for i in ids], "seq long, root string")
+    a, b = (IntervalLedger(spark, f"file:{tmp_path}/ledger", keys=["root"]) for _ in "ab")
+    with pytest.raises(RuntimeError, match="another run"):
+        a.run(table([1, 2]), lambda d: b.run(table([1]), lambda x: x) and d)
+    assert sorted(r.seq for r in a.outputs().collect()) == [1] and a.run(table([1, 2]), lambda d: d) == 1
 
 
 def test_redelivery_is_null_safe(spark):
