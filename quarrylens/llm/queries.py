@@ -12,6 +12,7 @@ def queries():
         "p2_found": credentials.p2_found,
         "p2_redacted_configs": credentials.p2_redacted_configs,
         "p2_redacted_literals": credentials.p2_redacted_literals,
+        "p2_redacted_sources": credentials.p2_redacted_sources,
         "p3_found": natural.p3_found,
         "p3_shares": natural.p3_shares,
         "p4_found": syntax.p4_found,
