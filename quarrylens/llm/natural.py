@@ -1,10 +1,12 @@
 """Natural language inside code: comments and string literals found, their language told, and its share of each file.
 
-Files are lexed in pieces whose lexer states compose by a parallel prefix, so files of any size split safely; the text of
-each comment or string is cleaned of code, tags, markup and names, and its language is told by multinomial logistic
-regression on hashed character n-grams, trained in numpy. The training rows are fixed seed sentences and a bounded
-sample of the corpus (``SAMPLE_ROWS`` texts, by hash order) whose labels come from scripts, function words and forms of code;
-everything else covers all rows.
+Files are lexed in pieces whose lexer states compose by a parallel prefix, so files of any size split safely; stored comments and literals are
+single spans and are lexed alike to find what of a raw comment is text. Each span is labelled by multinomial logistic regression on
+hashed character n-grams, trained in numpy, as one of nine languages or code: only spans that it takes for a language go on. An exact
+check follows, which counts the words that are left without code, tags, markup and names.
+
+The training rows are fixed seed sentences and a bounded sample of the corpus (``SAMPLE_ROWS`` texts of at most ``SAMPLE_LONGEST`` characters, by
+hash order) whose labels come from scripts, function words and forms of code; everything else covers all rows.
 
 Defined cases: null, empty and blank texts hold no natural language; exact duplicate rows count once; a text in two
 languages gets the one that fits its n-grams best; of files without a lexer nothing is read.
@@ -32,21 +34,21 @@ CLASSES = [*LANGUAGES, "code"]
 MIN_WORDS, MIN_CJK = 4, 8
 DIM = 1 << 15
 SURE_CODE = 0.9
-#: Texts of the corpus that the classifier may be fitted on, besides the seeds.
-SAMPLE_ROWS = 3000
+#: Texts of the corpus that the classifier may be fitted on besides the seeds, and the longest of them.
+SAMPLE_ROWS, SAMPLE_LONGEST = 3000, 2000
 
 # fixed values: seed sentences, about the words that any text of the language needs
 SEEDS = {
     "en": ["the file was not found in this folder and will be read again after the next run", "you are about to remove all of the entries that have changed", "returns the first value which is not empty or null when there is none", "please wait until we have saved your work before closing this window", "this must be called once for every item, otherwise the result may be wrong", "nothing to do here because it has already been done by another process", "copyright the authors, all rights reserved, see the license file for the terms"],
-    "de": ["die Datei wurde nicht gefunden und wird nach dem nächsten Lauf noch einmal gelesen", "gibt den ersten Wert zurück, der nicht leer ist, oder nichts, falls es keinen gibt", "bitte warten Sie, bis alle Änderungen gespeichert sind, bevor das Fenster geschlossen wird", "das muss für jeden Eintrag einmal aufgerufen werden, weil sonst das Ergebnis falsch ist", "löscht alle Einträge aus der Liste und meldet danach die Anzahl", "schreibt die Daten ohne Sperre auf die Platte, sobald der Puffer voll ist", "fuer das ganze Projekt, koennen sich wiederholen, ueber groesste naechsten"],
-    "fr": ["le fichier n'a pas été trouvé et sera relu après la prochaine exécution", "renvoie la première valeur qui n'est pas vide ou rien s'il n'y en a aucune", "veuillez attendre que toutes les modifications soient enregistrées avant de fermer la fenêtre", "cette méthode doit être appelée une fois pour chaque élément, sinon le résultat est faux", "supprime toutes les entrées de la liste et signale ensuite leur nombre", "écrit les données sans verrou sur le disque dès que le tampon est plein", "depuis l'arbre de travail, jusqu'à ce que, avec un seul essai au plus, car les chemins"],
-    "es": ["el fichero no se ha encontrado y se volverá a leer después de la siguiente ejecución", "devuelve el primer valor que no está vacío o nada si no hay ninguno", "espere hasta que se hayan guardado todos los cambios antes de cerrar la ventana", "este método debe llamarse una vez para cada elemento, porque si no el resultado es erróneo", "elimina todas las entradas de la lista y luego informa de cuántas hay", "escribe los datos sin bloqueo en el disco en cuanto el búfer está lleno", "desde el árbol de trabajo, hasta que, con un solo intento, porque las rutas pueden"],
-    "pt": ["o arquivo não foi encontrado e será lido de novo depois da próxima execução", "devolve o primeiro valor que não está vazio ou nada se não houver nenhum", "espere até que todas as alterações sejam gravadas antes de fechar a janela", "este método deve ser chamado uma vez para cada elemento, pois senão o resultado está errado", "remove todas as entradas da lista e depois informa quantas são", "grava os dados sem trava no disco assim que o buffer estiver cheio", "a partir da árvore de trabalho, com no máximo uma tentativa, pois os caminhos podem"],
+    "de": ["die Datei wurde nicht gefunden und wird nach dem nächsten Lauf noch einmal gelesen", "gibt den ersten Wert zurück, der nicht leer ist, oder nichts, falls es keinen gibt", "bitte warten Sie, bis alle Änderungen gespeichert sind, bevor das Fenster geschlossen wird", "das muss für jeden Eintrag einmal aufgerufen werden, weil sonst das Ergebnis falsch ist", "löscht alle Einträge aus der Liste und meldet danach die Anzahl", "schreibt die Daten ohne Sperre auf die Platte, sobald der Puffer voll ist", "ich wuensche Ihnen schoene Gruesse und hoere gern von Ihnen", "am Abend gehen wir ueber die Bruecke zurueck nach Hause"],
+    "fr": ["le fichier n'a pas été trouvé et sera relu après la prochaine exécution", "renvoie la première valeur qui n'est pas vide ou rien s'il n'y en a aucune", "veuillez attendre que toutes les modifications soient enregistrées avant de fermer la fenêtre", "cette méthode doit être appelée une fois pour chaque élément, sinon le résultat est faux", "supprime toutes les entrées de la liste et signale ensuite leur nombre", "écrit les données sans verrou sur le disque dès que le tampon est plein", "nous irons demain à la bibliothèque parce qu'il pleut depuis ce matin", "elle a acheté du pain et des pommes pour ses voisins"],
+    "es": ["el fichero no se ha encontrado y se volverá a leer después de la siguiente ejecución", "devuelve el primer valor que no está vacío o nada si no hay ninguno", "espere hasta que se hayan guardado todos los cambios antes de cerrar la ventana", "este método debe llamarse una vez para cada elemento, porque si no el resultado es erróneo", "elimina todas las entradas de la lista y luego informa de cuántas hay", "escribe los datos sin bloqueo en el disco en cuanto el búfer está lleno", "mañana iremos a la biblioteca porque llueve desde esta mañana", "ella compró pan y manzanas para sus vecinos"],
+    "pt": ["o arquivo não foi encontrado e será lido de novo depois da próxima execução", "devolve o primeiro valor que não está vazio ou nada se não houver nenhum", "espere até que todas as alterações sejam gravadas antes de fechar a janela", "este método deve ser chamado uma vez para cada elemento, pois senão o resultado está errado", "remove todas as entradas da lista e depois informa quantas são", "grava os dados sem trava no disco assim que o buffer estiver cheio", "amanhã vamos à biblioteca porque chove desde esta manhã", "ela comprou pão e maçãs para os seus vizinhos"],
     "ko": ["파일을 찾을 수 없어서 다음 실행 뒤에 다시 읽는다", "비어 있지 않은 첫 번째 값을 돌려주고 없으면 아무것도 돌려주지 않는다", "창을 닫기 전에 모든 변경이 저장될 때까지 기다려 주세요", "목록에서 모든 항목을 지우고 개수를 알린다"],
     "ja": ["ファイルが見つからないため次の実行の後にもう一度読み直します", "空でない最初の値を返し、なければ何も返しません", "ウィンドウを閉じる前にすべての変更が保存されるまでお待ちください", "一覧からすべての項目を削除して件数を知らせます"],
     "zh": ["没有找到文件,将在下一次运行之后重新读取", "返回第一个不为空的值,如果没有则不返回任何内容", "关闭窗口之前请等待所有更改保存完毕", "从列表中删除所有条目并报告数量"],
     "ru": ["файл не найден и будет прочитан снова после следующего запуска", "возвращает первое непустое значение или ничего, если такого нет", "подождите, пока все изменения не будут сохранены, прежде чем закрыть окно", "удаляет все записи из списка и сообщает их количество"],
-    "code": ["select a, count(*) from t where x_id = ? group by b order by c limit 10", "for item in items: print(item)", ".list > li.active:hover a[href]", "text/plain; charset=utf-8", "server=db.example;database=main;user id=svc;password=secret;timeout=30", "curl -s -h 'x-api-key: abc' https://host.example/v1/x", "tool login --registry host.example --token abc", "if (x == null) return; call(x);", "return foo(bar, baz)", "%s:%d -> %s | %s", "insert into t (a, b) values (?, ?)", "git clone --depth 1 url && cd repo", "authorization: bearer abcdef"],
+    "code": ["select a, count(*) from t where x_id = ? group by b order by c limit 10", "for item in items: print(item)", "ul.menu > li:first-child a[href]", "text/plain; charset=utf-8", "server=db.example;database=main;user id=svc;password=secret;timeout=30", "curl -s -h 'x-api-key: abc' https://host.example/v1/x", "tool login --registry host.example --token abc", "if (x == null) return; call(x);", "return foo(bar, baz)", "%s:%d -> %s | %s", "insert into t (a, b) values (?, ?)", "git clone --depth 1 url && cd repo", "authorization: bearer abcdef"],
 }
 # fixed values: function words that tell a language in Latin script
 _FUNCTION_WORDS = {
@@ -222,8 +224,9 @@ def weak_label(text: str) -> int | None:
 
 
 def fitted(texts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Weights fitted on the seeds and at most ``sample_rows`` texts of the corpus, those of least hash."""
-    rows = sampled_texts(texts, sample_rows, 12)
+    """Weights fitted on the seeds and at most ``sample_rows`` texts of the corpus, those of least hash; the spans themselves are the
+    training rows, not what the exact check leaves of them."""
+    rows = sampled_texts(texts, sample_rows, 12, SAMPLE_LONGEST)
     x, y = [], []
     for lang, seeds in SEEDS.items():
         for s in seeds:
@@ -234,27 +237,52 @@ def fitted(texts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
         if part:
             label = weak_label(part)
             if label is not None:
-                x.append(part)
-                y.append(label)
+                x += [span_text(t) or part, part]
+                y += [label, label]
         elif " " in t.strip():
-            x.append(t[:400])
+            x.append(t)
             y.append(CLASSES.index("code"))
     return train(x, y)
 
 
+_RAW_COMMENT = {"/*": "js", "//": "js", "# ": "python", "#!": "python", '""': "python", "''": "python"}
+
+
+def span_text(text: str) -> str:
+    """A stored comment or literal as the classifier sees it: of a raw comment what the lexer finds inside its marks, of any
+    other text itself, white space folded."""
+    family = _RAW_COMMENT.get(text.lstrip()[:2])
+    if family:
+        found, _ = L.spans(text, family)
+        inner = [clean_description(text[s:e]) for s, e, st, _ in found if st in (L.LINE, L.BLOCK, L.DOUBLE3, L.SINGLE3)]
+        text = "\n".join(inner) or text
+    return " ".join(text.replace("\\n", " ").split())
+
+
 # ---------------------------------------------------------------- the operators
 
 
+def label_spans(weights: np.ndarray, texts: list[str | None], names: list[str | None]) -> list[str | None]:
+    """The language of each span that is natural language: the classifier takes it for a language, and the exact check
+    leaves enough words, whose n-grams then tell which language it is."""
+    out: list[str | None] = [None] * len(texts)
+    long = [i for i, t in enumerate(texts) if t and (not t.isascii() or len(t.split(None, MIN_WORDS - 1)) >= MIN_WORDS or "\\" in t)]
+    seen = [span_text(texts[i]) for i in long]
+    taken = [i for i, c in zip(long, classify(weights, [s or " " for s in seen])) if CLASSES[c] != "code"]
+    parts = [natural_part(texts[i], names[i]) for i in taken]
+    kept = [(i, p) for i, p in zip(taken, parts) if p]
+    for (i, _), c in zip(kept, classify(weights, [p for _, p in kept])):
+        if CLASSES[c] != "code":
+            out[i] = CLASSES[c]
+    return out
+
+
 def _labelled(weights, kind: str, has_name: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            names = f["name"] if has_name else [None] * len(f)
-            parts = [natural_part(t, n) for t, n in zip(f["text"], names)]
-            keep = [i for i, p in enumerate(parts) if p]
-            best = classify(weights.value, [parts[i] for i in keep])
-            ids = f["row_id"].tolist()
-            rows = {(kind, ids[i], CLASSES[b]) for i, b in zip(keep, best) if CLASSES[b] != "code"}
-            yield pd.DataFrame(sorted(rows), columns=["origin", "row_id", "nl_lang"])
+            names = f["name"].tolist() if has_name else [None] * len(f)
+            found = label_spans(weights.value, f["text"].tolist(), names)
+            yield pd.DataFrame(sorted({(kind, i, b) for i, b in zip(f["row_id"].tolist(), found) if b}), columns=["origin", "row_id", "nl_lang"])
 
     return run
 
@@ -304,9 +332,9 @@ def _span_chars(weights, whole: bool):
                 if run_of:
                     _add(owners, sizes, parts, i, "\n".join(run_of))
             chars: dict[tuple[int, str], int] = {}
-            for i, b, n in zip(owners, classify(weights.value, parts), sizes):
-                if CLASSES[b] != "code":
-                    chars[i, CLASSES[b]] = chars.get((i, CLASSES[b]), 0) + n
+            for i, lang, n in zip(owners, label_spans(weights.value, parts, [None] * len(parts)), sizes):
+                if lang:
+                    chars[i, lang] = chars.get((i, lang), 0) + n
             yield pd.DataFrame([(i, c, n) for (i, c), n in chars.items()], columns=["file_id", "nl_lang", "chars"])
 
     return run
@@ -315,10 +343,10 @@ def _span_chars(weights, whole: bool):
 def _add(owners: list, sizes: list, parts: list, owner: int, text: str) -> None:
     inner = text[1:-1] if text[:1] in "\"'`" else text
     part = natural_part(inner)
-    if part:
+    if part:  # characters are counted as words without marks, whatever piece they stand in
         owners.append(owner)
         sizes.append(len(part))
-        parts.append(part)
+        parts.append(inner)
 
 
 def language_shares(source_files: DataFrame, symbols: DataFrame, literals: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:

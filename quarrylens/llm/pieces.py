@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarrylens.llm import lexer as L
 
 #: Files up to this length stay in one piece.
 PIECE_CHARS = 1 << 18
+#: Pieces whose maps are folded together before the prefix over blocks.
+BLOCK = 256
 
 
 def _cut(piece_chars: int):
@@ -34,10 +35,27 @@ def _maps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def pieces_with_start(files: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """(file_id, k, family, piece, start) of files (file_id, file_path, content) whose extension has a lexer.
 
-    The prefix runs over a few small integers a piece; no piece of text meets another one.
+    The prefix runs over a few small integers a piece, in two levels, so that no step sees more than ``BLOCK`` maps or one map a
+    block: the maps of a block are folded, the prefix runs over the blocks' maps, then inside each block from its start state.
+    No piece of text meets another one.
     """
     cut = files.mapInPandas(_cut(piece_chars), "file_id long, k int, family string, piece string").repartition("file_id", "k")
-    maps = cut.mapInPandas(_maps, "file_id long, k int, map array<int>")
-    before = Window.partitionBy("file_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.aggregate(F.collect_list("map").over(before), F.lit(0), lambda s, m: F.element_at(m, s + 1))
-    return cut.join(maps.withColumn("start", start).select("file_id", "k", "start"), ["file_id", "k"])
+    maps = cut.mapInPandas(_maps, "file_id long, k int, map array<int>").withColumn("block", F.expr(f"k div {BLOCK}"))
+    blocks = maps.groupBy("file_id", "block").agg(F.array_sort(F.collect_list(F.struct("k", "map"))).alias("maps"))
+    identity = F.array(*[F.lit(s) for s in L.STATES])
+    compose = lambda first, m: F.transform(first, lambda s: F.element_at(m["map"], s + 1))
+    folded = blocks.select("file_id", "block", F.aggregate("maps", identity, compose).alias("map"))
+    first = folded.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("block", "map"))).alias("maps"))
+    begins = first.select("file_id", F.posexplode(_starts(F.col("maps"), F.lit(L.CODE))).alias("i", "begin"), "maps").select("file_id", F.col("maps")[F.col("i")]["block"].alias("block"), "begin")
+    inside = blocks.join(begins, ["file_id", "block"]).select("file_id", "maps", F.posexplode(_starts(F.col("maps"), F.col("begin"))).alias("i", "start"))
+    return cut.join(inside.select("file_id", F.col("maps")[F.col("i")]["k"].alias("k"), "start"), ["file_id", "k"])
+
+
+def _starts(maps, begin):
+    """Column: the start state of each map in order, the first being ``begin``; one pass."""
+    return F.aggregate(
+        maps,
+        F.struct(F.array().cast("array<int>").alias("out"), begin.cast("int").alias("at")),
+        lambda acc, m: F.struct(F.array_append(acc["out"], acc["at"]).alias("out"), F.element_at(m["map"], acc["at"] + 1).alias("at")),
+        lambda acc: acc["out"],
+    )
