@@ -160,6 +160,8 @@ def mask(text: str, family: str, state: int = CODE, keep_comments: bool = False)
         parts.append(text[at:s])
         if st in (LINE, BLOCK):
             parts.append("\n" if "\n" in text[s:e] or "\r" in text[s:e] else " ")
+        elif s == 0 and state != CODE:  # the mark stands where the string begins
+            parts.append("" if ok else ERROR_MARK)
         else:
             parts.append(STRING_MARK if ok else ERROR_MARK)
         at = e
@@ -196,6 +198,10 @@ def combine_brackets(a: tuple[str, str, bool], b: tuple[str, str, bool]) -> tupl
     return a[0] + b[0][n:], a[1][: len(a[1]) - n] + b[1], False
 
 
+_AFTER_STATEMENT = re.compile(r"(?<=\w[)\]])[;},](?=[A-Za-z])|(?<=\w)[;},](?=[A-Za-z])")
+_BETWEEN_LETTERS = re.compile(r"(?<![\\'\"`/*\-<>#])[A-Za-z0-9 ](?=[A-Za-z0-9])")
+
+
 def cut_points(text: str, size: int) -> list[int]:
     """Starts of pieces of about ``size`` characters, each cut where no delimiter can straddle."""
     out, at = [0], 0
@@ -204,7 +210,7 @@ def cut_points(text: str, size: int) -> list[int]:
         if p >= 0:
             p += 1
         else:
-            m = re.compile(r"(?<![\\'\"`/*\-<>#])[A-Za-z0-9 ](?=[A-Za-z0-9])").search(text, at + size)
+            m = _AFTER_STATEMENT.search(text, at + size, at + size + size // 4) or _BETWEEN_LETTERS.search(text, at + size)
             if not m:
                 break
             p = m.end()

@@ -3,7 +3,9 @@
 Each file is reduced in two steps. First pieces of it become lexer-state maps and bracket summaries, which combine
 associatively, so a file of any size is read in parallel pieces; unterminated strings and comments and unbalanced
 brackets show here. Then the statements between brackets, with strings and comments masked, meet the local grammar
-of the language. An exact parser of the standard library follows for Python, JSON, TOML and XML.
+of the language: pieces are masked and reduced to templates in parallel, and one machine reads a file's templates in order, its
+open statements being what is carried over a border, so the verdict is the same for pieces of any size. An exact parser of the
+standard library follows for Python, JSON, TOML and XML, on the whole file.
 
 Files up to ``PIECE_CHARS`` are one piece and never leave their task; only pieces of larger files are shuffled.
 Defined cases: null content, and extensions without a grammar, are never flagged; empty and comment-only code files are
@@ -239,27 +241,26 @@ def _statement_ok(line: str, family: str, frame: _Frame, packed: bool) -> bool:
     return True
 
 
-def _brace_statements_ok(masked: str, family: str) -> bool:
-    """The grammar over every statement. One goes on while round or square brackets are open; blocks of statements inside
-    such brackets (callbacks) are frames of their own, and packed lines are cut at semicolons and braces."""
-    t = _template(masked, family)
-    frames = [_Frame()]
-    block_head = _BLOCK_HEAD[family]
-    for line in t.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+class Statements:
+    """The grammar over a file's lines of templates in their order. A statement goes on while round or square brackets are open;
+    blocks of statements inside such brackets (callbacks) are frames of their own, and packed lines are cut at semicolons and braces."""
+
+    def __init__(self, family: str) -> None:
+        self.family, self.frames = family, [_Frame()]
+
+    def line(self, line: str) -> bool:
+        """Take one line; false where it is a definite error."""
+        family, frames = self.family, self.frames
         line = line.strip()
         if not line:
-            continue
+            return True
         frame = frames[-1]
         if family == "c" and line.startswith("#"):
-            if _line_facts(line, family)[0]:
-                return False
-            continue
+            return not _line_facts(line, family)[0]
         packed = len(line) > LONG
         if not packed and not frame.held and (len(frames) == 1 or "}" not in line) and line.count("(") == line.count(")") and line.count("[") == line.count("]"):
             frame.braces += line.count("{") - line.count("}")
-            if not _statement_ok(line, family, frame, False):
-                return False
-            continue
+            return _statement_ok(line, family, frame, False)
         at = 0
         for m in (_EDGE_PACKED if packed else _EDGE).finditer(line):
             ch, frame = m[0], frames[-1]
@@ -275,7 +276,7 @@ def _brace_statements_ok(masked: str, family: str) -> bool:
                     frame.held, at = "", m.end()
             elif ch == "{":
                 if frame.opened:
-                    if block_head.search(f"{frame.held[-400:]} {line[max(at, m.start() - 400) : m.start()]}"):
+                    if _BLOCK_HEAD[family].search(f"{frame.held[-400:]} {line[max(at, m.start() - 400) : m.start()]}"):
                         frame.held, at = f"{frame.held} {line[at : m.end()]}".strip(), m.end()
                         frames.append(_Frame())
                     else:
@@ -307,7 +308,19 @@ def _brace_statements_ok(masked: str, family: str) -> bool:
             if not _statement_ok(frame.held, family, frame, packed):
                 return False
             frame.held = ""
-    return all(_statement_ok(f.held, family, f, False) for f in frames if f.held and not f.opened)
+        return True
+
+    def end(self) -> bool:
+        return all(_statement_ok(f.held, self.family, f, False) for f in self.frames if f.held and not f.opened)
+
+
+def _unix_lines(text: str) -> str:
+    return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+
+
+def _brace_statements_ok(masked: str, family: str) -> bool:
+    s = Statements(family)
+    return all(map(s.line, _template(_unix_lines(masked), family).split("\n"))) and s.end()
 
 
 # ---------------------------------------------------------------- languages of other forms
@@ -448,16 +461,19 @@ def _without_bom(text: str) -> str:
     return text[1:] if text[:1] == "﻿" else text
 
 
-def _masked_ok(masked: str, family: str) -> bool:
-    """The local grammar on masked text whose brackets are known to balance over the whole file."""
+_STRAY_QUOTES = {"rust": "\"`"}
+
+
+def _marks_ok(masked: str, family: str) -> bool:
+    """Nothing in masked lines that no file of the language holds: strings without end, conflict marks, stray quotes."""
     if L.ERROR_MARK in masked or _CONFLICT.search(masked) or _NOT_CODE.search(masked):
         return False
-    if family in ("js", "ts", "java", "go", "rust", "c"):
-        stray = {"rust": '"`', "c": "\"'`", "java": "\"'`", "go": "\"'`"}.get(family, "\"'`")
-        if any(q in masked for q in stray):
-            return False
-        return _brace_statements_ok(masked, family)
-    return True
+    return family not in PIECEWISE or not any(q in masked for q in _STRAY_QUOTES.get(family, "\"'`"))
+
+
+def _masked_ok(masked: str, family: str) -> bool:
+    """The local grammar on masked text whose brackets are known to balance over the whole file."""
+    return _marks_ok(masked, family) and (family not in PIECEWISE or _brace_statements_ok(masked, family))
 
 
 def is_valid(text: str | None, family: str | None) -> bool:
@@ -488,28 +504,72 @@ def _check_whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"file_id": pd.Series(bad, dtype="int64")})
 
 
+def piece_facts(piece: str, family: str, start: int) -> tuple:
+    """What is kept of a piece: its bracket summary, whether its whole lines hold anything that no file does, its end state, and its
+    text: the beginning of its first line and the end of its last as masked, for the next pieces to complete, and whole lines between
+    as templates (null where it has no line end)."""
+    masked, end = L.mask(piece, family, start)
+    masked = _unix_lines(masked)
+    closers, openers, clash = L.bracket_summary(masked)
+    head, line_end, rest = masked.partition("\n")
+    if not line_end:
+        return closers, openers, clash, True, end, head, None, ""
+    middle, _, tail = rest.rpartition("\n")
+    return closers, openers, clash, _marks_ok(middle, family), end, head, _template(middle, family), tail
+
+
+_FACTS = "closers string, openers string, clash boolean, ok boolean, end int, head string, middle string, tail string"
+_FACT_NAMES = [c.split()[0] for c in _FACTS.split(", ")]
+
+
 def _piece_facts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        rows = []
-        for i, k, m, p, s in zip(f["file_id"], f["k"], f["family"], f["piece"], f["start"]):
-            masked, end = L.mask(p, m, int(s))
-            closers, openers, clash = L.bracket_summary(masked)
-            rows.append((i, k, closers, openers, clash, _masked_ok(masked, m), int(end)))
-        yield pd.DataFrame(rows, columns=["file_id", "k", "closers", "openers", "clash", "ok", "end"])
+        rows = [(i, k, m, *piece_facts(p, m, int(s))) for i, k, m, p, s in zip(f["file_id"], f["k"], f["family"], f["piece"], f["start"])]
+        yield pd.DataFrame(rows, columns=["file_id", "k", "family", *_FACT_NAMES])
+
+
+class FileFold:
+    """Reads the facts of one file's pieces in their order."""
+
+    def __init__(self, family: str) -> None:
+        self.family, self.good, self.end = family, True, L.CODE
+        self.brackets, self.open, self.statements = ("", "", False), [], Statements(family)
+
+    def _line(self) -> None:
+        """The line that stands across a border is whole now."""
+        masked = "".join(self.open)
+        self.open = []
+        self.good = self.good and _marks_ok(masked, self.family) and self.statements.line(_template(masked, self.family))
+
+    def add(self, closers: str, openers: str, clash: bool, ok: bool, end: int, head: str, middle: str | None, tail: str) -> None:
+        self.brackets = L.combine_brackets(self.brackets, (closers, openers, bool(clash)))
+        self.good, self.end = self.good and bool(ok), end
+        self.open.append(head)
+        if middle is None or not self.good:
+            return
+        self._line()
+        self.good = self.good and all(map(self.statements.line, middle.split("\n")))
+        self.open = [tail]
+
+    def valid(self) -> bool:
+        if self.good:
+            self._line()
+        return self.good and self.brackets == ("", "", False) and self.end in (L.CODE, L.LINE) and self.statements.end()
 
 
 def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files whose pieces follow each other in order, one piece at a time."""
+    at, fold = None, None
     for f in frames:
         bad = []
-        for i, facts in zip(f["file_id"], f["facts"]):
-            total, good, end = ("", "", False), True, L.CODE
-            for x in facts:
-                total = L.combine_brackets(total, (x["closers"], x["openers"], bool(x["clash"])))
-                good = good and bool(x["ok"])
-                end = x["end"]
-            if not good or total != ("", "", False) or end not in (L.CODE, L.LINE):
-                bad.append(i)
+        for i, family, *facts in zip(f["file_id"], f["family"], *(f[c] for c in _FACT_NAMES)):
+            if i != at:
+                if fold is not None and not fold.valid():
+                    bad.append(at)
+                at, fold = i, FileFold(family)
+            fold.add(*facts)
         yield pd.DataFrame({"file_id": pd.Series(bad, dtype="int64")})
+    yield pd.DataFrame({"file_id": pd.Series([at] if fold is not None and not fold.valid() else [], dtype="int64")})
 
 
 def invalid_files(source_files: DataFrame) -> DataFrame:
@@ -518,8 +578,8 @@ def invalid_files(source_files: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)$", 1))
     big = (F.length("content") > PIECE_CHARS) & ext.isin([e for e, f in L.FAMILY.items() if f in PIECEWISE])
     whole = d.filter(~big).mapInPandas(_check_whole, "file_id long")
-    facts = pieces_with_start(d.filter(big), PIECE_CHARS).mapInPandas(_piece_facts, "file_id long, k int, closers string, openers string, clash boolean, ok boolean, end int")
-    files = facts.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("k", "closers", "openers", "clash", "ok", "end"))).alias("facts"))
+    facts = pieces_with_start(d.filter(big), PIECE_CHARS).mapInPandas(_piece_facts, f"file_id long, k int, family string, {_FACTS}")
+    files = facts.repartition("file_id").sortWithinPartitions("file_id", "k")
     return whole.unionByName(files.mapInPandas(_fold, "file_id long")).distinct()
 
 

@@ -74,3 +74,30 @@ def test_statements_of_any_length(name):
     path, head, bad, good = PACKED[name]
     family = L.FAMILY[L.extension(path)]
     assert sx.is_valid(head + good, family) and not sx.is_valid(head + bad, family)
+
+
+def by_pieces(text, family, size):
+    fold, state = sx.FileFold(family), L.CODE
+    for p in L.pieces(text, size):
+        facts = sx.piece_facts(p, family, state)
+        state = facts[4]
+        fold.add(*facts)
+    return fold.valid()
+
+
+@pytest.mark.parametrize("size", [60, 600, 2000])
+def test_pieces_of_any_size_agree(data_dir, size):
+    """Over all files of brace languages, and statements of any length: the verdict of the whole file."""
+    import duckdb
+
+    rows = duckdb.sql(f"select file_path, content from '{data_dir}/source_files.parquet' where content is not null").fetchall()
+    rows += [(path, head + tail) for path, head, bad, good in PACKED.values() for tail in (bad, good)]
+    rows += [("a.js", "f(`a b c d\n" + "word word " * 30 + "`, 1);\n" * 3), ("a.js", "f(" + "a, " * 300 + "b c);\n"), ("a.js", "x = 1; " * 40 + "y = 2 3; " + "z = 4; " * 40)]
+    n = 0
+    for path, text in rows:
+        family = L.FAMILY.get(L.extension(path))
+        if family in sx.PIECEWISE and len(text) > size:
+            text = sx._without_bom(text)
+            n += len(L.pieces(text, size)) > 1
+            assert by_pieces(text, family, size) == sx.is_valid(text, family), (path, size)
+    assert n > 5
