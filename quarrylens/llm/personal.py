@@ -1,8 +1,8 @@
 """Personal information in free text, found and replaced by typed placeholders.
 
 1. Every text goes whole through a character-level bidirectional LSTM with CRF transitions, trained in numpy: it is cut into
-   overlapping windows, each character keeps the scores of the window that sees most around it, and one Viterbi pass over the
-   text decides the tags.
+   overlapping windows, each character keeps the scores of the window that sees most around it, and one Viterbi pass over each
+   line (no detail crosses a line's end; very long ones in sentences) decides the tags.
 2. Runs of tags become details. Broad patterns for addresses of mail, numbers, streets and capitalised words tell the exact extent
    of a run: a pattern's span is found where three in ten of its characters or more carry its type's tags, for names the run of words
    so tagged. A run that no pattern meets stands by itself, out to its words' ends, where it has the characters of its type.
@@ -608,7 +608,7 @@ def train(
 
 def tag_stretches(model: Tagger, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Tags of each text, and how far each scores over no tag: overlapping windows give the scores, each character's from the window that sees most on its
-    shorter side, and one Viterbi pass over the whole text decides."""
+    shorter side, and one Viterbi pass over each line or long sentence decides."""
     windows: list[tuple[int, int, np.ndarray]] = []
     for i, t in enumerate(texts):
         codes = char_codes(t, model.common)
@@ -632,23 +632,43 @@ def tag_stretches(model: Tagger, texts: list[str]) -> list[tuple[np.ndarray, np.
             better = see > margin[i][p : p + n]
             scores[i][p : p + n][better] = e[:n, j][better]
             margin[i][p : p + n][better] = see[better]
-    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(texts)
-    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    tags = [np.zeros(len(t), np.int64) for t in texts]
+    parts = sorted(((i, a, b) for i, t in enumerate(texts) for a, b in sequences(t)), key=lambda x: x[2] - x[1])
     at = 0
-    while at < len(order):
+    while at < len(parts):
         end = at + 1
-        while end < len(order) and end - at < 384 and len(texts[order[end]]) * (end - at) < 150_000:
+        while end < len(parts) and end - at < 384 and (parts[end][2] - parts[end][1]) * (end - at) < 150_000:
             end += 1
-        part = order[at:end]
-        n = max(len(texts[i]) for i in part)
+        part = parts[at:end]
+        n = part[-1][2] - part[-1][1]
         e, mask = np.zeros((n, len(part), TAGS), np.float32), np.zeros((n, len(part)), bool)
-        for j, i in enumerate(part):
-            e[: len(texts[i]), j] = scores[i]
-            mask[: len(texts[i]), j] = True
+        for j, (i, a, b) in enumerate(part):
+            e[: b - a, j] = scores[i][a:b]
+            mask[: b - a, j] = True
         best = model.viterbi(e, mask)
-        for j, i in enumerate(part):
-            tags = best[: len(texts[i]), j]
-            out[i] = tags, scores[i][np.arange(len(tags)), tags] - scores[i][:, 0]
+        for j, (i, a, b) in enumerate(part):
+            tags[i][a:b] = best[: b - a, j]
+        at = end
+    return [(t, s[np.arange(len(t)), t] - s[:, 0]) for t, s in zip(tags, scores)]
+
+
+_ENDS = re.compile(r"\n+")
+_STOPS = re.compile(r"[.!?。!?;] ?(?=\S)|(?<=\S) ")
+
+
+def sequences(text: str, longest: int = 600) -> list[tuple[int, int]]:
+    """What one Viterbi pass decides: no detail crosses a line's end, and lines of more than ``longest`` characters are cut
+    after the next stop or blank. The scores have seen what stands around."""
+    out, at = [], 0
+    for m in [*_ENDS.finditer(text), None]:
+        end = m.end() if m else len(text)
+        while end - at > longest:
+            cut = next((c.end() for c in _STOPS.finditer(text, at + longest, end) if c[0] != " "), None) if end - at > 3 * longest else None
+            cut = cut if cut and cut - at < 3 * longest else next((c.end() for c in _STOPS.finditer(text, at + longest, end)), end)
+            out.append((at, cut))
+            at = cut
+        if end > at:
+            out.append((at, end))
         at = end
     return out
 

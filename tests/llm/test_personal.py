@@ -47,6 +47,14 @@ def test_windows_are_reconciled(fitted):
     assert len(tags) == len(t) > 4 * pe.WINDOW and len({int(x) for x in tags}) > 4
 
 
+def test_sequences_cover_the_text():
+    rng = random.Random(6)
+    for _ in range(100):
+        t = "".join(rng.choice(["word ", "x. ", "\n", "longwordwithoutend"]) for _ in range(rng.randrange(400)))
+        parts = pe.sequences(t)
+        assert "".join(t[a:b] for a, b in parts) == t and all(b - a < 2000 for a, b in parts)
+
+
 def test_candidate_extents():
     c = lambda t: {(t[s:e], k) for s, e, k in pe.candidates(t)}
     assert ("a.b+c@x-y.mail.example", "email") in c("<a.b+c@x-y.mail.example>.") and ("jo AT x DOT example", "email") in c("is jo AT x DOT example for")
