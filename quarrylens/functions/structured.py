@@ -102,49 +102,37 @@ def folded_words(text: str | None) -> list[str]:
     return re.findall(r"\w+", unicodedata.normalize("NFKC", text).casefold()) if text else []
 
 
-def shell_words(command: str | None) -> list[list[str]]:
-    """Words of each simple command of a shell line; quotes and escapes resolved, wrappers such as ``sudo`` or
-    ``bash -c`` taken off. An unfinished quote ends with the line."""
-    if not command:
-        return []
-    out: list[list[str]] = [[]]
-    word, quote, i, open_ = "", "", 0, False
-    while i < len(command):
-        c = command[i]
-        if quote:
-            if c == quote:
-                quote = ""
-            elif c == "\\" and quote == '"' and i + 1 < len(command) and command[i + 1] in '"\\$`':
-                word += command[i + 1]
-                i += 1
-            else:
-                word += c
-        elif c in "'\"":
-            quote, open_ = c, True
-        elif c == "\\" and i + 1 < len(command):
-            word += command[i + 1]
-            open_ = True
-            i += 1
-        elif c.isspace() or c in ";|&":
-            if word or open_:
-                out[-1].append(word)
-            word, open_ = "", False
-            if c in ";|&" or c == "\n":
-                out.append([])
-        else:
-            word += c
-        i += 1
-    if word or open_:
-        out[-1].append(word)
-    result: list[list[str]] = []
-    for words in (w for w in out if w):
-        while words and (words[0] in ("sudo", "env", "nohup", "time", "command", "exec") or re.fullmatch(r"\w+=\S*", words[0])):
-            words = words[1:]
-        if len(words) >= 3 and re.fullmatch(r"(?:/bin/|/usr/bin/)?(?:ba|z|da)?sh", words[0]) and words[1] in ("-c", "-lc"):
-            result += shell_words(words[2])
-        elif words:
-            result.append(words)
-    return result
+_SHELLS = frozenset({"sh", "bash", "zsh", "dash", "ksh"})
+_WORD_PARTS = re.compile(r"""(?P<blank>\s+)|'(?P<single>[^']*)(?:'|\Z)|"(?P<double>(?:[^"\\]|\\.)*\\?)(?:"|\Z)|\\(?P<escaped>.)|(?P<plain>[^\s'"\\]+|\\\Z)""", re.S)
+
+
+def shell_words(command: str | None) -> list[str]:
+    """Words of a command line; quotes and escapes resolved, everything else, such as pipes and redirections, as it stands. An
+    unfinished quote ends with the line."""
+    out: list[str] = []
+    word: str | None = None
+    for m in _WORD_PARTS.finditer(command or ""):
+        kind = m.lastgroup
+        if kind == "blank":
+            if word is not None:
+                out.append(word)
+            word = None
+            continue
+        part = m[kind]
+        if kind == "double":
+            part = re.sub(r'\\(["\\$`])', r"\1", part)
+        word = (word or "") + part
+    return out if word is None else [*out, word]
+
+
+def command_words(command: str | None) -> list[str]:
+    """Words of the command, or of the one that a shell runs for it (``bash -c "..."``)."""
+    words = shell_words(command)
+    if words and re.split(r"[/\\]", words[0])[-1] in _SHELLS:
+        at = next((i for i, w in enumerate(words) if i and w in ("-c", "--command")), None)
+        if at is not None and at + 1 < len(words):
+            return shell_words(words[at + 1]) or words
+    return words
 
 
 def owner_type(text: str | None) -> str | None:
@@ -187,7 +175,7 @@ def owner_type_udf(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def main_command_udf(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: next((w[0] for w in shell_words(t)), None))
+    return text.map(lambda t: next(iter(command_words(t)), None))
 
 
 def balanced_type_text(c: Column) -> Column:

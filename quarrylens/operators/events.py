@@ -487,30 +487,6 @@ def b21_permissions(spark, d):
     return _changes(spark, d).join(F.broadcast(rules), "change_kind").groupBy("profile", "allowed").agg(F.count("*").alias("n"))
 
 
-# fixed values: categories of commands and the patterns that tell them, the first that matches counts
-COMMAND_RULES = [
-    ("destructive", r"\brm\s+-\w*[rf]|\bdd\s+if=|\bmkfs|\bgit\s+(?:reset\s+--hard|clean\s+-\w*f|push\s+.*--force)"),
-    ("network", r"\b(?:curl|wget|ssh|scp|nc|ftp)\b|\blogin\b.*--(?:token|registry)"),
-    ("package", r"\b(?:npm|pip3?|cargo|apt(?:-get)?|brew|yarn)\s+(?:install|add|publish)\b"),
-    ("version control", r"\bgit\s+\w+"),
-    ("write", r">\s*\S+|\b(?:mv|cp|tee|touch|mkdir|chmod|chown)\s"),
-    ("build", r"\b(?:make|cmake|cargo\s+(?:build|test)|go\s+(?:build|test)|npm\s+run|pytest)\b"),
-    ("read", r"^\s*(?:cat|ls|grep|find|head|tail|wc|sed\s+-n|awk)\b"),
-]
-
-
-def command_category(c: Column) -> Column:
-    out = None
-    for name, p in COMMAND_RULES:
-        out = F.when(c.rlike(p), name) if out is None else out.when(c.rlike(p), name)
-    return out.otherwise("other")
-
-
-def b22_command_categories(spark, d):
-    l = table(spark, d, "literals").select("literal_id", "text").distinct()
-    return l.groupBy(command_category(F.col("text")).alias("category")).agg(F.count("*").alias("n"))
-
-
 def b23_read_bounds(spark, d):
     """Events as reads: bounded where the limit field is positive, malformed where it doesn't parse."""
     k = F.get_json_object("props", "$.k")
@@ -523,7 +499,6 @@ _R, _C = "r as (select distinct * from index_runs)", "c as (select distinct * fr
 _LATEST = "select repository_root, file_path, mtime_ns, content_hash from (select *, row_number() over (partition by repository_root, file_path order by walked_at_ms desc, change_id desc) as rn from {0}) where rn = 1 and change_kind <> 'delete'"
 _DELTA = "d as (select user_id, round(a, 6) as a, round(b, 6) as b, round(b - a, 6) as delta from (select user_id, avg(case when event_type = 'view' then value end) as a, avg(case when event_type = 'purchase' then value end) as b from events group by 1))"
 _THREE = "three as (select * from (select *, row_number() over (partition by repository_root order by started_at_ms {0}, run_id {0}) as rn from r) where rn <= 3)"
-_CMD = "case " + " ".join("when regexp_matches(text, '{}') then '{}'".format(p.replace("'", "''"), n) for n, p in COMMAND_RULES) + " else 'other' end"
 _FRAC = "round(({0} % {1}) / ({1} - 1) * 2) / 2"
 _SCORE = f"greatest(0.0, least(100.0, 40 * {_FRAC.format('p_size', 3)} + 30 * {_FRAC.format('p_partkey', 5)} + 15 * {_FRAC.format('p_partkey', 3)} + 15 * {_FRAC.format('p_size', 7)} - least(40, 20 * (p_partkey % 4))))"
 _OWN = "len(case when length(content) = 0 then [] when right(content, 1) in (chr(10), chr(13)) then string_split_regex(content, '\\r\\n|\\r|\\n')[:len(string_split_regex(content, '\\r\\n|\\r|\\n')) - 1] else string_split_regex(content, '\\r\\n|\\r|\\n') end)"
@@ -534,7 +509,6 @@ QUERIES = {
     "b19_event_classes": (b19_event_classes, f"with {_C} select change_id, case when regexp_matches(file_path, '(?:^|/)\\.git/(?:HEAD|refs/.*)$') then 'git hint' when regexp_matches(file_path, '(?:^|/)(?:\\.git|\\.svn|\\.hg|node_modules)(?:/|$)') then 'ignored' when file_path = '' then 'root' else 'candidate' end as class from c"),
     "b20_attempt_classes": (b20_attempt_classes, f"with {_R} select run_id, case when status = 'crashed' then 'signal' when status = 'failed' and built_at_ms is null then 'protocol' when status = 'failed' then 'transient' when built_at_ms < started_at_ms then 'invariant' when file_count = 0 then 'empty' else 'stop' end as category from r"),
     "b21_permissions": (b21_permissions, f"with {_C}, rules(change_kind, profile, allowed) as (values ('upsert', 'write', true), ('upsert', 'read', false), ('delete', 'write', false), ('delete', 'read', false)) select profile, allowed, count(*) as n from c join rules using (change_kind) group by 1, 2"),
-    "b22_command_categories": (b22_command_categories, f"select {_CMD} as category, count(*) as n from (select distinct literal_id, text from literals) group by 1"),
     "b23_read_bounds": (b23_read_bounds, "select case when k is null then 'unbounded' when n is null then 'malformed' when n > 0 then 'bounded' else 'unbounded' end as state, count(*) as n from (select json_extract_string(props, '$.k') as k, try_cast(json_extract_string(props, '$.k') as bigint) as n from events) group by 1"),
     "c11_producers_consumers": (c11_producers_consumers, "select p.user_id, count(distinct p.event_id) as n_consumers, count(v.event_id) as n_edges from (select * from events where event_type = 'purchase') p left join (select * from events where event_type = 'view') v on v.user_id = p.user_id and v.ts < p.ts group by 1"),
     "c12_capped_records": (c12_capped_records, "select user_id, event_type, count(*) as n, max(event_id) as last_id from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as rn from events) where rn <= 64 group by 1, 2"),
