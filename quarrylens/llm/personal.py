@@ -703,7 +703,7 @@ def decide(text: str, found: list[tuple[int, int, str]], tags: np.ndarray, over:
         run: list[tuple[int, int]] = []
         for m in _NAME_TOKEN.finditer(text[s:e]):
             a, b = s + m.start(), s + m.end()
-            inside = (kinds[a:b] == k).mean() >= 0.5
+            inside = (kinds[a:b] == k).mean() >= 0.35
             begins = bool(run) and tags[a] == 2 * k - 1
             if run and (not inside or begins):
                 out += _name(text, run)
