@@ -6,7 +6,10 @@ large as the posting lists of those terms; corpus statistics are one row a field
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,39 +85,132 @@ def bm25(post: DataFrame, lengths: DataFrame, n_docs: DataFrame, boosts: dict[st
 
 
 class PostingsIndex:
-    """Postings kept on disk in generations, range-partitioned and sorted by term, so that the row-group statistics of a
-    query's terms prune nearly all of it. Lengths are derived from the postings; a (file, field) without any term
-    keeps one row with a null term."""
+    """Postings kept in a shared folder as segments. A segment holds the postings of its files, range-partitioned and sorted by term,
+    each with the length of its field, so that a query's terms prune nearly all of it and nothing else is read; a small table of
+    lengths; and the files that it replaces or drops in the segments before it. The commit file that makes a segment count also
+    holds the corpus totals, so a search reads no more than its terms' postings. A refresh writes what has changed and reads, of the
+    older segments, only the lengths of the files it touches; ``compact`` makes one segment of all.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        from quarrylens.sources.workspace import VersionedTable
+        from quarrylens.sources.storage import Folder
+
+        self.spark, self.folder = spark, Folder(spark, path)
+
+    def _state(self) -> tuple[int, dict]:
+        done = [n for n in self.folder.names("commit") if n.isdigit()]
+        return (int(done[-1]), json.loads(self.folder.read(f"commit/{done[-1]}"))) if done else (0, {"segments": [], "fields": {}, "files": 0, "with_path": 0})
 
-        self.table = VersionedTable(spark, path, format_version="postings-1")
+    def _read(self, segment: str, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder.path}/{segment}/{part}")
+
+    def _commit(self, number: int, state: dict) -> int:
+        if not self.folder.claim(f"commit/{number + 1:08d}", json.dumps(state)):
+            raise RuntimeError("another writer has committed since this one began")
+        return number + 1
+
+    def _segment(self, post: DataFrame, lengths: DataFrame) -> str:
+        """Write (file_id, field, term, tf) and (file_id, field, dl)."""
+        name = f"segment-{uuid.uuid4().hex}"
+        at = f"{self.folder.path}/{name}"
+        lengths.withColumn("dl", F.coalesce("dl", F.lit(0))).repartitionByRange("file_id").sortWithinPartitions("file_id").write.parquet(f"{at}/lengths")
+        both = post.join(self._read(name, "lengths"), ["file_id", "field"])
+        both.repartitionByRange("term").sortWithinPartitions("term", "field", "file_id").write.parquet(f"{at}/postings")
+        return name
 
     @staticmethod
-    def rows(texts: DataFrame) -> DataFrame:
-        d = texts.select("file_id", "field", F.explode_outer(terms_of(F.col("text"))).alias("term"))
-        return d.groupBy("file_id", "field", "term").agg(F.count("term").alias("tf"))
+    def _totals(lengths: DataFrame) -> tuple[dict, int, int]:
+        """Per field rows and their lengths; files; files with a path. One row a field reaches the driver."""
+        fields = {r.field: [r.n, r.s] for r in lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("s")).collect()}
+        n = lengths.agg(F.countDistinct("file_id").alias("a"), F.countDistinct(F.when(F.col("field") == "path", F.col("file_id"))).alias("b")).first()
+        return fields, n.a, n.b
+
+    @staticmethod
+    def _moved(state: dict, totals: tuple[dict, int, int], sign: int) -> dict:
+        fields = {k: list(v) for k, v in state["fields"].items()}
+        for k, (n, s) in totals[0].items():
+            old = fields.get(k, [0, 0])
+            fields[k] = [old[0] + sign * n, old[1] + sign * s]
+        return state | {"fields": fields, "files": state["files"] + sign * totals[1], "with_path": state["with_path"] + sign * totals[2]}
 
     def build(self, texts: DataFrame) -> int:
-        """Write the whole index; returns its generation."""
-        return self.table.write(self.rows(texts).repartitionByRange("term").sortWithinPartitions("term", "field", "file_id"))
+        """Write the whole index as one segment; returns its number."""
+        number, _ = self._state()
+        name = self._segment(postings(texts), field_lengths(texts))
+        empty = {"segments": [{"name": name, "gone": False}], "fields": {}, "files": 0, "with_path": 0}
+        return self._commit(number, self._moved(empty, self._totals(self._read(name, "lengths")), 1))
+
+    def _live(self, state: dict, part: str, keep) -> DataFrame | None:
+        """Rows of all segments that no later one replaces; ``keep`` filters each before anything is joined."""
+        out = None
+        for i, seg in enumerate(state["segments"]):
+            rows = keep(self._read(seg["name"], part))
+            for later in state["segments"][i + 1 :]:
+                if later["gone"]:
+                    rows = rows.join(self._read(later["name"], "gone"), "file_id", "left_anti")
+            out = rows if out is None else out.unionByName(rows)
+        return out
 
     def refresh(self, texts: DataFrame, gone: DataFrame) -> int:
-        """A generation with the given files' postings replaced and those of vanished files (file_id) dropped."""
-        new = self.rows(texts)
-        old = self.table.read()
+        """A segment with the given files' postings, which replaces theirs and drops those of vanished files (file_id)."""
+        number, state = self._state()
+        name = self._segment(postings(texts), field_lengths(texts))
+        new = self._read(name, "lengths")
         touched = new.select("file_id").unionByName(gone.select("file_id")).distinct()
-        both = new if old is None else old.join(touched, "file_id", "left_anti").unionByName(new)
-        return self.table.write(both.repartitionByRange("term").sortWithinPartitions("term", "field", "file_id"))
+        touched.write.parquet(f"{self.folder.path}/{name}/gone")
+        touched = self._read(name, "gone")
+        few = [r.file_id for r in touched.limit(FEW_FILES + 1).collect()]
+        keep = (lambda d: d.filter(F.col("file_id").isin(few))) if len(few) <= FEW_FILES else (lambda d: d.join(touched, "file_id", "left_semi"))
+        if state["segments"]:
+            state = self._moved(state, self._totals(self._live(state, "lengths", keep)), -1)
+        state = self._moved(state, self._totals(new), 1)
+        return self._commit(number, state | {"segments": [*state["segments"], {"name": name, "gone": True}]})
+
+    def compact(self) -> int:
+        """One segment of all."""
+        number, state = self._state()
+        whole = lambda d: d
+        name = self._segment(self._live(state, "postings", whole).drop("dl"), self._live(state, "lengths", whole))
+        return self._commit(number, state | {"segments": [{"name": name, "gone": False}]})
+
+    def built(self) -> bool:
+        return self._state()[0] > 0
 
     def search(self, q: Query) -> DataFrame:
         """(file_id, score) of the files that hold any term of the query."""
-        p = self.table.read()
-        lengths = p.groupBy("file_id", "field").agg(F.sum("tf").alias("dl"))
-        # every indexed file has its path as a field; symbols of vanished files don't count as files
-        n = p.agg(F.countDistinct(F.when(F.col("field") == "path", F.col("file_id"))).alias("a"), F.countDistinct("file_id").alias("b"))
-        return bm25(p.filter(F.col("term").isin(q.terms)), lengths, n.select(F.when(F.col("a") > 0, F.col("a")).otherwise(F.col("b")).alias("n")))
+        _, state = self._state()
+        post = self._live(state, "postings", lambda d: d.filter(F.col("term").isin(q.terms)))
+        return scored(post, {f: s / n for f, (n, s) in state["fields"].items() if n}, state["with_path"] or state["files"])
+
+
+#: Files of a refresh up to which their ids go into the filter of the older lengths, so that row groups are skipped.
+FEW_FILES = 1000
+
+
+def scored(post: DataFrame, avgdl: dict[str, float], n: int, boosts: dict[str, float] = BOOSTS) -> DataFrame:
+    """(file_id, score) of postings that carry their field's length, with known corpus totals."""
+    lookup = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col("field")]
+    j = post.join(post.groupBy("field", "term").agg(F.count("*").alias("df")), ["field", "term"])
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / lookup(avgdl or {"": 1.0})))
+    return j.groupBy("file_id").agg(F.sum(lookup(boosts) * idf * tf).alias("score"))
+
+
+_INDEXED = ["source_files", "symbols", "literals", "extracted_files", "tags"]
+
+
+def index_of(spark: SparkSession, d: str) -> PostingsIndex:
+    """The index over a folder of tables: built once for their present files and kept in the shared checkpoint folder under a
+    fingerprint of them (names, sizes, times)."""
+    from quarrylens.session import checkpoint_dir
+    from quarrylens.sources.storage import Folder
+
+    marks = [Folder(spark, f"{d}/{t}.parquet").fingerprint() for t in _INDEXED]
+    ix = PostingsIndex(spark, f"{checkpoint_dir(spark).rstrip('/')}/index-{hashlib.sha256(json.dumps([d, marks]).encode()).hexdigest()[:24]}")
+    if not ix.built():
+        files, syms, lits, ext, tags = (table(spark, d, t) for t in _INDEXED)
+        ix.build(field_texts(files, syms.distinct(), lits.distinct(), ext, tags.distinct()))
+    return ix
 
 
 def document_bm25(documents: DataFrame, terms: list[str]) -> DataFrame:
@@ -209,15 +305,13 @@ def language_prior(path: Column, language: str | None, ext: str | None) -> Colum
 def ranked_search(spark: SparkSession, d: str, text: str, k: int = 100, language: str | None = None, ext: str | None = None, scope: str | None = None) -> DataFrame:
     """(file_id, score, symbol_fallback, symbol_id): the k best files with the symbol that explains each best.
 
-    BM25 gives the candidates (five times as many in a scope), each is multiplied by the exact boost, the capped
+    BM25 over the kept index gives the candidates (five times as many in a scope), each is multiplied by the exact boost, the capped
     signal and the test factor, then the language prior is added, in this order. A blank query gives no rows.
     """
     q = compile_query(text)
-    files = table(spark, d, "source_files").select("file_id", "repo", "file_path", "content")
     syms = table(spark, d, "symbols").distinct()
-    texts = field_texts(files, syms, table(spark, d, "literals").distinct(), table(spark, d, "extracted_files"), table(spark, d, "tags").distinct())
-    paths = files.select("file_id", "file_path")
-    scores = bm25(postings(texts, q.terms), field_lengths(texts), paths.agg(F.count("*").alias("n")))
+    paths = table(spark, d, "source_files").select("file_id", "file_path")
+    scores = index_of(spark, d).search(q)
     j = scores.join(paths, "file_id")
     if scope:
         j = j.filter((F.col("file_path") == scope) | F.col("file_path").startswith(scope + "/"))
@@ -326,16 +420,8 @@ def h1_bm25_fields(spark, d):
 
 
 def h1_indexed_search(spark, d):
-    """The same search over an index that is built on disk first."""
-    import os
-    import uuid
-
-    from quarrylens.session import checkpoint_dir
-
-    files = table(spark, d, "source_files")
-    ix = PostingsIndex(spark, os.path.join(checkpoint_dir(spark).removeprefix("file:"), f"index-{uuid.uuid4().hex}"))
-    ix.build(field_texts(files, table(spark, d, "symbols").distinct(), table(spark, d, "literals").distinct(), table(spark, d, "extracted_files"), table(spark, d, "tags").distinct()))
-    return ix.search(_Q).select("file_id", F.round("score", 6).alias("score"))
+    """The same search over the index that is kept on disk; built first where there is none for these tables."""
+    return index_of(spark, d).search(_Q).select("file_id", F.round("score", 6).alias("score"))
 
 
 def h2_field_population(spark, d):

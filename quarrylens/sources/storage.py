@@ -22,6 +22,10 @@ class Folder:
     def names(self, name: str = "") -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name))) if self.exists(name) else []
 
+    def fingerprint(self) -> list[list]:
+        """Name, size and time of the files that stand here, or of the file itself."""
+        return sorted([s.getPath().getName(), s.getLen(), s.getModificationTime()] for s in self._fs.listStatus(self._path("")))
+
     def read(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
         try:

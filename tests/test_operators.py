@@ -101,3 +101,15 @@ def test_index_refresh(spark, tmp_path):
     assert ids("alpha") == [1, 2] and ids("beta") == [1] and ids("") == []
     ix.refresh(t([(2, "symbol", "gamma"), (5, "symbol", "alpha")]), spark.createDataFrame([(1,)], "file_id long"))
     assert ids("alpha") == [5] and ids("gamma") == [2] and ids("beta") == []
+    # totals after a refresh, of one segment after compaction and of a fresh build are the same
+    scores = lambda x, text: sorted((r.file_id, round(r.score, 9)) for r in x.search(compile_query(text)).collect())
+    fresh = se.PostingsIndex(spark, f"file:{tmp_path}/fresh")
+    fresh.build(t([(2, "symbol", "gamma"), (5, "symbol", "alpha"), (3, "symbol", "..."), (4, "docstring", None)]))
+    kept = [scores(ix, w) for w in ("alpha", "gamma", "alpha gamma")]
+    assert kept == [scores(fresh, w) for w in ("alpha", "gamma", "alpha gamma")] and ix._state()[1]["fields"] == fresh._state()[1]["fields"]
+    ix.refresh(t([(5, "symbol", "alpha alpha")]), spark.createDataFrame([], "file_id long"))
+    twice = scores(ix, "alpha")
+    ix.compact()
+    assert scores(ix, "alpha") == twice and len(ix._state()[1]["segments"]) == 1
+    plan = ix.search(compile_query("alpha"))._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,alpha)]" in plan or "In(term" in plan or "EqualTo(term,alpha)" in plan
