@@ -31,14 +31,6 @@ def numeric_summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return df.groupBy(*group).agg(F.count(v).alias("valid_n"), F.count(F.when(v.isNull(), 1)).alias("missing_n"), F.count("*").alias("denominator_n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("sd"))
 
 
-def majority(df: DataFrame, group: list[str], vote: str, need: int = 2) -> DataFrame:
-    """The value that at least ``need`` rows of a group share, null without one; ties give null."""
-    n = df.filter(F.col(vote).isNotNull()).groupBy(*group, vote).agg(F.count("*").alias("n")).filter(F.col("n") >= need)
-    top = n.groupBy(*group).agg(F.max("n").alias("n"))
-    best = n.join(top, [*group, "n"]).groupBy(*group).agg(one_value(F.col(vote)).alias("majority"))
-    return df.select(*group).distinct().join(best, group, "left")
-
-
 def agreement(df: DataFrame, item: str, label: str) -> DataFrame:
     """Unanimous rate, pairwise rate and Fleiss' kappa over items of the same number of raters; a degenerate kappa is null.
 
@@ -237,14 +229,6 @@ def c12_capped_records(spark, d):
     return _events(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn <= 64").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
 
 
-def c19_token_totals_match(spark, d):
-    """Orders whose lines sum to the stored total within a tolerance, by status."""
-    l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("lines"), F.count("*").alias("n"))
-    j = table(spark, d, "orders").join(l, F.col("o_orderkey") == F.col("l_orderkey"), "full")
-    kind = F.when(F.col("o_orderkey").isNull(), "lines only").when(F.col("l_orderkey").isNull(), "order only").otherwise("both")
-    return j.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_orders"), F.sum(F.coalesce("n", F.lit(0))).alias("n_lines"))
-
-
 def c20_paired_deltas(spark, d):
     """Mean value of views against purchases per user, and their difference; null where one side is missing."""
     a = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
@@ -260,12 +244,6 @@ def d13_tally(spark, d):
     return types.join(n, "event_type", "left").select("event_type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def d14_tool_cost(spark, d):
-    """Changes by kind: counts and known sums; a sum is null where any of its values is."""
-    c = _changes(spark, d)
-    return c.groupBy("change_kind").agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("n_paths"), known_sum(F.col("mtime_ns") / F.lit(10**9)).isNull().alias("mtime_unknown"), known_sum(F.col("walked_at_ms")).alias("walked_sum"))
-
-
 def d15_repeated_searches(spark, d):
     """Searches that repeat the same words in any order, within a repository."""
     words = F.array_join(F.array_sort(F.filter(F.split(F.lower("search_text"), r"\W+"), lambda w: F.length(w) > 0)), " ")
@@ -279,15 +257,6 @@ def d16_unbounded_reads(spark, d):
     return r.groupBy("repo").agg(F.count("*").alias("n"), known_sum(F.col("total_lines")).alias("lines"))
 
 
-def d17_component_totals(spark, d):
-    """Line counts that must sum: a file's extracted total against its own lines, null where they differ."""
-    from quarrylens.functions.text import lines_of
-
-    s = table(spark, d, "source_files").select("file_id", "repo", F.size(lines_of(F.col("content"))).alias("own"))
-    j = s.join(table(spark, d, "extracted_files").select("file_id", "total_lines"), "file_id")
-    return j.groupBy("repo").agg(F.when(F.count(F.when(F.col("own") != F.col("total_lines"), 1)) == 0, F.sum("own")).alias("lines"), F.count("*").alias("n"))
-
-
 def d18_numeric_summary(spark, d):
     return numeric_summary(table(spark, d, "search_results"), ["repo"], "score")
 
@@ -299,20 +268,6 @@ def d19_macro_means(spark, d):
     return per.agg(F.round(F.avg("m"), 6).alias("macro_mean"), F.round(F.sum("s") / F.sum("n"), 6).alias("weighted_mean"), F.count("m").alias("n_groups"))
 
 
-def d20_majority(spark, d):
-    """The status that at least two runs of a root share, of its three latest."""
-    w = Window.partitionBy("repository_root").orderBy(F.desc("started_at_ms"), F.desc("run_id"))
-    three = _runs(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
-    return majority(three, ["repository_root"], "status")
-
-
-def d21_agreement(spark, d):
-    """How far the kinds that an extractor and a tagger give the runs of a root agree: statuses of a root's runs as ratings."""
-    w = Window.partitionBy("repository_root").orderBy("started_at_ms", "run_id")
-    three = _runs(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
-    return agreement(three, "repository_root", "status")
-
-
 def d22_variance_warnings(spark, d):
     """Warnings on paired deltas per event bucket: mixed signs, deviation over the mean, leave-one-out sign flips, few pairs."""
     e = c20_paired_deltas(spark, d).filter("delta is not null").withColumn("bucket", F.col("user_id") % 10)
@@ -405,12 +360,6 @@ def l3_field_equality(spark, d):
     return s.select(F.explode(pairs).alias("p")).groupBy("p.field").agg(F.count("*").alias("n"), F.count(F.when(~F.col("p.same"), 1)).alias("n_different"))
 
 
-def l4_capture_accounting(spark, d):
-    """Stored sizes against content: kept equals size, and whether anything was dropped."""
-    s = table(spark, d, "source_files").select("file_id", "size_bytes", F.octet_length("content").alias("kept"))
-    return s.select("file_id", (F.col("kept") == F.col("size_bytes")).alias("size_matches"), (F.col("size_bytes") > F.col("kept")).alias("dropped"))
-
-
 def l5_sealed_files(spark, d):
     """Files in only one of the two listings, or with other lines, by a full join."""
     a = table(spark, d, "source_files").select("file_id", F.lit(1).alias("a"))
@@ -428,15 +377,6 @@ def l7_completed_calls(spark, d):
     return r.join(i, "run_id", "left").select("run_id", "completion", F.col("completion").isNull().alias("incomplete"))
 
 
-def l8_final_answers(spark, d):
-    """Literals of a file's last line block joined in order: the texts that stand on its last literal line."""
-    l = table(spark, d, "literals").select("file_id", "line", "literal_id", "text").distinct()
-    last = l.groupBy("file_id").agg(F.max("line").alias("line"))
-    j = l.join(last, ["file_id", "line"])
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("literal_id", "text"))), lambda x: x["text"])
-    return j.groupBy("file_id").agg(F.array_join(parts, "").alias("answer"))
-
-
 def l9_linked_results(spark, d):
     """Search hits that link to a file, its extraction and its tags, all conditions at once, by repository."""
     s = table(spark, d, "search_results").select("result_id", "repo", "file_path")
@@ -498,10 +438,8 @@ def b23_read_bounds(spark, d):
 _R, _C = "r as (select distinct * from index_runs)", "c as (select distinct * from file_changes)"
 _LATEST = "select repository_root, file_path, mtime_ns, content_hash from (select *, row_number() over (partition by repository_root, file_path order by walked_at_ms desc, change_id desc) as rn from {0}) where rn = 1 and change_kind <> 'delete'"
 _DELTA = "d as (select user_id, round(a, 6) as a, round(b, 6) as b, round(b - a, 6) as delta from (select user_id, avg(case when event_type = 'view' then value end) as a, avg(case when event_type = 'purchase' then value end) as b from events group by 1))"
-_THREE = "three as (select * from (select *, row_number() over (partition by repository_root order by started_at_ms {0}, run_id {0}) as rn from r) where rn <= 3)"
 _FRAC = "round(({0} % {1}) / ({1} - 1) * 2) / 2"
 _SCORE = f"greatest(0.0, least(100.0, 40 * {_FRAC.format('p_size', 3)} + 30 * {_FRAC.format('p_partkey', 5)} + 15 * {_FRAC.format('p_partkey', 3)} + 15 * {_FRAC.format('p_size', 7)} - least(40, 20 * (p_partkey % 4))))"
-_OWN = "len(case when length(content) = 0 then [] when right(content, 1) in (chr(10), chr(13)) then string_split_regex(content, '\\r\\n|\\r|\\n')[:len(string_split_regex(content, '\\r\\n|\\r|\\n')) - 1] else string_split_regex(content, '\\r\\n|\\r|\\n') end)"
 
 QUERIES = {
     "a12_event_source": (a12_event_source, "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events"),
@@ -514,20 +452,13 @@ QUERIES = {
     "c12_capped_records": (c12_capped_records, "select user_id, event_type, count(*) as n, max(event_id) as last_id from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as rn from events) where rn <= 64 group by 1, 2"),
     "c13_mtime_diff": (c13_mtime_diff, f"with {_R}, {_C}, ok as (select repository_root, min(started_at_ms) as at_ms from r where status = 'ok' group by 1), c1 as (select c.* from c join ok using (repository_root) where walked_at_ms <= at_ms), c2 as (select c.* from c where repository_root in (select repository_root from ok)), o as ({_LATEST.format('c1')}), n as ({_LATEST.format('c2')}) select * from (select repository_root, file_path, case when n.content_hash is null and n.file_path is null then 'delete' when o.file_path is null or o.mtime_ns is distinct from n.mtime_ns then 'index' end as action from o full join n using (repository_root, file_path)) where action is not null".replace("n.content_hash is null and n.file_path is null", "n.repository_root is null").replace("o.file_path is null or", "o.repository_root is null or")),
     "c14_subtree_deletes": (c14_subtree_deletes, f"with {_C}, l as ({_LATEST.format('c')}) select distinct l.repository_root, l.file_path from l join (select distinct repository_root, file_path as gone from c where change_kind = 'delete') g on g.repository_root = l.repository_root and starts_with(l.file_path, g.gone || '/')"),
-    "c19_token_totals_match": (c19_token_totals_match, "select case when o_orderkey is null then 'lines only' when l_orderkey is null then 'order only' else 'both' end as kind, count(*) as n_orders, cast(sum(coalesce(n, 0)) as bigint) as n_lines from orders full join (select l_orderkey, count(*) as n from lineitem group by 1) on o_orderkey = l_orderkey group by 1"),
     "c20_paired_deltas": (c20_paired_deltas, f"with {_DELTA} select * from d"),
     "c21_superseded_runs": (c21_superseded_runs, f"with {_R} select run_id, latest, run_id <> latest as superseded from (select run_id, first_value(run_id) over (partition by repository_root order by started_at_ms desc, run_id desc) as latest from r)"),
     "d13_tally": (d13_tally, "with t(event_type) as (values ('view'), ('click'), ('purchase'), ('signup'), ('refund'), ('other')) select t.event_type, count(e.event_id) as n from t left join (select event_id, case when event_type in ('view', 'click', 'purchase', 'signup', 'refund') then event_type else 'other' end as event_type from events) e using (event_type) group by 1"),
-    "d14_tool_cost": (d14_tool_cost, f"with {_C} select change_kind, count(*) as n, count(distinct file_path) as n_paths, count(mtime_ns) < count(*) as mtime_unknown, case when count(walked_at_ms) = count(*) then cast(sum(walked_at_ms) as bigint) end as walked_sum from c group by 1"),
     "d15_repeated_searches": (d15_repeated_searches, "select words, n, n_repos = 1 as same_scope from (select array_to_string(list_sort(list_filter(string_split_regex(lower(search_text), '\\W+'), lambda w: length(w) > 0)), ' ') as words, count(*) as n, count(distinct repo) as n_repos from search_results group by 1) where n >= 2"),
     "d16_unbounded_reads": (d16_unbounded_reads, "select repo, count(*) as n, case when count(total_lines) = count(*) then cast(sum(total_lines) as bigint) end as lines from search_results where score is null or symbol_fallback group by 1"),
-    "d17_component_totals": (d17_component_totals, f"select repo, case when count(*) filter (own <> total_lines) = 0 then cast(sum(own) as bigint) end as lines, count(*) as n from (select s.repo, {_OWN} as own, e.total_lines from source_files s join extracted_files e using (file_id)) group by 1"),
     "d18_numeric_summary": (d18_numeric_summary, "select repo, count(score) as valid_n, count(*) - count(score) as missing_n, count(*) as denominator_n, round(avg(score), 6) as mean, round(stddev_samp(score), 6) as sd from search_results group by 1"),
     "d19_macro_means": (d19_macro_means, "select round(avg(m), 6) as macro_mean, round(sum(s) / sum(n), 6) as weighted_mean, count(m) as n_groups from (select sum(score) as s, count(score) as n, avg(score) as m from search_results group by repo)"),
-    "d20_majority": (d20_majority, f"with {_R}, {_THREE.format('desc')}, v as (select repository_root, status, count(*) as n from three group by 1, 2) select distinct t.repository_root, v.status as majority from three t left join v on v.repository_root = t.repository_root and v.n >= 2"),
-    "d21_agreement": (d21_agreement, f"""with {_R}, {_THREE.format('')}, n as (select repository_root, status, count(*) as n from three group by 1, 2), per as (select repository_root, sum(n) as k, sum(n * (n - 1)) as same, count(*) as labels from n group by 1 having sum(n) >= 2),
-        p as (select count(*) as items, avg(case when labels = 1 then 1.0 else 0.0 end) as u, avg(same / (k * (k - 1))) as o, sum(same) as s, sum(k * (k - 1)) as t from per), ch as (select sum(n * n) / (sum(n) * sum(n)) as c from (select status, sum(n) as n from n where repository_root in (select repository_root from per) group by 1))
-        select items, round(u, 6) as unanimous_rate, round(s / t, 6) as pairwise_rate, round(case when c < 1 then (o - c) / (1 - c) end, 6) as kappa from p, ch"""),
     "d22_variance_warnings": (d22_variance_warnings, f"with {_DELTA}, g as (select user_id % 10 as bucket, count(*) as n, sum(delta) as s, avg(delta) as m, stddev_samp(delta) as sd, min(delta) as lo, max(delta) as hi, median(delta) as med from d where delta is not null group by 1) select bucket, n, lo < 0 and hi > 0 as mixed_sign, sd >= abs(m) as wide, case when n > 1 then sign((s - hi) / (n - 1)) <> sign(m) or sign((s - lo) / (n - 1)) <> sign(m) end as flips, sign(m) <> sign(med) as skewed, n < 3 as few from g"),
     "d23_scores": (d23_scores, f"select p_partkey, {_SCORE} as score, case when {_SCORE} >= 85 then 'correct' when {_SCORE} >= 50 then 'partial' else 'incorrect' end as label from part"),
     "d24_attempt_accounting": (d24_attempt_accounting, f"with {_R} select repo, count(*) as n, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'crashed') as crashed from r group by 1"),
@@ -548,11 +479,9 @@ QUERIES = {
     "j10_idle_sessions": (j10_idle_sessions, "with e as (select *, case when lag(ts) over (partition by user_id order by ts, event_id) is null or ts - lag(ts) over (partition by user_id order by ts, event_id) >= interval 30 minute then 1 else 0 end as nw from events where ts is not null), s as (select *, sum(nw) over (partition by user_id order by ts, event_id rows unbounded preceding) as sid from e) select user_id, min(ts) as begins, count(*) as n from s group by user_id, sid"),
     "l1_boundary": (l1_boundary, "with e as (select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, floor((select max(event_id) from events) * 0.9) as a from events) select count(*) filter (event_id <= a) as accepted_lines, count(*) filter (event_id > a) as tail_lines, count(*) filter (event_id <= a and k is null) as accepted_unparsed, count(*) filter (event_id > a and k is null) as tail_unparsed from e"),
     "l3_field_equality": (l3_field_equality, "with j as (select r.total_lines is not distinct from e.total_lines as a, r.repo is not distinct from e.repo as b from search_results r join source_files s on s.repo = r.repo and s.file_path = r.file_path join extracted_files e using (file_id)) select 'total_lines' as field, count(*) as n, count(*) filter (not a) as n_different from j union all select 'repo', count(*), count(*) filter (not b) from j"),
-    "l4_capture_accounting": (l4_capture_accounting, "select file_id, strlen(content) = size_bytes as size_matches, size_bytes > strlen(content) as dropped from source_files"),
     "l5_sealed_files": (l5_sealed_files, "select case when a.file_id is null then 'unknown file' when b.file_id is null then 'missing' else 'listed' end as state, count(*) as n from source_files a full join extracted_files b on a.file_id = b.file_id group by 1"),
     "l6_merged_changes": (l6_merged_changes, f"with {_C} select repository_root, file_path, walked_at_ms, count(*) as n, case when count(distinct change_kind) = 1 then min(change_kind) end as change_kind, count(distinct change_kind) > 1 as change_kind_conflict, count(distinct content_hash) > 1 as content_hash_conflict from c group by 1, 2, 3"),
     "l7_completed_calls": (l7_completed_calls, f"with {_R} select run_id, case when built_at_ms is not null then cast(row_number() over (partition by repository_root, built_at_ms is not null order by built_at_ms, run_id) as int) end as completion, built_at_ms is null as incomplete from r"),
-    "l8_final_answers": (l8_final_answers, "with l as (select distinct file_id, line, literal_id, text from literals) select file_id, string_agg(text, '' order by literal_id, text) as answer from l join (select file_id, max(line) as line from l group by 1) using (file_id, line) group by 1"),
     "l9_linked_results": (l9_linked_results, "with j as (select r.repo, s.file_id is not null and t.file is not null and coalesce(e.symbol_count, 0) > 0 as ok from search_results r left join source_files s on s.repo = r.repo and s.file_path = r.file_path left join (select distinct repo, file from tags) t on t.repo = r.repo and t.file = r.file_path left join extracted_files e on e.file_id = s.file_id) select repo, count(*) as n, count(*) filter (ok) as n_linked, bool_and(ok) as all_linked from j group by 1"),
     "l11_slot_states": (l11_slot_states, f"with {_R}, g as (select repository_root, count(*) over (partition by repository_root) as attempts, status, fingerprint, row_number() over (partition by repository_root order by started_at_ms desc, run_id desc) as rn from r) select repository_root, attempts, case when status = 'ok' and fingerprint is not null then 'skip' when status = 'ok' then 'resume' when attempts >= 12 then 'stop' else 'replace' end as action from g where rn = 1"),
     "l13_unchanged_runs": (l13_unchanged_runs, f"with {_R} select run_id from (select run_id, fingerprint, lag(fingerprint) over (partition by repository_root order by started_at_ms, run_id) as b from r where status = 'ok') where b = fingerprint"),

@@ -107,15 +107,6 @@ def k1_language_registry(spark, d):
     return spark.createDataFrame(sorted(lang.EXTENSIONS.items()), "extension string, language string")
 
 
-def l2_copied_lines(spark, d):
-    """Full texts of configuration files against their sources, line by line: how many lines differ or stand on one side."""
-    src = table(spark, d, "source_files")
-    ext = table(spark, d, "extracted_files").filter("format_text is not null").select("file_id", F.col("format_text").alias("content"))
-    a = line_table(src.join(ext.select("file_id"), "file_id", "left_semi")).withColumnRenamed("text", "a")
-    b = line_table(ext).withColumnRenamed("text", "b")
-    return a.join(b, ["file_id", "line_no"], "full").groupBy("file_id").agg(F.count("*").alias("n_lines"), F.count(F.when(~F.col("a").eqNullSafe(F.col("b")), 1)).alias("n_different"))
-
-
 def l16_owner_recall(spark, d):
     """Owners that the extractor gives callables against the stored ones."""
     src = table(spark, d, "source_files")
@@ -141,6 +132,5 @@ QUERIES = {
     "h6_signals": (h6_signals, f"{_ALL_SQL} select symbol_id, round(signal, 6) as signal from sc where n_owner > 0"),
     "i18_parsed_events": (i18_parsed_events, "select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), -1) as k, coalesce(json_extract_string(props, '$.stance'), 'unsure') as stance from events"),
     "k1_language_registry": (k1_language_registry, "select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in sorted(lang.EXTENSIONS.items())) + ") t(extension, language)"),
-    "l2_copied_lines": (l2_copied_lines, f"with a as (select file_id, unnest(range(1, len(l) + 1)) as n, unnest(l) as t from (select file_id, {_L.format('content')} as l from source_files where file_id in (select file_id from extracted_files where format_text is not null))), b as (select file_id, unnest(range(1, len(l) + 1)) as n, unnest(l) as t from (select file_id, {_L.format('format_text')} as l from extracted_files where format_text is not null)) select file_id, count(*) as n_lines, count(*) filter (a.t is distinct from b.t) as n_different from a full join b using (file_id, n) group by 1"),
     "l16_owner_recall": (l16_owner_recall, None),
 }

@@ -6,7 +6,7 @@ import importlib
 
 from quarrylens.operators import incremental
 
-MODULES = ["operators.files", "operators.symbols", "operators.search", "operators.rollup", "operators.events", "operators.commands", "operators.extraction", "operators.formats", "streaming.refresh"]
+MODULES = ["operators.files", "operators.symbols", "operators.search", "operators.rollup", "operators.events", "operators.commands", "operators.evidence", "operators.extraction", "operators.formats", "streaming.refresh"]
 
 
 def _all():
