@@ -178,11 +178,22 @@ def main_command_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda t: next(iter(command_words(t)), None))
 
 
-def balanced_type_text(c: Column) -> Column:
-    """Navigation text on one line: white space folded, trailing separators dropped."""
-    return F.regexp_replace(F.regexp_replace(F.trim(c), r"\s+", " "), r"[;,]+$", "")
+def navigation_text(c: Column) -> Column:
+    """An expression on one line: white space folded, none beside dots, double colons and inside parentheses."""
+    out = F.trim(F.regexp_replace(c, r"\s+", " "))
+    for wide, narrow in [(" .", "."), (". ", "."), (" ::", "::"), (":: ", "::"), (" (", "("), ("( ", "("), (" )", ")")]:
+        out = F.replace(out, F.lit(wide), F.lit(narrow))
+    return out
+
+
+def type_text(c: Column) -> Column:
+    """A type as written, without the colon or ``new`` before it and the semicolon after it; null where nothing is left."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c), "^:+", ""), r"^(?:new )+", ""), r"\s*;+\s*$", ""))
+    return F.when(F.length(t) > 0, t)
 
 
 def base_name(c: Column) -> Column:
-    """The last name of a qualified or called expression."""
-    return F.regexp_extract(F.regexp_replace(c, r"\(.*$", ""), r"([A-Za-z_$][A-Za-z0-9_$]*)\s*$", 1)
+    """The last name of a qualified, generic or called expression, without marks of pointers; null where there is none."""
+    head = F.trim(F.regexp_replace(F.trim(c), r"(?s)[<(\[].*$", ""))
+    name = F.regexp_replace(F.regexp_extract(head, r"([^.:/\\ ]+)[.:/\\ ]*$", 1), r"^[*&]+|[*&]+$", "")
+    return F.when(F.length(name) > 0, name)

@@ -77,6 +77,7 @@ def path_indicates_test(c: Column) -> Column:
 
 def clean_docstring(c: Column) -> Column:
     """Text of documentation comments (``///``, ``//!``, ``/** */``); plain comments give null."""
+    c = F.regexp_replace(c, r"^\s+|\s+$", "")
     one = F.array_join(
         F.transform(
             F.filter(F.split(c, r"\r?\n"), lambda x: F.trim(x).rlike(r"^//[/!]")),

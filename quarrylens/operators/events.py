@@ -360,12 +360,23 @@ def l3_field_equality(spark, d):
     return s.select(F.explode(pairs).alias("p")).groupBy("p.field").agg(F.count("*").alias("n"), F.count(F.when(~F.col("p.same"), 1)).alias("n_different"))
 
 
+def sealed_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, state, n): the files (repo, path, content) against a manifest (repo, path, bytes, sha256): missing, not in the manifest, of
+    another length, of other bytes, or sealed. Only hashes meet."""
+    f = files.select("repo", "path", F.octet_length("content").alias("b"), F.sha2("content", 256).alias("h"))
+    j = manifest.withColumn("listed", F.lit(1)).join(f.withColumn("there", F.lit(1)), ["repo", "path"], "full")
+    state = F.when(F.col("there").isNull(), "missing").when(F.col("listed").isNull(), "not listed").when(~F.col("b").eqNullSafe(F.col("bytes")), "other length").when(~F.col("h").eqNullSafe(F.col("sha256")), "other bytes").otherwise("sealed")
+    return j.groupBy("repo", state.alias("state")).agg(F.count("*").alias("n"))
+
+
 def l5_sealed_files(spark, d):
-    """Files in only one of the two listings, or with other lines, by a full join."""
-    a = table(spark, d, "source_files").select("file_id", F.lit(1).alias("a"))
-    b = table(spark, d, "extracted_files").select("file_id", F.lit(1).alias("b"), "total_lines")
-    j = a.join(b, "file_id", "full")
-    return j.groupBy(F.when(F.col("a").isNull(), "unknown file").when(F.col("b").isNull(), "missing").otherwise("listed").alias("state")).agg(F.count("*").alias("n"))
+    """Source files against a manifest of them with faults: each 41st file not listed, each 43rd of another length, each 47th of other bytes,
+    and of each 53rd a listed copy that isn't there."""
+    src = table(spark, d, "source_files").select("file_id", "repo", F.col("file_path").alias("path"), "content")
+    i = F.col("file_id")
+    m = src.select("file_id", "repo", "path", (F.octet_length("content") + F.when(i % 43 == 0, 1).otherwise(0)).alias("bytes"), F.sha2(F.when(i % 47 == 0, F.lower("repo")).otherwise(F.col("content")), 256).alias("sha256"))
+    gone = m.filter(i % 53 == 0).withColumn("path", F.concat("path", F.lit(".old")))
+    return sealed_files(m.filter(i % 41 != 0).unionByName(gone).drop("file_id"), src.drop("file_id"))
 
 
 def l7_completed_calls(spark, d):
@@ -398,7 +409,7 @@ def l14_blinding(spark, d):
 def i14_row_hashes(spark, d):
     """SHA-256 of canonical rows and their byte lengths."""
     r = table(spark, d, "search_results")
-    canon = F.concat_ws("|", "result_id", "repo", "file_path", F.col("symbol_fallback").cast("string"))
+    canon = F.to_json(F.struct("file_path", "repo", "result_id", "symbol_fallback"), {"ignoreNullFields": "false"})  # keys in order
     return r.select("result_id", F.sha2(canon, 256).alias("hash"), F.octet_length(canon).alias("bytes"))
 
 
@@ -468,7 +479,7 @@ QUERIES = {
     "e12_latest_ok_run": (e12_latest_ok_run, f"with {_R} select repository_root, run_id from (select *, row_number() over (partition by repository_root order by started_at_ms desc, run_id desc) as rn from r where status = 'ok') where rn = 1"),
     "e13_cost_after": (e13_cost_after, "with e as (select *, row_number() over (partition by user_id order by ts, event_id) as i from events), f as (select user_id, min(i) as k from e where event_type = 'signup' group by 1) select user_id, count(*) as n_after, round(sum(value), 4) as value_after from e join f using (user_id) where i > k group by 1"),
     "e14_render_tiers": (e14_render_tiers, "with s as (select distinct * from symbols), r as (select *, row_number() over (partition by file_id order by coalesce(is_exported, false) desc, start_line, symbol_id) as rn, end_line - start_line + 1 as n from s) select symbol_id, case when rn <= 3 then n when kind in ('class', 'struct') then least(n, 2) when rn <= 10 then least(n, 3) else 1 end as lines_shown from r"),
-    "i14_row_hashes": (i14_row_hashes, "select result_id, sha256(x) as hash, strlen(x) as bytes from (select result_id, concat_ws('|', result_id, repo, file_path, symbol_fallback) as x from search_results)"),
+    "i14_row_hashes": (i14_row_hashes, "select result_id, sha256(x) as hash, strlen(x) as bytes from (select result_id, cast(json_object('file_path', file_path, 'repo', repo, 'result_id', result_id, 'symbol_fallback', symbol_fallback) as varchar) as x from search_results)"),
     "i15_scope_signatures": (i15_scope_signatures, "select result_id, coalesce(nullif(repo, ''), string_split(file_path, '/')[1]) as scope from search_results"),
     "i16_tool_families": (i16_tool_families, "select kind, case when lower(kind) = 'function' or ends_with(lower(kind), '_function') or lower(kind) = 'method' then 'callable' when lower(kind) in ('class', 'struct', 'interface', 'enum') then 'type' when regexp_matches(lower(kind), '^(?:const|constant|variable|property|field)') then 'value' else 'other' end as family, count(*) as n from (select distinct * from tags) group by 1, 2"),
     "i20_opaque_ids": (i20_opaque_ids, "select left(sha256('salt:' || result_id), 16) as opaque, regexp_replace(file_path, '^.*/', '<path>/') as shown from search_results"),
@@ -479,7 +490,7 @@ QUERIES = {
     "j10_idle_sessions": (j10_idle_sessions, "with e as (select *, case when lag(ts) over (partition by user_id order by ts, event_id) is null or ts - lag(ts) over (partition by user_id order by ts, event_id) >= interval 30 minute then 1 else 0 end as nw from events where ts is not null), s as (select *, sum(nw) over (partition by user_id order by ts, event_id rows unbounded preceding) as sid from e) select user_id, min(ts) as begins, count(*) as n from s group by user_id, sid"),
     "l1_boundary": (l1_boundary, "with e as (select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, floor((select max(event_id) from events) * 0.9) as a from events) select count(*) filter (event_id <= a) as accepted_lines, count(*) filter (event_id > a) as tail_lines, count(*) filter (event_id <= a and k is null) as accepted_unparsed, count(*) filter (event_id > a and k is null) as tail_unparsed from e"),
     "l3_field_equality": (l3_field_equality, "with j as (select r.total_lines is not distinct from e.total_lines as a, r.repo is not distinct from e.repo as b from search_results r join source_files s on s.repo = r.repo and s.file_path = r.file_path join extracted_files e using (file_id)) select 'total_lines' as field, count(*) as n, count(*) filter (not a) as n_different from j union all select 'repo', count(*), count(*) filter (not b) from j"),
-    "l5_sealed_files": (l5_sealed_files, "select case when a.file_id is null then 'unknown file' when b.file_id is null then 'missing' else 'listed' end as state, count(*) as n from source_files a full join extracted_files b on a.file_id = b.file_id group by 1"),
+    "l5_sealed_files": (l5_sealed_files, "select repo, case when file_id % 41 = 0 then 'not listed' when file_id % 43 = 0 and content is not null then 'other length' when file_id % 47 = 0 and sha256(content) is distinct from sha256(lower(repo)) then 'other bytes' else 'sealed' end as state, count(*) as n from source_files group by 1, 2 union all select repo, 'missing', count(*) from source_files where file_id % 53 = 0 group by 1"),
     "l6_merged_changes": (l6_merged_changes, f"with {_C} select repository_root, file_path, walked_at_ms, count(*) as n, case when count(distinct change_kind) = 1 then min(change_kind) end as change_kind, count(distinct change_kind) > 1 as change_kind_conflict, count(distinct content_hash) > 1 as content_hash_conflict from c group by 1, 2, 3"),
     "l7_completed_calls": (l7_completed_calls, f"with {_R} select run_id, case when built_at_ms is not null then cast(row_number() over (partition by repository_root, built_at_ms is not null order by built_at_ms, run_id) as int) end as completion, built_at_ms is null as incomplete from r"),
     "l9_linked_results": (l9_linked_results, "with j as (select r.repo, s.file_id is not null and t.file is not null and coalesce(e.symbol_count, 0) > 0 as ok from search_results r left join source_files s on s.repo = r.repo and s.file_path = r.file_path left join (select distinct repo, file from tags) t on t.repo = r.repo and t.file = r.file_path left join extracted_files e on e.file_id = s.file_id) select repo, count(*) as n, count(*) filter (ok) as n_linked, bool_and(ok) as all_linked from j group by 1"),

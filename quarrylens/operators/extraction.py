@@ -33,9 +33,9 @@ def i6_import_entries(spark, d):
 
 
 def i4_base_names(spark, d):
-    """Last names of the callable headers that tags keep as signatures, on one line."""
-    t = table(spark, d, "tags").filter("signature is not null").select("tag_id", "signature").distinct()
-    return t.select("tag_id", st.balanced_type_text(F.col("signature")).alias("one_line"))
+    """Signatures and scopes that tags keep: as one line, as type text and by their last name."""
+    t = table(spark, d, "tags").select("tag_id", F.explode(F.array_compact(F.array("signature", "scope_name"))).alias("raw")).distinct()
+    return t.select("tag_id", "raw", st.navigation_text(F.col("raw")).alias("one_line"), st.type_text(F.col("raw")).alias("type_text"), st.base_name(F.col("raw")).alias("base"))
 
 
 def i5_owner_types(spark, d):
@@ -63,7 +63,9 @@ QUERIES = {
     "k3_extraction_recall": (k3_extraction_recall, None),
     "k3_extracted_symbols": (k3_extracted_symbols, None),
     "h15_collection_edges": (h15_collection_edges, None),
-    "i4_base_names": (i4_base_names, "select distinct tag_id, regexp_replace(regexp_replace(trim(signature), '\\s+', ' ', 'g'), '[;,]+$', '') as one_line from tags where signature is not null"),
+    "i4_base_names": (i4_base_names, r"""with t as (select distinct tag_id, unnest([signature, scope_name]) as raw from tags), o as (select tag_id, raw, array_to_string(list_filter(string_split_regex(raw, '\\s+'), lambda w: w <> ''), ' ') as w, string_split_regex(trim(raw), '[<(\\[]')[1] as head from t where raw is not null)
+        select tag_id, raw, replace(replace(replace(replace(replace(replace(replace(w, ' .', '.'), '. ', '.'), ' ::', '::'), ':: ', '::'), ' (', '('), '( ', '('), ' )', ')') as one_line,
+        nullif(trim(regexp_replace(trim(regexp_replace(ltrim(trim(raw), ':'), '^(?:new )+', '')), ';+$', '')), '') as type_text, nullif(trim(list_filter(string_split_regex(trim(head), '[.:/\\\\ ]'), lambda x: x <> '')[-1], '*&'), '') as base from o"""),
     "i5_owner_types": (i5_owner_types, None),
     "i6_import_entries": (i6_import_entries, None),
     "i13_folded_words": (i13_folded_words, "select distinct search_text, array_to_string(regexp_extract_all(lower(search_text), '\\w+'), ' ') as words from search_results"),

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quarrylens.functions import languages as lang
 from quarrylens.functions import text as tx
 from quarrylens.plans.globs import glob_regex, matches_globs
+from quarrylens.plans.query import read_atoms, write_atoms
 from quarrylens.session import table
 
 # ---------------------------------------------------------------- walking and pruning
@@ -285,10 +286,35 @@ def h10_long_lines(spark, d):
     return omit_long_lines(line_table(_src(spark, d)).filter(F.octet_length("text") > 500), 500)
 
 
+def atoms_filter(text: str, path: Column, content: Column) -> Column:
+    """All conditions of a conjunctive search over path and content; without ``case:yes`` a pattern without capitals ignores case. No
+    conditions give false."""
+    atoms = read_atoms(text)
+    case = next((a.value for a in atoms if a.field == "case"), "auto")
+    out = None
+    for a in atoms:
+        if a.field == "case":
+            continue
+        if a.field == "lang":
+            hit = F.coalesce(lang.language_of_path(path) == a.value, F.lit(False))
+        else:
+            fold = a.field == "content" and (case == "no" or (case == "auto" and a.value == a.value.lower()))
+            hit = (path if a.field == "file" else content).rlike(("(?i)" if fold else "") + a.value)
+        hit = ~hit if a.negated else hit
+        out = hit if out is None else out & hit
+    return F.lit(False) if out is None else out
+
+
+#: Search texts whose files are listed, written from options and by hand.
+CONJUNCTIONS = [
+    write_atoms("read snapshot|snapshot", file_type="py", prefix="lib", ignore_case=True), write_atoms("TODO", glob="*.{ts,tsx}"), write_atoms("class [A-Z]", file_type="java"), write_atoms("select", file_type="sql"), "case:yes lang:go Snapshot -file:_test", "lang:rust -content:unsafe fn\\ main", "case:no",
+]
+
+
 def h11_conjunctive_search(spark, d):
-    """case, language, file and pattern atoms joined by "and"."""
-    p = F.col("file_path")
-    return _src(spark, d).filter((lang.language_of_path(p) == "python") & p.rlike(r"(?:^|/)lib/") & F.col("content").rlike("(?i)snapshot")).select("file_id")
+    """(search_text, file_id) of each conjunctive search; every file is read once for all of them."""
+    hits = F.array_compact(F.array(*[F.when(atoms_filter(t, F.col("file_path"), F.col("content")), F.lit(t)) for t in CONJUNCTIONS]))
+    return _src(spark, d).select("file_id", F.explode(hits).alias("search_text"))
 
 
 def h12_symmetric_context(spark, d):
@@ -306,6 +332,7 @@ def i9_numbered_lines(spark, d):
     return l.select("literal_id", tx.numbered_line(F.col("line"), F.col("text")).alias("shown"))
 
 
+_GLOB_TEXT = "'" + glob_regex("*.{ts,tsx}", simple=True).replace("'", "''") + "'"
 QUERIES = {
     "a2_pruned_paths": (a2_pruned_paths, f"select file_id from source_files where {_JUNK_SQL}"),
     "a2_config_pruned_paths": (a2_config_pruned_paths, f"select s.file_id from source_files s join resolved_configs c using (repo) where list_has_any({_DIRS}, c.excluded_directories)"),
@@ -340,7 +367,13 @@ QUERIES = {
     "d6_grep_counts": (d6_grep_counts, "select file_id, n_matches from (select file_id, len(regexp_extract_all(content, 'return ')) as n_matches from source_files) where n_matches > 0"),
     "d7_match_totals": (d7_match_totals, "select cast(sum(n) as bigint) as n_matches, count(*) as n_files from (select len(regexp_extract_all(content, 'return ')) as n from source_files) where n > 0"),
     "h10_long_lines": (h10_long_lines, f"with {LINES_SQL} select file_id, cast(line_no as int) as line_no, '[Omitted long line: ' || strlen(text) || ' bytes]' as text from lines where strlen(text) > 500"),
-    "h11_conjunctive_search": (h11_conjunctive_search, f"select file_id from source_files where {_EXT} = 'py' and regexp_matches(file_path, '(?:^|/)lib/') and regexp_matches(content, '(?i)snapshot')"),
+    "h11_conjunctive_search": (h11_conjunctive_search, f"""with f as (select file_id, file_path as p, content as c, {_EXT} as e from source_files)
+        select file_id, 'case:no lang:python file:^lib/ read\\ snapshot|snapshot' as search_text from f where e in ('py', 'pyi') and starts_with(p, 'lib/') and (contains(lower(c), 'read snapshot') or contains(lower(c), 'snapshot'))
+        union all select file_id, 'file:' || {_GLOB_TEXT} || ' TODO' from f where regexp_matches(p, {_GLOB_TEXT}) and contains(c, 'TODO')
+        union all select file_id, 'lang:java class\\ [A-Z]' from f where e = 'java' and regexp_matches(c, 'class [A-Z]')
+        union all select file_id, 'file:\\.sql$ select' from f where e = 'sql' and contains(lower(c), 'select')
+        union all select file_id, 'case:yes lang:go Snapshot -file:_test' from f where e = 'go' and contains(c, 'Snapshot') and not contains(p, '_test')
+        union all select file_id, 'lang:rust -content:unsafe fn\\ main' from f where e = 'rs' and not regexp_matches(c, '(?i)unsafe') and regexp_matches(c, '(?i)fn main')"""),
     "h12_symmetric_context": (h12_symmetric_context, f"""with {LINES_SQL}, m as (select *, max(regexp_matches(text, 'TODO')) over (partition by file_id order by line_no rows between 2 preceding and 2 following) as near from lines),
         b as (select *, line_no - row_number() over (partition by file_id order by line_no) as block from m where near)
         select file_id, cast(min(line_no) as int) as first_line, count(*) as n_lines, string_agg(text, chr(10) order by line_no) as shown from b group by file_id, block"""),

@@ -289,16 +289,17 @@ def i1_identifier_words(spark, d):
 
 
 def i2_clean_docstrings(spark, d):
-    s = _sym(spark, d).filter(F.trim("docstring").rlike(r"^(?:///|//!)"))
+    """Documentation comments of every form without their marks; plain comments give null."""
+    s = _sym(spark, d).filter("docstring is not null")
     return s.select("symbol_id", tx.clean_docstring(F.col("docstring")).alias("doc"))
 
 
 def i3_unquoted_literals(spark, d):
     """Quoting every literal and stripping the quotes gives it back."""
     l = table(spark, d, "literals").select("literal_id", "text").distinct()
-    quoted = F.concat(F.lit('"'), F.col("text"), F.lit('"'))
-    ok = ~F.col("text").contains('"') & ~F.col("text").contains("\n")
-    return l.filter(ok).select("literal_id", tx.strip_quotes(quoted).alias("text"))
+    q = lambda a, b: tx.strip_quotes(F.concat(F.lit(a), F.col("text"), F.lit(b)))
+    forms = [('"', '"'), ("'", "'"), ("`", "`"), ('"""', '"""'), ("'''", "'''"), ('f"', '"'), ("Rb'", "'"), ('r#"', '"#'), ('r"', '"')]
+    return l.filter("text is not null").select("literal_id", "text", F.array(*[q(a, b) for a, b in forms]).alias("back")).select("literal_id", "text", F.forall("back", lambda x: x == F.col("text")).alias("all_same"))
 
 
 def i7_qualified_names(spark, d):
@@ -357,8 +358,10 @@ QUERIES = {
     "h13_lookup_symbol": (h13_lookup_symbol, "select tag_id, symbol, language from (select distinct * from tags) where starts_with(lower(symbol), 'fold') and lower(kind) in ('function', 'method') and language is not null order by repo, file, line, tag_id limit 250"),
     "h14_reference_scan": (h14_reference_scan, f"with {SYM}, {LINES_SQL}, ids as (select file_id, cast(line_no as int) as line, text, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*'))) as name from lines) select file_id, line, name, list_contains(regexp_extract_all(text, '([A-Za-z_$][A-Za-z0-9_$]*)\\s*\\(', 1), name) as is_call from ids where name in (select name from s where {_FN})"),
     "i1_identifier_words": (i1_identifier_words, f"with {SYM} select name, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '([0-9])([A-Za-z])', '\\1_\\2', 'g'), '[_-]+'), lambda x: lower(x)), lambda x: length(x) > 0), ' ') as words from (select distinct name from s)"),
-    "i2_clean_docstrings": (i2_clean_docstrings, f"""with {SYM} select symbol_id, case when length(doc) > 0 then doc end as doc from (select symbol_id, regexp_replace(array_to_string(list_transform(list_filter(string_split_regex(docstring, '\\r?\\n'), lambda x: regexp_matches(trim(x), '^//[/!]')), lambda x: trim(regexp_replace(trim(x), '^(?:///+|//!)', ''))), chr(10)), '^\\s+|\\s+$', '', 'g') as doc from s where regexp_matches(trim(docstring), '^(?:///|//!)'))"""),
-    "i3_unquoted_literals": (i3_unquoted_literals, "select distinct literal_id, text from literals where not contains(text, '\"') and not contains(text, chr(10))"),
+    "i2_clean_docstrings": (i2_clean_docstrings, f"""with {SYM}, x as (select symbol_id, regexp_replace(docstring, '^\\s+|\\s+$', '', 'g') as t from s where docstring is not null), y as (select symbol_id, starts_with(t, '/**') as block, string_split_regex(case when starts_with(t, '/**') then regexp_replace(substr(t, 4), '\\*/$', '') else t end, '\\r?\\n') as lines from x),
+        z as (select symbol_id, case when block then array_to_string(list_transform(lines, lambda l: trim(rtrim(trim(ltrim(trim(l, ' '), '*'), ' '), '*'), ' ')), chr(10)) else array_to_string(list_transform(list_filter(lines, lambda l: starts_with(trim(l, ' '), '///') or starts_with(trim(l, ' '), '//!')), lambda l: trim(case when starts_with(trim(l, ' '), '//!') then substr(trim(l, ' '), 4) else substr(trim(l, ' '), 3 + length(regexp_extract(trim(l, ' '), '^//(/+)', 1))) end, ' ')), chr(10)) end as doc from y)
+        select symbol_id, nullif(regexp_replace(doc, '^\\s+|\\s+$', '', 'g'), '') as doc from z"""),
+    "i3_unquoted_literals": (i3_unquoted_literals, "select distinct literal_id, text, true as all_same from literals where text is not null"),
     "i7_qualified_names": (i7_qualified_names, f"with {SYM} select symbol_id, case when length(owner) > 0 then owner || case when ends_with(lower(file_path), '.rs') then '::' else '.' end || name else name end as qualified, regexp_replace(file_path, '/?[^/]*$', '') as dir from s"),
     "i8_capped_literals": (i8_capped_literals, "select distinct literal_id, left(text, 60) || '…' as shown, cast((select max(b) from (select strlen(left(text, k)) as b from range(1, 61) t(k)) where b <= 60) as int) as bytes from literals where length(text) > 60"),
     "i10_escaped_names": (i10_escaped_names, f"select distinct literal_id, regexp_replace(text, '{_ESC}', '\\\\\\1', 'g') as escaped from literals where length(text) > 0"),

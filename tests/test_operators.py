@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarrylens.operators import events as ev
+from quarrylens.operators import evidence
 from quarrylens.operators import rollup as ru
 from quarrylens.operators import search as se
 from quarrylens.operators import symbols as sy
@@ -65,8 +66,11 @@ def test_unknown_stays_unknown(spark):
 
 
 def test_majority_and_agreement(spark):
-    d = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, "x"), (2, "y"), (2, "z"), (3, None), (4, "x"), (4, "x"), (4, "y"), (4, "y")], "i int, v string")
-    assert {r.i: r.majority for r in ev.majority(d, ["i"], "v").collect()} == {1: "x", 2: None, 3: None, 4: None}
+    d = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, "x"), (2, "y"), (2, "z"), (3, None), (4, "x"), (4, "x"), (4, "y"), (4, "y"), (5, "x"), (5, "x"), (5, "?")], "i int, v string")
+    got = {r.i: (r.majority, r.failed) for r in evidence.majority_of_three(d, "i", "v", ["x", "y", "z"]).collect()}
+    assert got == {1: ("x", False), 2: (None, False), 3: (None, True), 4: (None, True), 5: (None, True)}
+    scores = spark.createDataFrame([(1, 1.0), (1, 4.0), (1, 2.0), (2, 5.0), (3, 0.5), (3, 0.5)], "i int, v double")
+    assert tuple(evidence.score_difference(scores, "i", "v").first()) == (4, 1.5)
     same = spark.createDataFrame([(i, "x") for i in (1, 1, 2, 2)], "i int, v string")
     r = ev.agreement(same, "i", "v").first()
     assert (r.unanimous_rate, r.pairwise_rate, r.kappa) == (1.0, 1.0, None)
