@@ -13,7 +13,7 @@ from quarrylens.operators.files import line_table
 from quarrylens.operators.search import _ALL_SQL, _WORDS_SQL, _all_scored
 from quarrylens.sources.extract import extract
 from quarrylens.sources.workspace import ignored_directory_names, register, tag_lines
-from quarrylens.session import table
+from quarrylens.session import checkpoint_dir, table
 
 STORED = "filePath string, totalLines int, symbols array<struct<name:string,kind:string,startLine:int,endLine:int,owner:string,docstring:string>>"
 
@@ -38,10 +38,32 @@ def query_tokens(c):
     return F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(F.array(w), tx.split_identifier(w)))))
 
 
+#: A small tree with rules at every level, and whether its walk must give each file.
+TREE = [
+    (".gitignore", "*.log\n/out/\n!keep.log\nbuild-*/\n**/gen/*.ts\n", True), (".ignore", "secret.txt\n", True), ("a.py", "x = 1\n", True), ("b.log", "no\n", False), ("keep.log", "yes\n", True), ("out/x.py", "no\n", False), ("sub/out/y.py", "z = 2\n", True), ("sub/.gitignore", "!b.log\nlocal\n", True),
+    ("sub/b.log", "again\n", True), ("sub/local", "no\n", False), ("sub/deep/local/z.py", "no\n", False), ("sub/secret.txt", "no\n", False), (".hidden/h.py", "h = 1\n", True), ("node_modules/m.js", "no\n", False), ("sub/.git/HEAD", "ref\n", False), ("build-1/a.c", "no\n", False), ("build.c", "int a;\n", True),
+    ("p/q/gen/a.ts", "no\n", False), ("p/q/gen/a.js", "let a\n", True), ("p/q/r/s/t.go", "package t\n", True), ("up.tmp", "no\n", False), ("big.txt", "x" * 200 + "\n", True), ("empty.txt", "", True),
+]
+
+
 def a1_workspace_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The data folder itself as a workspace: its files with their sizes, ignored ones left out."""
+    """(path, size, content) of a tree that is written to the shared folder first: a repository with ignore rules in it, in the directory
+    above it and in a global file. Contents of more than 100 bytes stay null."""
+    import os
+    import uuid
+    from urllib.parse import urlparse
+
     register(spark)
-    return spark.read.format("workspace").option("maxBytes", "0").load(sf_dir).select("path", "size")
+    base = os.path.join(urlparse(checkpoint_dir(spark)).path, f"tree-{uuid.uuid4().hex}")
+    for path, text, _ in [*((f"work/{p}", t, k) for p, t, k in TREE), (".git/HEAD", "ref\n", False), (".gitignore", "/work/up.tmp\n", False), ("global", "*.orig\n", False), ("work/a.py.orig", "no\n", False)]:
+        os.makedirs(os.path.dirname(os.path.join(base, path)), exist_ok=True)
+        with open(os.path.join(base, path), "w") as f:
+            f.write(text)
+    tree = spark.read.format("workspace").option("maxBytes", "100").option("parts", "5").option("globalIgnore", f"{base}/global").load(f"{base}/work")
+    return tree.select("path", "size", "content")
+
+
+_TREE_SQL = "select path, cast(strlen(t) as bigint) as size, case when strlen(t) <= 100 then t end as content from (values " + ", ".join("('{}', '{}', {})".format(p, t.replace("'", "''"), k) for p, t, k in TREE) + ") v(path, t, k) where k"
 
 
 def a10_snapshot_scan(spark, d):
@@ -120,7 +142,7 @@ _L = "case when length({0}) = 0 then [] when right({0}, 1) in (chr(10), chr(13))
 _LOW_WORDS = "list_filter(string_split_regex(lower(search_text), '[^\\p{L}\\p{N}_-]+'), lambda w: length(w) > 0)"
 
 QUERIES = {
-    "a1_workspace_walk": (a1_workspace_walk, None),
+    "a1_workspace_walk": (a1_workspace_walk, _TREE_SQL),
     "a10_snapshot_scan": (a10_snapshot_scan, "with s as (select distinct * from symbols) select e.file_id, e.total_lines as totalLines, cast(coalesce(n, 0) as int) as n_symbols, cast(coalesce(m, 0) as int) as n_documented from extracted_files e left join (select file_id, count(*) as n, count(docstring) as m from s group by 1) using (file_id)"),
     "a11_query_list": (a11_query_list, "select search_text as query, cast(count(distinct file_path) as int) as n_expected from search_results group by 1"),
     "a13_tag_lines": (a13_tag_lines, "select language, kind, count(*) as n from (select distinct * from tags) where symbol is not null group by 1, 2"),

@@ -7,7 +7,6 @@ see half a batch; a batch that runs again after a failure gives the same state,
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -33,15 +32,30 @@ def change_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parqu
 def newest_per_path(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The newest record of each key; every other column comes along."""
     rest = [c for c in rows.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("r")
-    return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("__r")
+    return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
-def reconcile(table: VersionedTable, batch: DataFrame, keys: list[str], order: list[str]) -> int:
-    """Publish the state after a batch; deletions stay as rows so that a late older record can't bring a path back."""
+def reconcile(table: VersionedTable, batch: DataFrame, keys: list[str], order: list[str], path_col: str | None = None, kind_col: str = "change_kind") -> int:
+    """Publish the state after a batch; deletions stay as rows so that a late older record can't bring a path back. With ``path_col``, one
+    of the keys, a newer deletion of a directory also deletes what is below it."""
     old = table.read()
     both = batch if old is None else old.unionByName(batch)
-    return table.write(newest_per_path(both, keys, order))
+    state = newest_per_path(both, keys, order)
+    return table.write(below_deleted(state, keys, order, path_col, kind_col) if path_col else state)
+
+
+def below_deleted(state: DataFrame, keys: list[str], order: list[str], path_col: str, kind_col: str) -> DataFrame:
+    """The state with paths marked deleted where a directory above them was deleted later than they were written. Each path asks for
+    its own directories, as many as it has parts, so no path meets all deletions."""
+    gone = state.filter(F.col(kind_col) == "delete").select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*order).alias("__at"))
+    parts = F.split(path_col, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    asked = state.filter((F.col(kind_col) != "delete") & (F.size(parts) > 1)).select(*keys, F.struct(*order).alias("__own"), F.explode(above).alias("__dir"))
+    cond = [F.col("__dir") == F.col(f"__{path_col}"), *(F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys if k != path_col), F.col("__at") > F.col("__own")]
+    hit = asked.join(gone, cond).select(*[F.col(k).alias(f"__hit_{k}") for k in keys]).distinct().withColumn("__gone", F.lit(True))
+    j = state.join(hit, [F.col(k).eqNullSafe(F.col(f"__hit_{k}")) for k in keys], "left")
+    return j.withColumn(kind_col, F.when(F.col("__gone"), F.lit("delete")).otherwise(F.col(kind_col))).select(state.columns)
 
 
 def needs_full_refresh(batch: DataFrame, path_col: str, limit: int = FULL_REFRESH_PATHS) -> bool:
@@ -50,11 +64,11 @@ def needs_full_refresh(batch: DataFrame, path_col: str, limit: int = FULL_REFRES
     return n > limit or batch.filter(F.col(path_col).rlike(r"(?:^|/)\.git/HEAD$") | (F.col(path_col) == "")).limit(1).count() > 0
 
 
-def refresh_from(stream: DataFrame, table: VersionedTable, checkpoint: str, keys: list[str], order: list[str], once: bool = True):
+def refresh_from(stream: DataFrame, table: VersionedTable, checkpoint: str, keys: list[str], order: list[str], once: bool = True, path_col: str | None = None):
     """Start (and with ``once`` finish) the refresh of a table from a stream; one batch is active at a time."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        reconcile(table, batch, keys, order)
+        reconcile(table, batch, keys, order, path_col)
 
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     q = (w.trigger(availableNow=True) if once else w.trigger(processingTime="500 milliseconds")).start()
@@ -136,10 +150,10 @@ CHANGE_SCHEMA = "change_id long, repository_root string, repo string, file_path
 
 def j3_stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree after all change records, kept current by the stream of them; the same as ``a19_current_tree``."""
-    base = os.path.join(checkpoint_dir(spark).removeprefix("file:"), f"refresh-{uuid.uuid4().hex}")
-    t = VersionedTable(spark, os.path.join(base, "state"))
+    base = f"{checkpoint_dir(spark).rstrip('/')}/refresh-{uuid.uuid4().hex}"
+    t = VersionedTable(spark, f"{base}/state")
     stream = change_stream(spark, f"{sf_dir}/file_change[s].parquet", CHANGE_SCHEMA)
-    refresh_from(stream, t, os.path.join(base, "offsets"), ["repository_root", "file_path"], ["walked_at_ms", "change_id"])
+    refresh_from(stream, t, f"{base}/offsets", ["repository_root", "file_path"], ["walked_at_ms", "change_id"], path_col="file_path")
     return t.read().filter("change_kind <> 'delete'").select("repository_root", "file_path", "mtime_ns", "content_hash")
 
 

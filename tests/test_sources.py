@@ -37,6 +37,33 @@ def test_ignored_names(spark):
     assert sorted(r.name for r in ws.ignored_directory_names(d).collect()) == ["dist", "node_modules"]
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5, 64])
+def test_a_tree_in_any_number_of_parts(spark, tree, parts):
+    ws.register(spark)
+    reader = ws.WorkspaceReader({"path": str(tree), "parts": str(parts)})
+    got = [row[0] for p in reader.partitions() for row in reader.read(p)]
+    assert len(got) == len(set(got)) == 8 and len(reader.partitions()) >= min(parts, 4)
+
+
+def test_lines_are_numbered_across_partitions(spark):
+    d = spark.range(0, 1000, 1, 7).select("id")
+    assert all(r.line_no == r.id + 1 for r in ws.numbered_lines(d).collect())
+
+
+def test_a_deleted_directory_takes_its_paths(spark, tmp_path):
+    from quarrylens.streaming import refresh as rf
+
+    schema = "r string, p string, change_kind string, at long"
+    t = ws.VersionedTable(spark, str(tmp_path / "s"))
+    go = lambda rows: rf.reconcile(t, spark.createDataFrame(rows, schema), ["r", "p"], ["at"], "p")
+    live = lambda: {(x.r, x.p) for x in t.read().filter("change_kind <> 'delete'").collect()}
+    go([("a", "d/x/1", "upsert", 1), ("a", "d/2", "upsert", 1), ("a", "dd/3", "upsert", 1), ("b", "d/2", "upsert", 1), (None, "d/2", "upsert", 1)])
+    go([("a", "d", "delete", 2), ("a", "d/new", "upsert", 3), (None, "d/2", "upsert", 4)])
+    assert live() == {("a", "d/new"), ("a", "dd/3"), ("b", "d/2"), (None, "d/2")}
+    go([("a", "d/2", "upsert", 1)])  # late and old
+    assert ("a", "d/2") not in live()
+
+
 def test_query_list(spark, tmp_path):
     p = tmp_path / "q.json"
     p.write_text('[{"query": "a", "expected": ["x"]}, {"expected": []}, {"query": "b"}]')
@@ -63,7 +90,14 @@ def test_versioned_table(spark, tmp_path):
     assert sorted((r.k, r.v) for r in t.read().collect()) == [("b", 3), ("c", 4)]
     with pytest.raises(Exception):
         t.write(spark.range(1).select(F.raise_error(F.lit("x")).alias("k")))
-    assert t.current() == 2 and not os.path.exists(tmp_path / "t" / "LOCK")
+    assert t.current() == 2
+    with pytest.raises(RuntimeError, match="another writer"):
+        t.folder.claim("commit/00000003", "x 1") and t.__class__._last.__get__(t)
+        real = t._last
+        t._last = lambda: (2, *real()[1:])
+        t.write(spark.range(1))
+    del t._last
+    t.folder.delete("commit/00000003")
     assert ws.VersionedTable(spark, str(tmp_path / "t"), "2").read() is None
 
 
