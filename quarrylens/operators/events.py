@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrylens.operators.skew import previous_row
 from quarrylens.session import table
 
 # ---------------------------------------------------------------- null-keeping aggregates
@@ -183,9 +184,8 @@ def l11_slot_states(spark, d):
 
 def l13_unchanged_runs(spark, d):
     """Good runs over an unchanged tree: the fingerprint equals that of the good run before."""
-    w = Window.partitionBy("repository_root").orderBy("started_at_ms", "run_id")
-    r = _runs(spark, d).filter("status = 'ok'").withColumn("before", F.lag("fingerprint").over(w))
-    return r.filter("before = fingerprint").select("run_id")
+    r = previous_row(_runs(spark, d).filter("status = 'ok'"), ["repository_root"], ["started_at_ms", "run_id"], ["fingerprint"], "before")
+    return r.filter("before.fingerprint = fingerprint").select("run_id")
 
 
 def j2_escalated_batches(spark, d):

@@ -35,15 +35,42 @@ def significant_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.filter("is_exported").unionByName(outer)
 
 
+#: Lines are met in blocks, so that a hit meets the ranges near its line and not all of its file; ranges of more than ``BLOCK`` blocks
+#: go into wide ones.
+BLOCK, WIDE = 64, 65_536
+
+
+def ranges_by_block(ranges: DataFrame) -> DataFrame:
+    """Ranges (start_line, end_line) once for each block (level, block) that they reach."""
+    wide = F.col("end_line") - F.col("start_line") > BLOCK * BLOCK
+    size = F.when(wide, WIDE).otherwise(BLOCK)
+    d = ranges.filter("end_line >= start_line").withColumn("level", wide.cast("int"))
+    return d.withColumn("block", F.explode(F.sequence(F.floor(F.col("start_line") / size), F.floor(F.col("end_line") / size))))
+
+
+def hits_by_block(hits: DataFrame) -> DataFrame:
+    """Hits (line) once a level, with the block of their line in it."""
+    at = F.array(*[F.struct(F.lit(i).alias("level"), F.floor(F.col("line") / n).alias("block")) for i, n in enumerate((BLOCK, WIDE))])
+    return hits.withColumn("__at", F.explode(at)).select("*", "__at.level", "__at.block").drop("__at")
+
+
 def innermost_enclosing(hits: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
     """Each hit (key, file_id, line) with the smallest callable around its line; null where there is none. Of equal spans
     the first by start and symbol_id."""
     fn = symbols.filter(F.col("kind").isin(CALLABLE)).select(F.col("file_id").alias("fn_file"), F.col("symbol_id").alias("fn_id"), F.col("name").alias("fn_name"), "start_line", "end_line")
-    j = hits.join(fn, (F.col("file_id") == F.col("fn_file")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left").drop("fn_file")
-    best = F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "start_line", "fn_id")
+    h, fn = hits_by_block(hits), ranges_by_block(fn).withColumnsRenamed({"level": "fn_level", "block": "fn_block"})
+    near = (F.col("file_id") == F.col("fn_file")) & (F.col("level") == F.col("fn_level")) & (F.col("block") == F.col("fn_block"))
+    j = h.join(fn, near & F.col("line").between(F.col("start_line"), F.col("end_line")), "left").drop("fn_file")
+    best = F.when(F.col("fn_id").isNotNull(), F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "start_line", "fn_id"))
     return j.groupBy(key, "file_id", "line").agg(F.min_by("fn_id", best).alias("fn_id"), F.min_by("fn_name", best).alias("fn_name"))
 
 
+def calls_inside(calls: DataFrame, callables: DataFrame) -> DataFrame:
+    """Calls (file_id, line, callee) with each callable (file_id, symbol_id, name, range) around them."""
+    j = hits_by_block(calls).join(ranges_by_block(callables), ["file_id", "level", "block"])
+    return j.filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+
+
 def call_sites(files: DataFrame) -> DataFrame:
     """(file_id, line, name): identifiers followed by an opening parenthesis, each once a line."""
     l = line_table(files).filter(F.col("text").contains("("))
@@ -64,7 +91,7 @@ def callees(files: DataFrame, symbols: DataFrame) -> DataFrame:
     fn = symbols.filter(F.col("kind").isin(CALLABLE))
     names = fn.select("name").distinct()
     c = call_sites(files).join(names, "name", "left_semi").withColumnRenamed("name", "callee")
-    j = c.join(fn.select("file_id", "symbol_id", "name", "start_line", "end_line"), "file_id").filter(F.col("line").between(F.col("start_line"), F.col("end_line")) & (F.col("callee") != F.col("name")))
+    j = calls_inside(c, fn.select("file_id", "symbol_id", "name", "start_line", "end_line")).filter(F.col("callee") != F.col("name"))
     return j.groupBy("symbol_id", "callee").agg(F.min("line").alias("first_line"))
 
 
@@ -161,10 +188,10 @@ def c3_callees(spark, d):
 
 
 def c4_structural_calls(spark, d):
-    """Literals handed over as arguments, per callable: how many calls its range holds."""
+    """Per callable how many calls its range holds, and of how many names."""
     fn = _sym(spark, d).filter(F.col("kind").isin(CALLABLE)).select("file_id", "symbol_id", "start_line", "end_line")
     c = call_sites(table(spark, d, "source_files"))
-    j = c.join(fn, "file_id").filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    j = calls_inside(c, fn)
     return j.groupBy("symbol_id").agg(F.count("*").alias("n_calls"), F.countDistinct("name").alias("n_names"))
 
 

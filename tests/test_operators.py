@@ -117,3 +117,16 @@ def test_index_refresh(spark, tmp_path):
     assert scores(ix, "alpha") == twice and len(ix._state()[1]["segments"]) == 1
     plan = ix.search(compile_query("alpha"))._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,alpha)]" in plan or "In(term" in plan or "EqualTo(term,alpha)" in plan
+
+
+def test_ranges_and_lines_meet_in_blocks(spark):
+    """Ranges over many blocks, wide ones and their borders: the smallest callable around each line, as by hand."""
+    import random
+
+    rng = random.Random(4)
+    fns = [(1, i, f"f{i}", "fn", a, a + w) for i, (a, w) in enumerate((rng.randrange(1, 9000), rng.choice([0, 3, 63, 64, 200, 4096, 4097, 9000])) for _ in range(120))]
+    lines = [(k, 1, rng.randrange(1, 20_000)) for k in range(300)] + [(900 + n, 1, n) for n in (63, 64, 65, 4096, 65_536)] + [(999, 2, 5)]
+    s = spark.createDataFrame(fns, "file_id long, symbol_id long, name string, kind string, start_line int, end_line int")
+    got = {r.k: r.fn_id for r in sy.innermost_enclosing(spark.createDataFrame(lines, "k long, file_id long, line int"), s, "k").collect()}
+    want = {k: min(((b - a, a, i) for f, i, _, _, a, b in fns if f == g and a <= n <= b), default=(0, 0, None))[2] for k, g, n in lines}
+    assert got == want
