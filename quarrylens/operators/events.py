@@ -214,15 +214,6 @@ def a12_event_source(spark, d):
     return _events(spark, d).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-def c11_producers_consumers(spark, d):
-    """Per user how many (view, purchase) pairs stand in order: a producer before a consumer.
-
-    The pairs aren't made: every consumer counts the producers before it, in one ordered pass over the user's rows."""
-    e = _events(spark, d).select("user_id", "ts", "event_id", "event_type")
-    e = e.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("made", F.sum(F.when(F.col("event_type") == "view", 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)))
-    return e.filter("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("n_consumers"), F.sum(F.coalesce("made", F.lit(0))).alias("n_edges"))
-
-
 def c12_capped_records(spark, d):
     """At most 64 events per (user, type), the earliest."""
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
@@ -459,7 +450,6 @@ QUERIES = {
     "b20_attempt_classes": (b20_attempt_classes, f"with {_R} select run_id, case when status = 'crashed' then 'signal' when status = 'failed' and built_at_ms is null then 'protocol' when status = 'failed' then 'transient' when built_at_ms < started_at_ms then 'invariant' when file_count = 0 then 'empty' else 'stop' end as category from r"),
     "b21_permissions": (b21_permissions, f"with {_C}, rules(change_kind, profile, allowed) as (values ('upsert', 'write', true), ('upsert', 'read', false), ('delete', 'write', false), ('delete', 'read', false)) select profile, allowed, count(*) as n from c join rules using (change_kind) group by 1, 2"),
     "b23_read_bounds": (b23_read_bounds, "select case when k is null then 'unbounded' when n is null then 'malformed' when n > 0 then 'bounded' else 'unbounded' end as state, count(*) as n from (select json_extract_string(props, '$.k') as k, try_cast(json_extract_string(props, '$.k') as bigint) as n from events) group by 1"),
-    "c11_producers_consumers": (c11_producers_consumers, "select p.user_id, count(distinct p.event_id) as n_consumers, count(v.event_id) as n_edges from (select * from events where event_type = 'purchase') p left join (select * from events where event_type = 'view') v on v.user_id = p.user_id and v.ts < p.ts group by 1"),
     "c12_capped_records": (c12_capped_records, "select user_id, event_type, count(*) as n, max(event_id) as last_id from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as rn from events) where rn <= 64 group by 1, 2"),
     "c13_mtime_diff": (c13_mtime_diff, f"with {_R}, {_C}, ok as (select repository_root, min(started_at_ms) as at_ms from r where status = 'ok' group by 1), c1 as (select c.* from c join ok using (repository_root) where walked_at_ms <= at_ms), c2 as (select c.* from c where repository_root in (select repository_root from ok)), o as ({_LATEST.format('c1')}), n as ({_LATEST.format('c2')}) select * from (select repository_root, file_path, case when n.content_hash is null and n.file_path is null then 'delete' when o.file_path is null or o.mtime_ns is distinct from n.mtime_ns then 'index' end as action from o full join n using (repository_root, file_path)) where action is not null".replace("n.content_hash is null and n.file_path is null", "n.repository_root is null").replace("o.file_path is null or", "o.repository_root is null or")),
     "c14_subtree_deletes": (c14_subtree_deletes, f"with {_C}, l as ({_LATEST.format('c')}) select distinct l.repository_root, l.file_path from l join (select distinct repository_root, file_path as gone from c where change_kind = 'delete') g on g.repository_root = l.repository_root and starts_with(l.file_path, g.gone || '/')"),

@@ -22,11 +22,54 @@ def k3_extracted_symbols(spark, d):
     return e.select("file_id", "s.name", "s.kind", "s.start_line", "s.end_line", "s.owner", "s.is_exported")
 
 
-def h15_collection_edges(spark, d):
-    e = extract(table(spark, d, "source_files")).select("file_id", F.explode("edges").alias("e"))
+#: Files of several languages with writes to and reads from collections in fields, and the edges that each must give: kind, owner, field, line.
+EDGE_FILES = [
+    ("a.rs", "struct Queue { items: Vec<u8> }\nimpl Queue {\n    fn add(&mut self, x: u8) {\n        self.items.push(x);\n    }\n    fn each(&self) -> u8 {\n        self.items.iter().count();\n        self.items.len()\n    }\n}\nfn drain(q: &mut Queue, other: Vec<u8>) {\n    q.items.extend(other);\n    z.items.push(1);\n}\n", "producer Queue items 4;consumer Queue items 7;producer Queue items 12"),
+    ("B.java", "class Store {\n    void put(String k) {\n        this.rows.add(k);\n        // this.rows.add(k);\n    }\n    void show(final Store s, int n) {\n        s.rows.forEach(x -> print(x));\n        s.rows.size();\n    }\n}\n", "producer Store rows 3;consumer Store rows 7"),
+    ("c.py", "class Log:\n    def add(self, x):\n        self.lines.append(x)\n        self.lines.pop()\n\n\ndef fill(log: Log, n=1):\n    log.lines.extend([n])\n    text = 'log.lines.append(1)'\n", "producer Log lines 3;producer Log lines 8"),
+    ("d.go", "package d\n\nfunc (s *Set) Add(x int) {\n\ts.all = append(s.all, x)\n}\n\nfunc Fill(t *Set, x int) {\n\tt.all = append(t.all, x)\n\tu.all = append(u.all, x)\n}\n", "producer Set all 4;producer Set all 8"),
+    ("e.cpp", "class Ring {\n  void add(int x) {\n    this->slots.push_back(x);\n  }\n};\nint first(const Ring& r) {\n  return r.slots.front();\n}\n", "producer Ring slots 3;consumer Ring slots 7"),
+    ("f.kt", "class Bag {\n    fun add(x: Int) {\n        this.held.add(x)\n    }\n}\nfun all(b: Bag?): Int {\n    return b.held.first()\n}\n", "producer Bag held 3;consumer Bag held 7"),
+    ("g.txt", "self.a.push(1)\n", ""), ("h.js", "class A {\n  f() {\n    this.a.push(1);\n  }\n}\n", ""), ("i.rs", "", ""),
+]
+
+
+def _edges(files):
+    e = extract(files).select("file_id", F.explode("edges").alias("e"))
     return e.select("file_id", "e.kind", "e.owner", "e.field", "e.line")
 
 
+def _edge_files(spark):
+    return spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(EDGE_FILES)], "file_id long, file_path string, content string")
+
+
+def h15_collection_edges(spark, d):
+    """Edges of a small set of files in six languages."""
+    return _edges(_edge_files(spark))
+
+
+def h15_source_edges(spark, d):
+    """Edges of all source files."""
+    return _edges(table(spark, d, "source_files"))
+
+
+def producers_and_consumers(edges):
+    """(owner, field, n_producers, n_consumers, n_pairs) of collections that are both written and read: pairs are counted, not made. Equal
+    edges count once."""
+    e = edges.select("file_id", "kind", "owner", "field", "line").distinct()
+    n = lambda k: F.count(F.when(F.col("kind") == k, 1))
+    g = e.groupBy("owner", "field").agg(n("producer").alias("n_producers"), n("consumer").alias("n_consumers"))
+    return g.filter("n_producers > 0 and n_consumers > 0").withColumn("n_pairs", F.col("n_producers") * F.col("n_consumers"))
+
+
+def c11_producers_consumers(spark, d):
+    return producers_and_consumers(_edges(_edge_files(spark)))
+
+
+_EDGE_ROWS = [(i, *e.split(" ")) for i, (_, _, edges) in enumerate(EDGE_FILES) for e in edges.split(";") if e]
+_EDGE_VALUES = "(values " + ", ".join(f"({i}, '{k}', '{o}', '{f}', {n})" for i, k, o, f, n in _EDGE_ROWS) + ") e(file_id, kind, owner, field, line)"
+
+
 def i6_import_entries(spark, d):
     e = extract(table(spark, d, "source_files")).select("file_id", F.explode("imports").alias("i"))
     return e.select("file_id", "i.name", "i.source", "i.kind", "i.line")
@@ -62,7 +105,9 @@ def i19_main_commands(spark, d):
 QUERIES = {
     "k3_extraction_recall": (k3_extraction_recall, None),
     "k3_extracted_symbols": (k3_extracted_symbols, None),
-    "h15_collection_edges": (h15_collection_edges, None),
+    "c11_producers_consumers": (c11_producers_consumers, f"select p.owner, p.field, count(distinct (p.file_id, p.line)) as n_producers, count(distinct (c.file_id, c.line)) as n_consumers, count(*) as n_pairs from {_EDGE_VALUES.replace(' e(', ' p(')}, {_EDGE_VALUES.replace(' e(', ' c(')} where p.kind = 'producer' and c.kind = 'consumer' and p.owner = c.owner and p.field = c.field group by 1, 2"),
+    "h15_collection_edges": (h15_collection_edges, f"select * from {_EDGE_VALUES}"),
+    "h15_source_edges": (h15_source_edges, None),
     "i4_base_names": (i4_base_names, r"""with t as (select distinct tag_id, unnest([signature, scope_name]) as raw from tags), o as (select tag_id, raw, array_to_string(list_filter(string_split_regex(raw, '\\s+'), lambda w: w <> ''), ' ') as w, string_split_regex(trim(raw), '[<(\\[]')[1] as head from t where raw is not null)
         select tag_id, raw, replace(replace(replace(replace(replace(replace(replace(w, ' .', '.'), '. ', '.'), ' ::', '::'), ':: ', '::'), ' (', '('), '( ', '('), ' )', ')') as one_line,
         nullif(trim(regexp_replace(trim(regexp_replace(ltrim(trim(raw), ':'), '^(?:new )+', '')), ';+$', '')), '') as type_text, nullif(trim(list_filter(string_split_regex(trim(head), '[.:/\\\\ ]'), lambda x: x <> '')[-1], '*&'), '') as base from o"""),

@@ -91,7 +91,7 @@ REGISTRY: dict[str, LanguageRules] = {
         imports=[(r"#\s*include\s*[<\"](?P<s>[^>\"]+)[>\"]", "include")],
     ),
 }
-REGISTRY["cpp"] = LanguageRules([*REGISTRY["c"].declarations, (rf"\s*(?:template\s*<[^>]*>\s*)?class\s+{_ID}", "class"), (rf"namespace\s+{_ID}", "mod"), (rf"[\w:<>*& ]+\s+[\w:]+::{_ID}\s*\([^;]*\)\s*(?:const\s*)?\{{", "fn")], exported=r"^(?!.*\bstatic\b)", imports=REGISTRY["c"].imports)
+REGISTRY["cpp"] = LanguageRules([*REGISTRY["c"].declarations, (rf"\s*(?:template\s*<[^>]*>\s*)?class\s+{_ID}", "class"), (rf"namespace\s+{_ID}", "mod"), (rf"[\w:<>*& ]+\s+[\w:]+::{_ID}\s*\([^;]*\)\s*(?:const\s*)?\{{", "fn"), (rf"\s+(?!(?:else|return|new|throw|case)\b)[\w:<>*& ]+[\s*&]+(?!(?:if|for|while|switch|catch)\b){_ID}\s*\([^;]*\)\s*(?:(?:const|noexcept|override|final)\s*)*\{{", "method")], exported=r"^(?!.*\bstatic\b)", imports=REGISTRY["c"].imports)
 LINE_RULES: dict[str, list[tuple[str, str]]] = {
     "bash": [(r"\s*(?:function\s+)?(?P<n>[\w-]+)\s*\(\)\s*\{?", "fn"), (r"(?:export\s+|readonly\s+|local\s+)?(?P<n>[A-Za-z_]\w*)=", "variable")],
     "sql": [(r"(?i)\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?[\"`\[]?(?P<n>[\w.]+)", "struct"), (r"(?i)\s*create\s+(?:or\s+replace\s+)?(?:materialized\s+)?view\s+(?:if\s+not\s+exists\s+)?[\"`\[]?(?P<n>[\w.]+)", "type"), (r"(?i)\s*create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+[\"`\[]?(?P<n>[\w.]+)", "fn")],
@@ -113,9 +113,57 @@ LINE_RULES: dict[str, list[tuple[str, str]]] = {
 }
 LINE_RULES["zsh"] = LINE_RULES["bash"]
 FORMATS = frozenset({"json", "yaml", "toml", "xml", "html", "hcl", "graphql", "proto", "make", "cmake", "containerfile", "starlark", "css", "less", "sql", "bash"})
-# fixed values: calls that write to or read from a collection held in a field
-_WRITES, _READS = ("push", "append", "add", "put", "set", "insert", "emplace_back", "push_back", "extend", "register"), ("get", "pop", "remove", "find", "lookup", "take", "at", "contains", "iter", "forEach")
-_EDGE = re.compile(r"(?P<r>\w+(?:\.\w+|::\w+|->\w+)*)[.]\s*(?P<f>\w+)\s*\.\s*(?P<m>\w+)\s*\(")
+# fixed values: calls that write to and read from a collection held in a field, by language
+EDGE_CALLS = {
+    "rust": ("push push_back insert extend extend_from_slice", "iter iter_mut into_iter get first last"),
+    "java": ("add addAll put putAll offer push enqueue", "iterator stream forEach get values keySet entrySet"),
+    "kotlin": ("add addAll put putAll offer push enqueue", "iterator forEach get first last asSequence"),
+    "python": ("append extend insert add update put", ""),
+    "cpp": ("push_back emplace_back insert emplace push", "begin end cbegin cend front back at"),
+    "go": ("append", ""),
+}
+MOST_EDGES = 256
+_EDGE = re.compile(r"(?<![\w.>:])(?P<r>[A-Za-z_]\w*)(?:\.|->)(?P<f>[A-Za-z_]\w*)(?:\.|->)(?P<m>[A-Za-z_]\w*)\s*\(")
+_APPEND = re.compile(r"\bappend\(\s*(?P<r>[A-Za-z_]\w*)\.(?P<f>[A-Za-z_]\w*)\s*,")
+# how a parameter of a name is written: with its type after a colon, after a blank, or before it
+_TYPED = {"rust": r"\b{}\s*:\s*(?P<t>[^,)=]+)", "python": r"\b{}\s*:\s*(?P<t>[^,)=]+)", "kotlin": r"\b{}\s*:\s*(?P<t>[^,)=]+)", "go": r"[(,]\s*{}\s+(?P<t>[^,)]+)", "java": r"[(,]\s*(?:final\s+)?(?P<t>[^(),]*?[\w>\]])\s+{}\s*[,)]", "cpp": r"[(,]\s*(?P<t>[^(),]*?[\w>&*])[\s&*]+{}\s*[,)]"}
+_PY_MASK = re.compile(r"#[^\n]*|\"{3}(?:[^\"\\]|\\.|\"(?!\"\"))*\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*'{3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
+
+
+def collection_edges(masked: str, symbols: list[dict], language: str) -> list[dict]:
+    """Writes to and reads from collections in fields: (kind, owner, field, line), the owner being the type whose field it is: that of the
+    method around for ``self`` and ``this``, that of a parameter by its declared type. Where neither tells the type there is no edge.
+    At most ``MOST_EDGES`` a file, each once a line."""
+    if language not in EDGE_CALLS:
+        return []
+    from quarrylens.functions.structured import owner_type
+
+    writes, reads = (frozenset(x.split()) for x in EDGE_CALLS[language])
+    breaks = [m.start() for m in re.finditer("\n", masked)]
+    lines = masked.split("\n")
+    functions = sorted((s for s in symbols if s["kind"] in ("fn", "method", "function")), key=lambda s: s["end_line"] - s["start_line"])
+    out: list[dict] = []
+    seen = set()
+    for m in sorted([*_EDGE.finditer(masked), *(_APPEND.finditer(masked) if language == "go" else [])], key=lambda m: m.start()):
+        call = m.groupdict().get("m") or "append"
+        kind = "producer" if call in writes else "consumer" if call in reads else None
+        line = bisect_left(breaks, m.start()) + 1
+        around = next((f for f in functions if f["start_line"] <= line <= f["end_line"]), None)
+        if not kind or around is None:
+            continue
+        if m["r"] in ("self", "this"):
+            owner = around["owner"]
+        else:
+            header = re.split(r"[{;]|:\s*$", "\n".join(lines[around["start_line"] - 1 : min(around["end_line"], around["start_line"] + 20)]), maxsplit=1, flags=re.M)[0]
+            typed = re.search(_TYPED[language].format(re.escape(m["r"])), header)
+            owner = owner_type(typed["t"].strip()) if typed else None
+        edge = (kind, owner, m["f"], line)
+        if owner and edge not in seen and len(out) < MOST_EDGES:
+            seen.add(edge)
+            out.append(dict(zip(("kind", "owner", "field", "line"), edge)))
+    return out
+
+
 _MASK = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 _CALL = re.compile(r"(?:(?P<r>[A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*)(?:\.|::|->))?(?P<n>[A-Za-z_$][\w$]*)!?\s*\(")
 _NO_CALL = frozenset("if for while switch catch return function fn func def class new await typeof sizeof match with elif and or not in is lambda print assert".split()) - {"print"}
@@ -220,10 +268,6 @@ def _python(text: str, path: str) -> dict:
                     out["calls"].append({"name": f.id, "receiver": None, "line": child.lineno})
                 elif isinstance(f, ast.Attribute):
                     out["calls"].append({"name": f.attr, "receiver": ast.unparse(f.value), "line": child.lineno})
-                    if isinstance(f.value, ast.Attribute):
-                        kind = "producer" if f.attr in _WRITES else "consumer" if f.attr in _READS else None
-                        if kind:
-                            out["edges"].append({"kind": kind, "owner": ast.unparse(f.value.value), "field": f.value.attr, "line": child.lineno})
             if isinstance(child, ast.Import):
                 out["imports"] += [{"name": a.asname or a.name, "source": a.name, "kind": "namespace", "line": child.lineno} for a in child.names]
             if isinstance(child, ast.ImportFrom):
@@ -235,6 +279,7 @@ def _python(text: str, path: str) -> dict:
         out["docstrings"].append(doc)
         docs.add(id(tree.body[0].value))
     visit(tree, None, False)
+    out["edges"] = collection_edges(_PY_MASK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text), out["symbols"], "python")
     return out
 
 
@@ -306,10 +351,7 @@ def _braces(text: str, path: str, language: str) -> dict:
     for m in _CALL.finditer(masked):
         if m["n"] not in _NO_CALL:
             out["calls"].append({"name": m["n"], "receiver": m["r"], "line": line_at(m.start())})
-    for m in _EDGE.finditer(masked):
-        kind = "producer" if m["m"] in _WRITES else "consumer" if m["m"] in _READS else None
-        if kind:
-            out["edges"].append({"kind": kind, "owner": m["r"], "field": m["f"], "line": line_at(m.start())})
+    out["edges"] = collection_edges(masked, out["symbols"], language)
     return out
 
 
