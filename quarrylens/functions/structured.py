@@ -135,27 +135,26 @@ def command_words(command: str | None) -> list[str]:
     return words
 
 
+_BEFORE_TYPE = re.compile(r"\s*(?:new\s+|:\s*)*(?:[&*]\s*(?:'\w+\s+)?|(?:const|mut|ref)\s+)*(?:(?:struct|class|enum|union)\s+)?")
+_HEAD = re.compile(r"[A-Za-z0-9_.:]+", re.A)
+
+
 def owner_type(text: str | None) -> str | None:
-    """The base name of a type: pointers, references, qualifiers and balanced generics taken off; null where brackets don't
-    balance or more than one type is left."""
-    if not text:
-        return None
-    depth, flat = 0, ""
-    for c in text:
-        if c in "<[(":
-            depth += 1
-        elif c in ">])":
-            depth -= 1
-            if depth < 0:
-                return None
-        elif not depth:
-            flat += c
-    if depth:
+    """The type that owns a collection, with its namespace: what marks a reference, a qualifier, an optional or a declaration is taken off,
+    balanced generics with it. Null where more than one type or anything else is left."""
+    t = (text or "").strip().rstrip(";").strip()
+    t = t[_BEFORE_TYPE.match(t).end() :].rstrip("&* ").rstrip("?!").strip()
+    head = _HEAD.match(t)
+    if not head:
         return None
-    words = [w for w in re.split(r"[\s*&?!]+", flat) if w and w not in ("const", "mut", "ref", "final", "readonly", "dyn", "struct", "class", "static", "pub")]
-    if len(words) != 1 or "|" in flat or "," in flat:
+    rest, depth = t[head.end() :].strip(), 0
+    if rest and not rest.startswith("<"):
         return None
-    return re.split(r"::|\.", words[0])[-1] or None
+    for i, c in enumerate(rest):
+        depth += (c == "<") - (c == ">")
+        if c in "|&" or rest.startswith("->", i) or (depth == 0 and i < len(rest) - 1):
+            return None
+    return head[0] if depth == 0 else None
 
 
 @F.pandas_udf(StringType())

@@ -66,6 +66,41 @@ def c11_producers_consumers(spark, d):
     return producers_and_consumers(_edges(_edge_files(spark)))
 
 
+# types as written and the owner that each must give; texts and the JSON that each must give; lines and their imports, by hand
+TYPES = [
+    ("Queue", "Queue"), ("&Queue", "Queue"), ("&'a mut a::Queue<T>", "a::Queue"), ("const Ring&", "Ring"), ("struct ring *", "ring"), (": Map<K, Vec<V>>", "Map"), ("Bag?", "Bag"), ("new Store", "Store"), ("a.b.Store", "a.b.Store"), ("A | B", None), ("Fn(A) -> B", None),
+    ("Foo<Bar", None), ("Foo>", None), ("Foo<A>[]", None), ("[]int", None), ("", None), ("  ", None), ("Map<A, B> extra", None), ("dyn Read", None),
+]
+JSON_TEXTS = [
+    ('say {"a": 1} twice {"b": 2}', '{"a": 1}'), ('```json\n{"x": {"y": "}"}}\n```', '{"x": {"y": "}"}}'), ('{bad} then {"k": [1, {"z": 2}]} end', '{"k": [1, {"z": 2}]}'), ("{no", None), ("", None), ("[1, 2]", None), ('[{"in": 1}]', '{"in": 1}'), ("```\n[1]\n```", None),
+]
+IMPORT_LINES = [
+    ("a.ts", "import a from './x';", "a ./x import"), ("a.ts", "import { b, c as d } from 'y';", "b y import;d y import"), ("a.ts", "import * as n from 'z';", "n z import"), ("a.js", "const q = require('fs');", "q fs require"), ("a.py", "import os\n", "os os namespace"), ("a.py", "from ..x import y as z, w\n", "z ..x named;w ..x named"),
+    ("a.py", "from m import *\n", "* m glob"), ("a.js", "let a = 1;", ""),
+]
+
+
+def i5_owner_cases(spark, d):
+    t = spark.createDataFrame([(t,) for t, _ in TYPES], "raw string")
+    return t.select("raw", st.owner_type_udf("raw").alias("owner_type"))
+
+
+def i6_import_cases(spark, d):
+    """Imports of single lines, one row a name."""
+    f = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(IMPORT_LINES)], "file_id long, file_path string, content string")
+    return extract(f).select("file_id", F.explode("imports").alias("i")).select("file_id", "i.name", "i.source", "i.kind")
+
+
+def i17_json_cases(spark, d):
+    t = spark.createDataFrame([(t,) for t, _ in JSON_TEXTS], "raw string")
+    return t.select("raw", st.first_json_object_udf("raw").alias("json"))
+
+
+def _cases(rows) -> str:
+    cell = lambda v: "cast(null as varchar)" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
+
+
 _EDGE_ROWS = [(i, *e.split(" ")) for i, (_, _, edges) in enumerate(EDGE_FILES) for e in edges.split(";") if e]
 _EDGE_VALUES = "(values " + ", ".join(f"({i}, '{k}', '{o}', '{f}', {n})" for i, k, o, f, n in _EDGE_ROWS) + ") e(file_id, kind, owner, field, line)"
 
@@ -112,6 +147,9 @@ QUERIES = {
         select tag_id, raw, replace(replace(replace(replace(replace(replace(replace(w, ' .', '.'), '. ', '.'), ' ::', '::'), ':: ', '::'), ' (', '('), '( ', '('), ' )', ')') as one_line,
         nullif(trim(regexp_replace(trim(regexp_replace(ltrim(trim(raw), ':'), '^(?:new )+', '')), ';+$', '')), '') as type_text, nullif(trim(list_filter(string_split_regex(trim(head), '[.:/\\\\ ]'), lambda x: x <> '')[-1], '*&'), '') as base from o"""),
     "i5_owner_types": (i5_owner_types, None),
+    "i5_owner_cases": (i5_owner_cases, f"select * from {_cases(TYPES)} t(raw, owner_type)"),
+    "i6_import_cases": (i6_import_cases, f"select * from {_cases([(i, *e.split(' ')) for i, (_, _, es) in enumerate(IMPORT_LINES) for e in es.split(';') if e])} t(file_id, name, source, kind)"),
+    "i17_json_cases": (i17_json_cases, f"select * from {_cases(JSON_TEXTS)} t(raw, json)"),
     "i6_import_entries": (i6_import_entries, None),
     "i13_folded_words": (i13_folded_words, "select distinct search_text, array_to_string(regexp_extract_all(lower(search_text), '\\w+'), ' ') as words from search_results"),
     "i17_json_in_text": (i17_json_in_text, None),

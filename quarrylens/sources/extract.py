@@ -65,6 +65,7 @@ REGISTRY: dict[str, LanguageRules] = {
     ),
     "rust": LanguageRules(
         [
+            (r"(?:unsafe\s+)?impl(?:\s*<(?:[^<>]|<[^<>]*>)*>)?\s+(?:!?[\w:]+(?:<(?:[^<>]|<[^<>]*>)*>)?\s+for\s+)?(?:&(?:'\w+\s+)?(?:mut\s+)?)?(?:\w+::)*(?P<n>[A-Za-z_]\w*)", "struct"),
             (rf"\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+\"[^\"]*\"\s+)?fn\s+{_ID}", "fn"), (rf"\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+{_ID}", "struct"), (rf"\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+{_ID}", "enum"),
             (rf"\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+{_ID}", "trait"), (rf"\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?{_ID}\s*:", "const"), (rf"\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+{_ID}", "mod"), (rf"\s*(?:pub(?:\([^)]*\))?\s+)?type\s+{_ID}", "type"), (rf"\s*macro_rules!\s*{_ID}", "fn"),
         ],

@@ -79,7 +79,7 @@ def test_structured():
     for line, want in [("git 'a b' \"c \\\" d\" e\\ f", ["git", "a b", 'c " d', "e f"]), ("a''b \"\" c", ["ab", "", "c"]), ("x | y > z", ["x", "|", "y", ">", "z"]), ("'open end", ["open end"]), ("\"a\\nb", ["a\\nb"]), ("a\\", ["a\\"]), ("", []), (None, []), ("  ", [])]:
         assert st.shell_words(line) == want, line
     assert st.command_words("/bin/bash -c 'git push -f'") == ["git", "push", "-f"] and st.command_words("bash x.sh") == ["bash", "x.sh"] and st.command_words("bash -c ''") == ["bash", "-c", ""] and st.command_words("sudo bash -c 'x'") == ["sudo", "bash", "-c", "x"] and st.shell_words(None) == []
-    assert st.owner_type("Option<Vec<T>>") == "Option" and st.owner_type("&mut a::B") == "B" and st.owner_type("A | B") is None and st.owner_type("Foo<Bar") is None
+    assert st.owner_type("Option<Vec<T>>") == "Option" and st.owner_type("&mut a::B") == "a::B" and st.owner_type("A | B") is None and st.owner_type("Foo<Bar") is None
     assert st.folded_words("Ｆｏｏ STRASSE ß") == ["foo", "strasse", "ss"]
     s = {"type": "object", "required": ["a"], "properties": {"a": {"$ref": "#/d/n"}}, "additionalProperties": False, "d": {"n": {"type": ["integer", "null"]}}}
     assert st.schema_errors({"a": None}, s) == [] and len(st.schema_errors({"a": "x", "b": 1}, s)) == 2 and st.schema_errors({}, s) == ["$.a: missing"]
