@@ -39,18 +39,21 @@ def first_json_object(text: str | None) -> str | None:
     return None
 
 
-STANCES = ("agree", "disagree", "mixed", "unsure")
+# fixed values: stances of an opinion, the last where none is given, and the summary of an answer without structure
+STANCES = ("agree", "disagree", "partial", "insufficient_info")
+NO_STRUCTURE = "Pair agent did not return structured JSON. See raw_answer."
 
 
 def parsed_opinion(text: str | None) -> dict[str, Any]:
-    """Stance and lists of an opinion's JSON with defaults; a text without usable JSON is "unparsed" with the text kept."""
+    """An opinion from the first JSON object of an answer. Summary and recommendation must be texts, else the whole answer is kept as a
+    fallback; an unknown stance is "insufficient_info"; lists keep their texts that aren't blank."""
     raw = first_json_object(text)
-    if raw is None:
-        return {"stance": "unsure", "reasons": [], "risks": [], "questions": [], "status": "unparsed", "text": text or ""}
-    o = json.loads(raw)
-    lists = {k: [str(x) for x in o.get(k)] if isinstance(o.get(k), list) else [] for k in ("reasons", "risks", "questions")}
-    stance = str(o.get("stance", "")).strip().lower()
-    return {"stance": stance if stance in STANCES else "unsure", **lists, "status": "ok" if stance in STANCES else "partial", "text": text or ""}
+    o = json.loads(raw) if raw else {}
+    filled = lambda v: isinstance(v, str) and v.strip() != ""
+    lists = {k: [x for x in o.get(k) or [] if filled(x)] if isinstance(o.get(k), list) else [] for k in ("agreements", "concerns", "follow_up_questions")}
+    if not (filled(o.get("summary")) and filled(o.get("recommendation"))):
+        return {"stance": STANCES[-1], "summary": NO_STRUCTURE, "recommendation": "", **{k: [] for k in lists}, "parse_status": "fallback", "raw_answer": text or ""}
+    return {"stance": o["stance"] if o.get("stance") in STANCES else STANCES[-1], "summary": o["summary"], "recommendation": o["recommendation"], **lists, "parse_status": "parsed", "raw_answer": None}
 
 
 def schema_errors(value: Any, schema: dict, root: dict | None = None, at: str = "$") -> list[str]:

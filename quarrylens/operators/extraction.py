@@ -96,6 +96,29 @@ def i17_json_cases(spark, d):
     return t.select("raw", st.first_json_object_udf("raw").alias("json"))
 
 
+OPINIONS = [
+    ('Sure. {"stance": "agree", "summary": "fine", "recommendation": "ship", "agreements": ["a", " ", 3, "b"], "concerns": "none"}', "agree", "fine", "ship", "a|b", "parsed"),
+    ('```json\n{"stance": "maybe", "summary": "s", "recommendation": "r", "agreements": null}\n```', "insufficient_info", "s", "r", "", "parsed"),
+    ('{"stance": "agree", "summary": " ", "recommendation": "r"}', "insufficient_info", st.NO_STRUCTURE, "", "", "fallback"), ('{"stance": "disagree", "summary": "s"}', "insufficient_info", st.NO_STRUCTURE, "", "", "fallback"), ("plain words", "insufficient_info", st.NO_STRUCTURE, "", "", "fallback"), ("", "insufficient_info", st.NO_STRUCTURE, "", "", "fallback"),
+    ('{"stance": "partial", "summary": "s", "recommendation": 4}', "insufficient_info", st.NO_STRUCTURE, "", "", "fallback"),
+]
+
+
+def opinions(answers, col: str = "raw"):
+    """Answers with their opinion: stance, summary, recommendation, agreements joined by a bar, and how they were read."""
+
+    def run(frames):
+        for f in frames:
+            o = [st.parsed_opinion(t) for t in f[col]]
+            yield f.assign(**{k: [x[k] for x in o] for k in ("stance", "summary", "recommendation", "parse_status")}, agreements=["|".join(x["agreements"]) for x in o])[[col, "stance", "summary", "recommendation", "agreements", "parse_status"]]
+
+    return answers.select(col).mapInPandas(run, f"{col} string, stance string, summary string, recommendation string, agreements string, parse_status string")
+
+
+def i18_opinions(spark, d):
+    return opinions(spark.createDataFrame([(x[0],) for x in OPINIONS], "raw string"))
+
+
 def _cases(rows) -> str:
     cell = lambda v: "cast(null as varchar)" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
@@ -149,6 +172,7 @@ QUERIES = {
     "i5_owner_types": (i5_owner_types, None),
     "i5_owner_cases": (i5_owner_cases, f"select * from {_cases(TYPES)} t(raw, owner_type)"),
     "i6_import_cases": (i6_import_cases, f"select * from {_cases([(i, *e.split(' ')) for i, (_, _, es) in enumerate(IMPORT_LINES) for e in es.split(';') if e])} t(file_id, name, source, kind)"),
+    "i18_opinions": (i18_opinions, f"select * from {_cases(OPINIONS)} t(raw, stance, summary, recommendation, agreements, parse_status)"),
     "i17_json_cases": (i17_json_cases, f"select * from {_cases(JSON_TEXTS)} t(raw, json)"),
     "i6_import_entries": (i6_import_entries, None),
     "i13_folded_words": (i13_folded_words, "select distinct search_text, array_to_string(regexp_extract_all(lower(search_text), '\\w+'), ' ') as words from search_results"),

@@ -107,6 +107,16 @@ def callers(files: DataFrame, symbols: DataFrame, per_name: int = 5) -> DataFram
     return top.withColumn("k", F.concat_ws(":", "name", "file_id", "line")).join(e.select("k", "fn_name"), "k").select("name", "file_id", "line", F.coalesce("fn_name", F.lit("top-level")).alias("caller"), "n_sites")
 
 
+def callers_within(files: DataFrame, symbols: DataFrame, budget: int) -> DataFrame:
+    """(name, n_sites, available, file_ids): the files that call each callable outside its own definition. A name with more sites than the
+    budget gives no files at all rather than some of them."""
+    fn = symbols.filter(F.col("kind").isin(CALLABLE))
+    hits = outside_own_definition(call_sites(files).join(fn.select("name").distinct(), "name", "left_semi"), symbols)
+    n = hits.groupBy("name").agg(F.count("*").alias("n_sites"))
+    within = hits.join(n.filter(F.col("n_sites") <= budget).select("name"), "name").groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("file_id")), ",").alias("file_ids"))
+    return n.join(within, "name", "left").select("name", "n_sites", (F.col("n_sites") <= budget).alias("available"), "file_ids")
+
+
 def precise_resolution(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """Calls (file_id, name) resolved to one definition: through an import, in the same file, or the only one anywhere;
     null where several compete. Adds target_id and how it was found."""
@@ -228,6 +238,13 @@ def c10_callers(spark, d):
     return callers(table(spark, d, "source_files"), _sym(spark, d))
 
 
+CALLER_BUDGET = 20
+
+
+def c10_callers_within(spark, d):
+    return callers_within(table(spark, d, "source_files"), _sym(spark, d), CALLER_BUDGET)
+
+
 def c16_literals_naming_symbols(spark, d):
     """Symbol names that also stand as literals, and in how many other files."""
     lit = table(spark, d, "literals").select(F.col("file_id").alias("lf"), tx.qualified_leaf(F.col("text")).alias("name")).filter("name <> ''").distinct()
@@ -367,6 +384,8 @@ QUERIES = {
         select c.file_id, c.name, coalesce(via_id, case when same_n = 1 then same_id end, case when same_n is null then any_id end) as target_id,
         case when via_id is not null then 'import' when same_n = 1 then 'same file' when same_n is null and any_id is not null then 'global' end as how
         from c left join via using (file_id, name) left join same using (file_id, name) left join anyw using (name)"""),
+    "c10_callers_within": (c10_callers_within, f"""with {SYM}, {CALLS_SQL}, hits as (select * from calls c where name in (select name from s where {_FN}) and not exists (select 1 from s where s.{_FN} and s.file_id = c.file_id and s.name = c.name and c.line between s.start_line and s.end_line))
+        select name, count(*) as n_sites, count(*) <= {CALLER_BUDGET} as available, case when count(*) <= {CALLER_BUDGET} then array_to_string(list_sort(list_distinct(list(file_id))), ',') end as file_ids from hits group by 1"""),
     "c10_callers": (c10_callers, f"""with {SYM}, {CALLS_SQL}, hits as (select * from calls c where name in (select name from s where {_FN}) and not exists (select 1 from s where s.{_FN} and s.file_id = c.file_id and s.name = c.name and c.line between s.start_line and s.end_line)),
         top as (select * from (select *, row_number() over (partition by name order by file_id, line) as r, count(*) over (partition by name) as n_sites from hits) where r <= 5),
         e as ({_ENC_SQL.format(k='h.name, h.file_id, h.line', h='top')}) select name, file_id, line, coalesce(fn_name, 'top-level') as caller, n_sites from e where rn = 1"""),

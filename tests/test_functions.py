@@ -75,7 +75,7 @@ def test_query_compiler():
 def test_structured():
     assert st.first_json_object('text {"a": {"b": "}"}} more') == '{"a": {"b": "}"}}' and st.first_json_object("{no") is None and st.first_json_object(None) is None
     assert st.first_json_object('```json\n{"x": 1}\n```') == '{"x": 1}'
-    assert st.parsed_opinion('{"stance": "Agree", "reasons": ["r"]}')["stance"] == "agree" and st.parsed_opinion("none")["status"] == "unparsed"
+    assert st.parsed_opinion('{"stance": "agree", "summary": "s", "recommendation": "r"}')["stance"] == "agree" and st.parsed_opinion("none")["parse_status"] == "fallback" and st.parsed_opinion(None)["raw_answer"] == ""
     for line, want in [("git 'a b' \"c \\\" d\" e\\ f", ["git", "a b", 'c " d', "e f"]), ("a''b \"\" c", ["ab", "", "c"]), ("x | y > z", ["x", "|", "y", ">", "z"]), ("'open end", ["open end"]), ("\"a\\nb", ["a\\nb"]), ("a\\", ["a\\"]), ("", []), (None, []), ("  ", [])]:
         assert st.shell_words(line) == want, line
     assert st.command_words("/bin/bash -c 'git push -f'") == ["git", "push", "-f"] and st.command_words("bash x.sh") == ["bash", "x.sh"] and st.command_words("bash -c ''") == ["bash", "-c", ""] and st.command_words("sudo bash -c 'x'") == ["sudo", "bash", "-c", "x"] and st.shell_words(None) == []
