@@ -197,16 +197,18 @@ def scored(post: DataFrame, avgdl: dict[str, float], n: int, boosts: dict[str, f
 
 
 _INDEXED = ["source_files", "symbols", "literals", "extracted_files", "tags"]
+#: Part of a kept index's name: changes with what is indexed and how.
+INDEX_VERSION = "segments-1"
 
 
 def index_of(spark: SparkSession, d: str) -> PostingsIndex:
     """The index over a folder of tables: built once for their present files and kept in the shared checkpoint folder under a
-    fingerprint of them (names, sizes, times)."""
+    fingerprint of them (names, sizes, times). It stands for these tables: refreshes belong into an index of one's own."""
     from quarrylens.session import checkpoint_dir
     from quarrylens.sources.storage import Folder
 
     marks = [Folder(spark, f"{d}/{t}.parquet").fingerprint() for t in _INDEXED]
-    ix = PostingsIndex(spark, f"{checkpoint_dir(spark).rstrip('/')}/index-{hashlib.sha256(json.dumps([d, marks]).encode()).hexdigest()[:24]}")
+    ix = PostingsIndex(spark, f"{checkpoint_dir(spark).rstrip('/')}/index-{hashlib.sha256(json.dumps([INDEX_VERSION, d, marks]).encode()).hexdigest()[:24]}")
     if not ix.built():
         files, syms, lits, ext, tags = (table(spark, d, t) for t in _INDEXED)
         ix.build(field_texts(files, syms.distinct(), lits.distinct(), ext, tags.distinct()))
