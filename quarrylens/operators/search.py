@@ -211,7 +211,11 @@ def index_of(spark: SparkSession, d: str) -> PostingsIndex:
     ix = PostingsIndex(spark, f"{checkpoint_dir(spark).rstrip('/')}/index-{hashlib.sha256(json.dumps([INDEX_VERSION, d, marks]).encode()).hexdigest()[:24]}")
     if not ix.built():
         files, syms, lits, ext, tags = (table(spark, d, t) for t in _INDEXED)
-        ix.build(field_texts(files, syms.distinct(), lits.distinct(), ext, tags.distinct()))
+        try:
+            ix.build(field_texts(files, syms.distinct(), lits.distinct(), ext, tags.distinct()))
+        except RuntimeError:
+            if not ix.built():  # else another session has built it meanwhile
+                raise
     return ix
 
 
